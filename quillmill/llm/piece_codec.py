@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MAX_CACHE = 250_000
+MAX_CACHE = 400_000
 _CODECS: dict[str, PieceCodec] = {}
 
 
