@@ -27,8 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import registered  # noqa: F401  fills the registry
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import registered  # noqa: F401
+
     return dict(ORACLES)
