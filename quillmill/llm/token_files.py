@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path
 
-END_ID, MAX_CACHE, NULL_ID = 2, 250_000, -(1 << 63)
+END_ID, MAX_CACHE, NULL_ID = 2, 700_000, -(1 << 63)
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
@@ -36,9 +37,14 @@ class WordEncoder:
                 cache.clear()
                 cache[""] = b""
                 missing = set(words) - {""}
-            new = list(missing)
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, self.dtype).tobytes()
+            # full stops and commas after a letter are a pre-token of their own, and ASCII letters only lose their case
+            parts = {w: (core.lower() if core.isascii() and "<" not in core else core, w[len(core) :]) for w in missing for bare in (w.rstrip(".,"),) for core in (bare if bare[-1:].isalpha() else w,)}
+            new = list({p for pair in parts.values() for p in pair if p not in cache})
+            kind = "H" if self.dtype.itemsize == 2 else "I"
+            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                cache[p] = array(kind, e.ids).tobytes()
+            for w, (core, tail) in parts.items():
+                cache[w] = cache[core] + cache[tail]
         return b"".join([*map(cache.__getitem__, words), self.end])
 
 
