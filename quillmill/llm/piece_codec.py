@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MAX_CACHE = 400_000
+MAX_CACHE, SHORT, NEVER = 400_000, 48, float("inf")
 _CODECS: dict[str, PieceCodec] = {}
 
 
@@ -35,9 +36,46 @@ class PieceCodec:
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         self.chunks = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if "\n" not in inner else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.bigrams = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.cores: dict[str, array] = {}
 
     def agenda(self, chunk: str) -> list[int]:
         """Ids of a chunk: the best-scoring adjacent pair merges first, the leftmost among equals, until none is a piece."""
+        out: list[int] = []
+        for s in self._short(chunk) if len(chunk) <= SHORT else self._long(chunk):
+            known = self.ids.get(s)
+            out += [known] if known is not None else [self.byte_ids[b] for b in s.encode()]
+        return out
+
+    def by_core(self, chunk: str) -> list[int]:
+        """As agenda(): where no piece holds the last two characters together, the last is merged apart from the rest."""
+        if len(chunk) < 3 or chunk[-1].isalnum() or chunk[-2:] in self.bigrams:
+            return self.agenda(chunk)
+        core = chunk[:-1]
+        if core in self.cache:
+            return [*array("I", self.cache[core][0]), *self.agenda(chunk[-1])]
+        if core not in self.cores:
+            if len(self.cores) > MAX_CACHE // 2:
+                self.cores.clear()
+            self.cores[core] = array("H", self.agenda(core)) if len(self.pieces) <= 1 << 16 else array("I", self.agenda(core))
+        return [*self.cores[core], *self.agenda(chunk[-1])]
+
+    def _short(self, chunk: str) -> list[str]:
+        """The agenda as a plain list of the pairs' ranks: for a few pairs, min() beats a heap."""
+        rank, sym = self.rank.get, list(chunk)
+        agenda = [rank(chunk[i : i + 2], NEVER) for i in range(len(chunk) - 1)]
+        while agenda and (best := min(agenda)) != NEVER:
+            i = agenda.index(best)
+            sym[i] += sym.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = rank(sym[i - 1] + sym[i], NEVER)
+            if i < len(agenda):
+                agenda[i] = rank(sym[i] + sym[i + 1], NEVER)
+        return sym
+
+    def _long(self, chunk: str) -> list[str]:
+        """The agenda as a heap; entries whose pair has merged meanwhile are passed over."""
         rank, n = self.rank, len(chunk)
         sym, nxt, prv = list(chunk), [*range(1, n), -1], list(range(-1, n - 1))
         heap = [(rank[p], i, p) for i in range(n - 1) if (p := chunk[i : i + 2]) in rank]
@@ -46,7 +84,7 @@ class PieceCodec:
             _, i, p = heappop(heap)
             j = nxt[i]
             if j < 0 or not sym[i] or sym[i] + sym[j] != p:
-                continue  # one of the pair has merged meanwhile
+                continue
             sym[i], sym[j] = p, ""
             k = nxt[i] = nxt[j]
             if k >= 0:
@@ -56,15 +94,12 @@ class PieceCodec:
             h = prv[i]
             if h >= 0 and (q := sym[h] + p) in rank:
                 heappush(heap, (rank[q], h, q))
-        out: list[int] = []
-        for s in sym:
-            if s:
-                known = self.ids.get(s)
-                out += [known] if known is not None else [self.byte_ids[b] for b in s.encode()]
-        return out
+        return [s for s in sym if s]
 
     def text_of(self, ids: list[int]) -> str:
         """Text of ids, marks turned to spaces; byte pieces are read as UTF-8 and control ids have no text."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.pieces[i] for i in ids if self.pieces[i] in self.ids]).replace(MARK, " ")
         out, run = [], bytearray()
         for i in [*ids, -1]:
             if i in self.byte_of:
@@ -81,14 +116,15 @@ class PieceCodec:
         """Add chunks to the cache, each checked against the library: a difference ends the job."""
         if len(self.cache) + len(chunks) > MAX_CACHE:
             self.cache.clear()
+            self.cores.clear()
         new = list(chunks)
         # the library puts a mark before a text; after a line end a chunk stands without one
         checks = self.library.encode([c[1:] if c[0] == MARK else "\n" + c for c in new], num_threads=1)
         for c, known in zip(new, checks, strict=True):
-            ids = self.agenda(c)
+            ids = self.by_core(c)
             if ids != (known if c[0] == MARK and len(c) > 1 else known[2:] if c[0] != MARK else ids):
                 raise ValueError(f"differs from the library on {c!r}")
-            self.cache[c] = (b"".join(i.to_bytes(4, "little") for i in ids), self.text_of(ids))
+            self.cache[c] = (array("I", ids).tobytes(), self.text_of(ids))
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(little-endian uint32 ids with begin and end, decoded text) for each text."""
