@@ -332,11 +332,14 @@ def test_lm_scores_are_probabilities_and_each_token_counts_once():
         assert not len(own) or 10**own @ np.ones(len(own)) == pytest.approx(1)
     model = lm.Attention()
     seq = rng.integers(0, 300, 100).astype(np.int32)
-    z = model.forward(classes[seq[None, :32]], seq[None, :32] % lm.BUCKETS)
+    head = seq[None, : lm.CONTEXT]
+    z = model.forward(classes[head], head % lm.BUCKETS)
     assert np.exp(z).sum(-1) == pytest.approx(1, abs=1e-4)
-    changed = seq.copy()
-    changed[20:32] = 0
-    assert np.allclose(z[0, :20], model.forward(classes[changed[None, :32]], changed[None, :32] % lm.BUCKETS)[0, :20], atol=1e-5)  # causal
+    target = classes[seq[None, 1 : lm.CONTEXT + 1]]
+    assert np.allclose(model.target_logs(classes[head], head % lm.BUCKETS, target), np.take_along_axis(z, target[..., None], -1)[..., 0], atol=1e-4)
+    changed = head.copy()
+    changed[0, 20:] = 0
+    assert np.allclose(z[0, :20], model.forward(classes[changed], changed % lm.BUCKETS)[0, :20], atol=1e-5)  # causal
     flat = lm.Attention({k: np.zeros_like(v) for k, v in model.w.items()})
     for n in (2, 3, 32, 33, 34, 57, 58, 100):
         want = sum(inside[i] for i in seq[1:n]) - (n - 1) * math.log10(lm.CLASSES)
