@@ -19,3 +19,12 @@ def rate_windows(lines: DataFrame, width: str = "10 minutes", watermark: str = "
         lines = lines.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)  # watermarks need a zoned time
     counted = lines.groupBy("component", F.window("ts", width).alias("w")).agg(F.count("*").alias("accepted"))
     return counted.select("component", F.col("w.start").alias("window_start"), "accepted")
+
+
+def dedup_stream(rows: DataFrame, key: str, watermark: str = "30 minutes") -> DataFrame:
+    """First row of each key. On a stream the keys seen are kept until the watermark passes them, so a copy that comes
+    later than that counts as new; a batch keeps the row of least ts."""
+    if rows.isStreaming:
+        return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).dropDuplicatesWithinWatermark([key])
+    best = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), "ts").alias("_row"))
+    return best.select(key, "_row.*").select(rows.columns)
