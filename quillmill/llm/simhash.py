@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import components, settle
 
 SEED, SHINGLE, MAX_DISTANCE, MAX_BUCKET = 42, 3, 2, 256
+#: Fingerprints to a task when their index rows are made: each becomes about 66 rows, so this keeps a task near 100 MB.
+TASK_FINGERPRINTS = 20_000
 
 
 def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
@@ -101,8 +103,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keep their rows; null ids never become a component's id unless it has no other; an empty table gives no rows.
     """
     rows = settle(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    labels = components(settle(links(nodes.select("fp"), distance), "links"))
+    nodes = settle(rows.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
+    # fingerprints are 8 bytes, so adaptive execution would put millions in one task; the index rows need many
+    spread = nodes.select("fp").repartition(-(-nodes.count() // TASK_FINGERPRINTS) or 1)
+    labels = components(settle(links(spread, distance), "links"))
     known = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     lows = known.groupBy("label").agg(F.min("low").alias("component_id"))
     final = known.join(lows, "label").select("fp", "component_id")
