@@ -29,6 +29,7 @@ STRUCTURE = r"(?md)(^\s{0,3}#{1,6}\s+\S|^\s*[-*•]\s+\S|^\s*\d+[.)]\s+\S)"
 FILLERS = (
     "واخا خاصنا نعرفو بلي كتعني هادو هوما كاينين حسب على من في ف ديال ديالك ديالو و ولكن عموما واش دابا هاد هادي هادشي لي اللي ما لا لكن او ولا غير a"
 ).split() + FRENCH_WORDS
+TRANSLATED_THEN_BRACKETED = r"[\u0600-\u06FF]{3,}[\u0600-\u06FF\s]*\(\s*(?:les?|la|du|de)?\s*[A-Za-z][^)]{2,}\)"
 MAX_OVERLAP, MIN_STRUCTURE_WORDS = 0.35, 150
 CJK = r"[぀-ヿ㐀-䶿一-鿿가-힯]"
 
@@ -89,6 +90,11 @@ def has_injection(messages: Column) -> Column:
     return F.exists(turns(messages, "user"), lambda t: t.rlike(INJECTION))
 
 
+def translates_then_brackets(messages: Column) -> Column:
+    """Some answer follows an Arabic run by a parenthesised Latin gloss."""
+    return F.exists(turns(messages, "assistant"), lambda t: t.rlike(TRANSLATED_THEN_BRACKETED))
+
+
 def valid_quiz(q: Column) -> Column:
     """Of struct<question, options, answer, explanation>: four different options that are not blank, an answer among
     them, no CJK, and an explanation whose words of four characters or more do not speak for another option."""

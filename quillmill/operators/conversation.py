@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.language import is_anaphoric
+from ..functions.language import detect_lang_instruction, detect_query_lang, is_anaphoric
 from ..functions.text import ARABIC_BLOCK, LATIN, count_chars
 
 MAX_MESSAGES, MAX_CHARS = 4, 2400
@@ -97,3 +97,24 @@ def score_turns(turns: DataFrame, arabic_expected: Column | None = None) -> Data
         ((asked == 1) & F.substring(F.btrim(text, F.lit(" \t\n\x0b\f\r")), -3, 3).rlike("[?؟]")).alias("ends_with_exactly_one_question"),
         F.length(text).alias("char_count"), F.when(F.col("_before").isNotNull(), fresh).alias("new_word_ratio"),
     )
+
+
+def resolve_languages(turns: DataFrame) -> DataFrame:
+    """User turns with query_lang, response_lang and response_lang_source.
+
+    turns: (session_id, turn_index, role, content, explicit_language or null). An explicit language is both languages and
+    ends any override; an instruction in the message is answered and stays in force (sticky) while the messages keep their
+    own language; otherwise the answer follows the message's language (script).
+    """
+    order = Window.partitionBy("session_id").orderBy("turn_index")
+    users = turns.where("role = 'user'").withColumn("_own", detect_query_lang(F.col("content"))).withColumn("_explicit", F.col("explicit_language").isNotNull())
+    users = users.withColumn("_asked", F.when(~F.col("_explicit"), detect_lang_instruction(F.col("content"))))
+    # a run of turns that can share an override ends at an explicit turn and where the message's language changes
+    breaks = F.col("_explicit") | F.coalesce(F.lag("_explicit").over(order), F.lit(True)) | (F.col("_own") != F.lag("_own").over(order))
+    users = users.withColumn("_run", F.sum(breaks.cast("int")).over(order))
+    kept = F.last("_asked", ignorenulls=True).over(Window.partitionBy("session_id", "_run").orderBy("turn_index"))
+    users = users.withColumn("_kept", F.when(~F.col("_explicit"), kept))
+    return users.select(
+        "session_id", "turn_index", F.coalesce("explicit_language", "_own").alias("query_lang"), F.coalesce("explicit_language", "_kept", "_own").alias("response_lang"),
+        F.when(F.col("_explicit"), "explicit_field").when(F.col("_asked").isNotNull(), "explicit_instruction").when(F.col("_kept").isNotNull(), "sticky").otherwise("script").alias("response_lang_source"),
+    )

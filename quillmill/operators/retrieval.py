@@ -103,3 +103,12 @@ def score_retrieval(cands: DataFrame, queries: DataFrame, k: int = 4) -> DataFra
     joined = queries.select("query_id").join(first, "query_id", "left")
     n = F.greatest(F.count("*"), F.lit(1))
     return joined.agg(F.count("*").alias("n"), (F.count(F.when(F.col("first") <= k, 1)) / n).alias("recall"), (F.sum(F.coalesce(1 / F.col("first"), F.lit(0.0))) / n).alias("mrr"))
+
+
+def vote_upload_domain(probes: DataFrame, chunks: DataFrame, default, k: int = 10, threshold: float = 0.4) -> DataFrame:
+    """(query_id, domain, domain_source) for uploads: each probe (query_id, vector of the first chunk's head) asks its k
+    nearest chunks of any domain; without a vote the default stands."""
+    domain_type = chunks.schema["domain"].dataType
+    free = probes.select("query_id", "vector", F.lit(None).cast(domain_type).alias("domain"))
+    votes = vote_domain(top_k(free, chunks, k), threshold)
+    return resolve_domain(free, votes, default)

@@ -143,3 +143,29 @@ def test_gates_on_arabic_rows(spark):
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").orderBy("i")
     assert [r[0] for r in texts.select(L.detect_lang_instruction(F.col("t"))).collect()] == [None, "darija", "fr", "fr", None, None]
     assert [r[0] for r in texts.select(L.is_anaphoric(F.col("t"))).collect()] == [False, False, True, True, False, False]
+
+
+def test_sticky_languages_follow_the_rules_turn_by_turn(spark):
+    from quillmill.operators.conversation import resolve_languages
+
+    says = [
+        ("bonjour tout le monde", None, "fr", "fr", "script"), ("réponds en darija", None, "fr", "darija", "explicit_instruction"), ("encore une question", None, "fr", "darija", "sticky"),
+        ("كيفاش نخدم", None, "darija", "darija", "script"), ("une autre question", None, "fr", "fr", "script"), ("réponds en darija", None, "fr", "darija", "explicit_instruction"),
+        ("peu importe", "fr", "fr", "fr", "explicit_field"), ("et ensuite alors", None, "fr", "fr", "script"), (None, None, "fr", "fr", "script"),
+    ]
+    turns = [("s", 2 * i, "user", text, explicit) for i, (text, explicit, *_) in enumerate(says)] + [("s", 1, "assistant", "réponds en darija", None)]
+    got = resolve_languages(spark.createDataFrame(turns, "session_id string, turn_index long, role string, content string, explicit_language string")).orderBy("turn_index").collect()
+    assert [tuple(r)[2:] for r in got] == [s[2:] for s in says]
+
+
+def test_page_ladder_and_outcomes_with_nulls(spark):
+    from quillmill.operators.pages import classify_pages, ingest_outcome
+
+    schema = "char_density double, font_count int, image_count int, has_full_page_raster boolean, bad_char_ratio double, max_image_megapixels double"
+    pages = [((None,) * 6, "nothing_on_page"), ((9.0, 0, 1, True, 0.0, 0.0), "no_text_layer"), ((2.9, 1, 1, True, 0.0, 0.0), "scan"), ((3.0, 1, 1, True, 0.5, 0.0), "raster_with_text"), ((9.0, 1, 0, None, 0.11, 0.0), "broken_encoding"),
+             ((0.9, 1, 1, False, 0.1, 0.0), "image_without_text"), ((0.9, 1, 0, False, 0.1, 2.0), "negligible_text"), ((1.0, 1, 1, False, 0.0, 1.0), "large_image"), ((1.0, 1, 1, False, 0.0, 0.9), "usable_text")]
+    got = classify_pages(spark.createDataFrame([p for p, _ in pages], schema).coalesce(1)).collect()
+    assert [r.reason for r in got] == [reason for _, reason in pages]
+    files = [(1, 0, 0, None), (2, 3, 1, None), (3, 3, 0, "x" * 600), (4, None, None, None), (5, 2, None, None)]
+    done = ingest_outcome(spark.createDataFrame(files, "id int, n_chunks int, n_unprocessed int, failure string")).collect()
+    assert [(r.id, r.status, len(r.error_message or "")) for r in done] == [(1, "error", 9), (2, "partial", 0), (3, "error", 500), (4, "error", 9), (5, "ready", 0)]
