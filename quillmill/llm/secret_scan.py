@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
+import codecs
 import hashlib
 import html as entities
+import itertools
 import lzma
 import re
 import zlib
@@ -23,8 +24,15 @@ KEYWORDS = ("passw", "secret", "token", "api")
 ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\x[0-9A-Fa-f]{2})+)|(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|amp|lt|gt|apos|equals|colon);)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX_BLOB = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
-#: A decoded layer larger than this is not opened further (a guard against decompression bombs; `cut_layers` counts them).
-MAX_LAYER = 16 << 20
+#: Base64 or hex wrapped in lines (line ends as such or written as \\n); only the last line may be short.
+LINE_END = r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*"
+WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}" + LINE_END + r")+[A-Za-z0-9+/_-]+={0,2}")
+WRAP = re.compile(LINE_END)
+#: A decompressed layer up to this size is one text; a larger one is read as a stream of overlapping pieces of PIECE.
+MAX_LAYER, PIECE, PIECE_OVERLAP, MAX_CHAIN = 16 << 20, 4 << 20, 4096, 100
+CONTROLS = [chr(i) for i in range(32) if chr(i) not in "\t\n\r"]
+#: No secret and no further layer is shorter than this, so shorter readable stretches need no scan.
+LEAST_STRETCH = 12
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,11 +60,13 @@ def _unescaped(m: re.Match) -> str:
     return entities.unescape(m[6])
 
 
-def escaped_layer(text: str, at: list[tuple[int, int]] | None) -> tuple[str, list[tuple[int, int]]] | None:
+def escaped_layer(text: str, at: list[tuple[int, int]] | tuple[int, int] | None) -> tuple[str, list[tuple[int, int]] | tuple[int, int]] | None:
     """text with its URL, Unicode and character escapes decoded once, and the original span of each character."""
     found = list(ESCAPE.finditer(text))
     if not found:
         return None
+    if isinstance(at, tuple):  # every character stands for the same span
+        return ESCAPE.sub(_unescaped, text), at
     where = at if at is not None else [(i, i + 1) for i in range(len(text))]
     out, spans, last = [], [], 0
     for m in found:
@@ -71,62 +81,219 @@ def escaped_layer(text: str, at: list[tuple[int, int]] | None) -> tuple[str, lis
     return "".join(out), spans
 
 
-def unpacked(data: bytes) -> bytes | None:
-    """data decompressed once (gzip, zlib, bzip2, xz, zstd), by its leading bytes; None if it is none of them."""
+def _inflate(chunks, make):
+    """Decompressed chunks of PIECE bytes at most, over all members of a stream."""
+    d = make()
+    for data in chunks:
+        while True:
+            out = d.decompress(data, PIECE)
+            if out:
+                yield out
+            if d.eof:
+                data, d = d.unused_data, make()
+                if not data:
+                    break
+            elif hasattr(d, "unconsumed_tail"):
+                data = d.unconsumed_tail
+                if not data and len(out) < PIECE:
+                    break
+            elif d.needs_input:
+                break
+            else:
+                data = b""
+
+
+class _Source:
+    """Chunks as a file to read from."""
+
+    def __init__(self, chunks):
+        self.chunks, self.rest = chunks, b""
+
+    def read(self, n: int = -1) -> bytes:
+        if not self.rest:
+            self.rest = next(self.chunks, b"")
+        n = len(self.rest) if n < 0 else n
+        out, self.rest = self.rest[:n], self.rest[n:]
+        return out
+
+
+def _zstd(chunks):
+    import zstandard
+
+    reader = zstandard.ZstdDecompressor().stream_reader(_Source(chunks), read_across_frames=True)
+    while out := reader.read(PIECE):
+        yield out
+
+
+def _until_damaged(chunks):
     try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_LAYER + 1)
-        if data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(data, MAX_LAYER + 1)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_LAYER + 1)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MAX_LAYER + 1)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)[: MAX_LAYER + 1]
-    except Exception as e:  # noqa: BLE001  damaged data of any codec is no layer
+        yield from chunks
+    except Exception as e:  # noqa: BLE001  damaged data of any codec ends its layer
         if not isinstance(e, (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)) and type(e).__name__ != "ZstdError":
             raise
-    return None
+
+
+def unpacked(head: bytes, chunks):
+    """The decompressed chunks of chunks (gzip, zlib, bzip2, xz, zstd), by their first bytes; None if they are none of them."""
+    if head[:2] == b"\x1f\x8b":
+        found = _inflate(chunks, lambda: zlib.decompressobj(31))
+    elif head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+        found = _inflate(chunks, zlib.decompressobj)
+    elif head[:3] == b"BZh":
+        found = _inflate(chunks, bz2.BZ2Decompressor)
+    elif head[:6] == b"\xfd7zXZ\x00":
+        found = _inflate(chunks, lzma.LZMADecompressor)
+    elif head[:4] == b"\x28\xb5\x2f\xfd":
+        found = _zstd(chunks)
+    else:
+        return None
+    return _until_damaged(found)
 
 
 def readable(data: bytes) -> str | None:
     """data as text if it is UTF-8 with hardly a control character."""
     try:
-        text = data.decode("utf-8")
+        return readable_text(data.decode("utf-8"))
     except UnicodeDecodeError:
         return None
-    odd = sum(c < " " and c not in "\t\n\r" for c in text)
+
+
+def readable_text(text: str) -> str | None:
+    odd = sum(map(text.count, CONTROLS))
     return text if text and odd * 20 <= len(text) else None
 
 
-def blobs(text: str):
-    """(start, end, text, blob-wide) of the base64 and hex runs of text that hold text, compressed or not."""
-    for m in BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1 or run.isdigit() or (run.isalpha() and (run.islower() or run[1:].islower())):
+def text_pieces(chunks, cut: list[int]):
+    """Texts of about PIECE characters that together cover a large layer. They overlap and part at blanks, so what lies
+    at a border is whole in one of them; a longer run without blanks, or wrapped lines at a border, are counted in cut."""
+    decoder, hold, fresh = codecs.getincrementaldecoder("utf-8")(), "", 0
+    try:
+        for chunk in chunks:
+            new = decoder.decode(chunk)
+            hold, fresh = hold + new, fresh + len(new)
+            if len(hold) < PIECE:
+                continue
+            at = hold.rfind(" ", len(hold) // 2)
+            if at < 0:
+                at = hold.rfind("\n", len(hold) // 2)
+                cut[0] += at < 0 or re.search(r"[A-Za-z0-9+/_-]{16}\s*\Z", hold[max(0, at - 32) : at]) is not None
+            at = len(hold) if at < 0 else at
+            yield hold[:at]
+            hold, fresh = hold[max(0, at - PIECE_OVERLAP) :], len(hold) - at
+    except UnicodeDecodeError:
+        pass
+    if fresh:
+        yield hold
+
+
+def opened(data: bytes, cut: list[int]):
+    """The texts that data holds, after every step of compression. Steps of up to MAX_LAYER bytes are taken whole, however
+    many they are, until data repeats itself; a larger step goes on as a stream."""
+    met = set()
+    while True:
+        digest = hashlib.sha1(data).digest()
+        inner = unpacked(data[:6], iter([data])) if digest not in met else None
+        met.add(digest)
+        if inner is None:
+            break
+        parts, size = [], 0
+        for chunk in inner:
+            parts.append(chunk)
+            size += len(chunk)
+            if size > MAX_LAYER:
+                break
+        if not parts:
+            break
+        if size <= MAX_LAYER:
+            data = b"".join(parts)
+            continue
+        stream = itertools.chain(parts, inner)
+        for _ in range(MAX_CHAIN):
+            head = b""
+            while len(head) < 6 and (chunk := next(stream, b"")):
+                head += chunk
+            stream = itertools.chain([head], stream)
+            deeper = unpacked(head[:6], stream)
+            if deeper is None:
+                yield from filter(None, map(readable_text, text_pieces(stream, cut)))
+                return
+            stream = deeper
+        cut[0] += 1
+        return
+    body = readable(data)
+    if body is not None:
+        yield body
+
+
+def stretches(data: bytes, starts: list[int]):
+    """(first byte, end byte, bytes) of what may hold a layer: data from each of the sorted starts on, if compressed,
+    and each longest readable stretch that begins at one of them."""
+    view, done = memoryview(data), 0
+    for at in starts:
+        if len(data) - at < LEAST_STRETCH:
+            break
+        if unpacked(data[at : at + 6], iter(())) is not None:
+            yield at, len(data), data[at:]
+        if at < done:
             continue
         try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
+            codecs.utf_8_decode(view[at:], "strict", True)
+            done = len(data)
+        except UnicodeDecodeError as e:
+            done = at + e.start
+        if done - at >= LEAST_STRETCH:
+            yield at, done, data[at:done]
+
+
+def _runs(text: str):
+    """(text, original place of each character or None, base) of each base64 run: as it stands, and joined over line ends."""
+    for m in BASE64.finditer(text):
+        yield m[0], None, m.start()
+    if "\n" in text or "\r" in text or "\\n" in text:
+        for m in WRAPPED.finditer(text):
+            places, last = [], m.start()
+            for w in WRAP.finditer(text, m.start(), m.end()):
+                places += range(last, w.start())
+                last = w.end()
+            places += range(last, m.end())
+            yield "".join([text[i] for i in places]), places, 0
+
+
+def blobs(text: str):
+    """(start, end, bytes) of the base64 and hex runs of text that may hold text, compressed or not.
+
+    A run may have words of a path or a name before it, so decoding begins at the run's start and after each of / _ -,
+    and, as four alignments cover them all, costs at most four passes; a stretch ends where it stops being text.
+    """
+    for whole, places, base in _runs(text):
+        run = whole.rstrip("=")
+        if run.isdigit() or (run.isalpha() and (run.islower() or run[1:].islower())):
             continue
-        yield m.start(), m.end(), data
+        begins = [0, *(m.end() for m in re.finditer("[/_-]", run))]
+        plain = run.replace("-", "+").replace("_", "/")
+        for shift in {b % 4 for b in begins}:
+            part = plain[shift:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            for a, z, found in stretches(data, [(b - shift) // 4 * 3 for b in begins if b % 4 == shift]):
+                first = shift + a // 3 * 4
+                end = len(whole) if z == len(data) else min(len(run), shift + -(-z * 4 // 3))
+                yield (base + first, base + end, found) if places is None else (places[first], places[end - 1] + 1, found)
+        if places is not None and (hexed := HEX_BLOB.fullmatch(run)):
+            yield places[0], places[-1] + 1, bytes.fromhex(hexed[0])
     for m in HEX_BLOB.finditer(text):
         yield m.start(), m.end(), bytes.fromhex(m[0])
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """(base spans, all spans, layers cut) of a text, as sorted (start, end, kind number) in code points.
+    """(base spans, all spans, borders in large layers where a run was cut) of a text, as sorted (start, end, kind number) in code points.
 
     Worklist to fixpoint: each layer is scanned; its escapes decoded give one further layer (character spans kept),
     each base64 or hex run that decodes to text or to compressed text gives another (mapped to the whole run). A layer
     already seen at the same place is not opened again, so cycles end.
     """
     base = base_spans(text)
-    found, cut = set(base), 0
-    work: list[tuple[str, list[tuple[int, int]] | tuple[int, int] | None]] = [(text, None)]
+    found, cut = set(base), [0]
     seen = {(hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest(), None)}
 
     def place(where, a: int, b: int) -> tuple[int, int]:
@@ -134,35 +301,30 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             return a, b
         return (where[a][0], where[b - 1][1]) if isinstance(where, list) else where
 
-    while work:
-        layer, where = work.pop()
-        if where is not None:
-            found.update((*place(where, a, b), k) for a, b, k in base_spans(layer))
-        new = []
+    def inside(layer, where):
         if "%" in layer or "\\" in layer or "&" in layer:
-            flat = None if isinstance(where, list) or where is None else [where] * len(layer)
-            more = escaped_layer(layer, where if isinstance(where, list) else flat)
+            more = escaped_layer(layer, where)
             if more:
-                new.append(more)
+                yield more
         for a, b, data in blobs(layer):
             span = place(where, a, b)
-            for _ in range(64):  # nested compression; each step must be smaller than the guard
-                inner = unpacked(data)
-                if inner is None:
-                    break
-                data = inner
-                if len(data) > MAX_LAYER:
-                    cut += 1
-                    data = b""
-            body = readable(data)
-            if body is not None:
-                new.append((body, span))
-        for body, span in new:
-            key = (hashlib.sha1(body.encode("utf-8", "surrogatepass")).digest(), (span[0], span[-1]) if isinstance(span, list) and span else None if isinstance(span, list) else span)
-            if key not in seen:
-                seen.add(key)
-                work.append((body, span))
-    return base, sorted(found), cut
+            for body in opened(data, cut):
+                yield body, span
+
+    # the layers still to come out of each open layer; one is read at a time, so a large layer is never held whole
+    work = [inside(text, None)]
+    while work:
+        layer, where = next(work[-1], (None, None))
+        if layer is None:
+            work.pop()
+            continue
+        key = (hashlib.sha1(layer.encode("utf-8", "surrogatepass")).digest(), (where[0], where[-1]) if isinstance(where, list) and where else None if isinstance(where, list) else where)
+        if key in seen:
+            continue
+        seen.add(key)
+        found.update((*place(where, a, b), k) for a, b, k in base_spans(layer))
+        work.append(inside(layer, where))
+    return base, sorted(found), cut[0]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -72,6 +72,32 @@ def test_secret_layers(wrap):
     assert all(text.index(wrapped) <= a < b <= text.index(wrapped) + len(wrapped) for a, b, _ in extra)
 
 
+@pytest.mark.parametrize("wrap", ["path", "name", "dash", "middle", "lines", "crlf_gzip", "escaped_lines", "odd", "large", "large_twice", "members", "deep"])
+def test_secret_layers_to_the_fixpoint(wrap):
+    import base64
+    import gzip
+
+    inner = b"password=Tr0ub4dor-and-3 "
+    b64 = lambda x: base64.b64encode(x).decode()
+    lines = lambda x, end: end.join(x[i : i + 64] for i in range(0, len(x), 64))
+    deep = inner
+    for _ in range(70):
+        deep = gzip.compress(deep, 1)
+    fill = b"some plain words " * (1 << 20)
+    large = fill + inner + fill
+    wrapped = {
+        "path": lambda: "http://x.com/cb/" + b64(inner * 3), "name": lambda: "na_" + b64(inner), "dash": lambda: "a-bc-" + b64(gzip.compress(inner)), "middle": lambda: "com/cb/" + b64(inner).rstrip("=") + "/tail/of/it",
+        "lines": lambda: lines(b64(b"some words that fill one line up to its very end, nearly, pass" + inner), "\n"), "crlf_gzip": lambda: lines(b64(gzip.compress(inner + bytes(range(256)).hex().encode())), "\r\n"),
+        "escaped_lines": lambda: lines(b64(b"x" * 40 + inner * 4), "\\n"), "odd": lambda: "abcde/" + b64(inner), "large": lambda: b64(gzip.compress(large)), "large_twice": lambda: b64(gzip.compress(gzip.compress(large, 0), 9)),
+        "members": lambda: b64(gzip.compress(b"first ") + gzip.compress(inner)), "deep": lambda: b64(deep),
+    }[wrap]()
+    text = f"é before {wrapped} after"
+    base, spans, cut = secret_scan.scan(text)
+    extra = [s for s in spans if s not in base and s[2] == 0]
+    assert extra and cut == 0
+    assert all(text.index(wrapped) <= a < b <= text.index(wrapped) + len(wrapped) for a, b, _ in extra)
+
+
 def test_secret_clean_text_and_mask():
     assert secret_scan.scan("Plain prose with %20 an escape and internationalization words")[1] == []
     assert secret_scan.mask("a token=abcdefgh b", secret_scan.scan("a token=abcdefgh b")[1]) == "a [SECRET] b"
