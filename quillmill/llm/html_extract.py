@@ -14,6 +14,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea svg math iframe object canvas select xmp title".split())
+#: Those whose content is no markup at all: without an end tag they take the rest of the page, as in a browser.
+OPAQUE = frozenset("script style textarea iframe xmp title".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 #: Elements whose text is never main text.
 CHROME = frozenset("head nav header footer aside form button dialog menu script style noscript template textarea svg math iframe object canvas select option label input fieldset".split()) | {"xmp", "title"}
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -49,12 +52,13 @@ def blocks(page: str) -> list[tuple[str, str, float, bool]]:
     """(container path, text, weight without links, noise) of each text block in page order.
 
     One forgiving pass over the tags: unclosed elements end with their parent, stray end tags are ignored, raw-text
-    elements are skipped whole, character references are decoded outside them, blanks collapse and blocks are trimmed.
+    elements are skipped whole, straight to their own end tag, character references are decoded outside them, blanks collapse and blocks are trimmed.
     """
     out: list[tuple[str, str, float, bool]] = []
     stack: list[tuple[str, str, bool]] = []  # tag, generalised step, noise so far
     buffer: list[str] = []
-    linked, in_link, at, skip = 0, 0, 0, ""
+    linked, in_link, at = 0, 0, 0
+    endless: set[str] = set()  # raw elements that no end tag follows any more
 
     def path() -> str:
         deepest = max((i for i, s in enumerate(stack) if s[0] in CONTAINER), default=-1)
@@ -75,12 +79,7 @@ def blocks(page: str) -> list[tuple[str, str, float, bool]]:
         in_link -= sum(s[0] == "a" for s in stack[i:])
         del stack[i:]
 
-    for m in TOKEN.finditer(page):
-        if skip:
-            if not ((m[1] or m[4]) and (m[2] or m[5]).lower() == skip):
-                continue
-            at, skip = m.end(), ""
-            continue
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             piece = entities.unescape(page[at : m.start()])
             buffer.append(piece)
@@ -105,7 +104,12 @@ def blocks(page: str) -> list[tuple[str, str, float, bool]]:
             continue
         if tag in RAW:
             if not (m[3] or "").rstrip().endswith("/"):
-                skip = tag
+                end = None if tag in endless else RAW_END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+                    at = len(page) if tag in OPAQUE else at
             continue
         if tag in BLOCK or tag in CHROME:
             flush()
@@ -122,7 +126,7 @@ def blocks(page: str) -> list[tuple[str, str, float, bool]]:
         attrs = _attributes(m[3] or "")
         stack.append((tag, generalise(tag, attrs), bool(stack and stack[-1][2]) or is_noise(tag, attrs)))
         in_link += tag == "a"
-    if not skip and at < len(page):
+    if at < len(page):
         rest = page[at:]
         cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # a tag that the page's end cuts off
         buffer.append(entities.unescape(rest[: cut.start()] if cut else rest))
@@ -146,12 +150,33 @@ def score_paths(found: list[tuple[str, str, float, bool]]) -> dict[str, float]:
     return score
 
 
+def _within(path: str, top: str) -> bool:
+    return path == top or path.startswith(top + "/")
+
+
+def best_path(found: list[tuple[str, str, float, bool]], own: dict[str, float]) -> str | None:
+    """The container path of the greatest score, widened to each ancestor that also holds clean text beside it.
+
+    An article or main stays as it is. Up to the body any text that is not all links counts; to the body or above it
+    climbs only for prose: blocks, mostly not links, that are long or end as a sentence does.
+    """
+    best = max(own, key=lambda p: (own[p], p), default=None)
+    up = best
+    while up is not None and up != "page" and best.rsplit("/", 1)[-1].split(".")[0] not in ("article", "main"):
+        up = up.rsplit("/", 1)[0]
+        outer = up.rsplit("/", 1)[-1].split(".")[0] in ("page", "html", "body")
+        beside = ((t, w) for p, t, w, noise in found if not noise and w > 0 and _within(p, up) and not _within(p, best))
+        if any(not outer or (2 * w >= len(t) and (len(t) >= 80 or (len(t) >= 25 and t[-1] in ".!?…"))) for t, w in beside):
+            best = up
+    return best
+
+
 def extract(found: list[tuple[str, str, float, bool]], path: str | None) -> str:
     """Clean blocks under path, joined by a blank line; if path has none on this page, those under its own best path."""
     own = score_paths(found)
-    if path is None or not any(p == path or p.startswith(path + "/") for p in own):
-        path = max(own, key=lambda p: (own[p], p), default=None)
-    return "\n\n".join(t for p, t, _, noise in found if not noise and path is not None and (p == path or p.startswith(path + "/")))
+    if path is None or not any(_within(p, path) for p in own):
+        path = best_path(found, own)
+    return "\n\n".join(t for p, t, _, noise in found if not noise and path is not None and _within(p, path))
 
 
 def host_of(url):
@@ -172,9 +197,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         for b in batches:
             total: dict[tuple[str, str], float] = defaultdict(float)
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = score_paths(blocks(page or ""))
+                found = blocks(page or "")
+                own = score_paths(found)
                 if own:
-                    best = max(own, key=lambda p: (own[p], p))
+                    best = best_path(found, own)
                     total[host, best] += 1.0 + own[best] ** 0.1
             keys = list(total)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([round(total[k], 3) for k in keys], pa.float64())], ["host", "path", "votes"])

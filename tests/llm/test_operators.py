@@ -437,3 +437,28 @@ def test_html_driver_pages(spark):
         body = re.sub(r"<(/?)(p|h1|article)\b[^>]*>", "\0", body)
         want = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in body.split("\0")]
         assert r.text == "\n\n".join(b for b in want if b)
+
+
+@pytest.mark.parametrize("raw", ["<script>for(i=0;i<n;i++){f()}</script>", "<script><!-- x</script>", "<style>a<b{}</STYLE >", "<script>s='<![CDATA[';t=\"<p\"</script>", "<svg>", "<canvas>"])
+def test_html_raw_elements_end_at_their_own_tag(raw):
+    from quillmill.llm import html_extract as he
+
+    page = f"<html><body><article><p>First words.</p>{raw}<p>Second words.</p></article></body></html>"
+    text = he.extract(he.blocks(page), None)
+    assert text.startswith("First words.") and text.endswith("Second words.")
+    assert "f()" not in text and "b{}" not in text
+
+
+def test_html_opaque_element_without_end_takes_the_rest():
+    from quillmill.llm import html_extract as he
+
+    assert he.extract(he.blocks("<article><p>First</p><script>a<b <p>code</p>"), None) == "First"
+
+
+def test_html_lead_beside_the_body_is_kept(spark, tmp_path):
+    lead, body = "A lead that says what follows.", "The body is longer, with a good many more words than the lead has. " * 4
+    post = f"<div class=lead><p>{lead}</p></div><div class=body><p>{body}</p></div>"
+    pages = [(1, "http://a/1", f"<body><nav>menu</nav><div class=post>{post}</div><div class=sidebar>Side text here.</div></body>"), (2, "http://b/1", f"<body>{post}<div class=foot>Home</div></body>"), (3, "http://c/1", f"<body><div class=links><p><a>one</a> <a>two</a></p></div><div class=post><h1>Head</h1><div class=body><p>{body}</p></div></div></body>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in Q["op1_html_extraction"](spark, str(tmp_path)).collect()}
+    assert got[1] == f"{lead}\n\n{body.strip()}" and got[2].startswith(f"{lead}\n\n{body.strip()}") and got[3] == f"Head\n\n{body.strip()}"
