@@ -215,6 +215,17 @@ def slow_fingerprint(text):
     return sum(1 << b for b, n in ones.items() if 2 * n > len(shingles))
 
 
+def test_quality_rejects_text_without_common_words(spark):
+    from quillmill.llm.quality_rules import quality_rules
+
+    other = [f"{a}{b}on" for a in ("gra", "lum", "per", "sto", "vin", "mek", "dal") for b in ("ba", "ce", "di", "fo", "gu", "ha", "ki", "lo", "mu", "ne")]
+    common = "the of and to in that is was for it".split()
+    prose = lambda k: " ".join(common[i // 3 % 10] if i % 3 == 0 and i % 10 else other[(i * 11 + k * 17) % 70] for i in range(120))
+    rows = [(i, prose(i), "en") for i in range(40)] + [(99, " ".join(other), "en")]
+    kept = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not kept.pop(99) and all(kept.values())
+
+
 def test_simhash(spark, docs_dir):
     rows = table(spark, docs_dir)
     fps = [slow_fingerprint(r["text"]) for r in rows]
