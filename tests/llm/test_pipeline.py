@@ -41,3 +41,22 @@ def test_run_equals_plain_python(spark):
             ids = sp.encode(secret_scan.mask(t, secret_scan.scan(t)[1]), add_bos=True, add_eos=True)
             want.add((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
+def test_stages_on_null_and_repeated_ids(spark, tmp_path):
+    import random
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    vocabulary = ["the", "of", "and", *("".join(rng.choices("abcdefghij", k=6)) for _ in range(400))]
+    text = lambda: " ".join(rng.choices(vocabulary, k=120))
+    a, b, c, d, e, bench, schema = text(), text(), text(), text(), text(), text(), "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda stage, rows: sorted(((r.doc_id, r.text) for r in stage(spark, spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema), str(tmp_path)).collect()), key=str)
+    order = lambda rows: sorted(rows, key=str)
+    assert run(cp.quality, [(None, a), (1, b), (1, "too short"), (2, c), (2, c), (None, "short"), (3, None)]) == order([(None, a), (1, b), (2, c), (2, c)])
+    assert run(cp.near_dedup, [(None, a), (None, b), (1, c), (1, d), (2, e), (2, e), (None, c), (3, d)]) == order([(None, a), (None, b), (1, c), (1, d), (2, e)])
+    assert run(cp.decontamination, [(None, a), (None, bench), (1, b), (1, bench), (2, None)]) == order([(None, a), (1, b), (2, None)])
+    secret = "password=Tr0ub4dor-and-3"
+    assert run(cp.secrets, [(None, a), (None, f"x {secret} y"), (1, b), (1, f"z {secret}"), (2, None), (2, c), (2, c)]) == order([(None, a), (None, "x [SECRET] y"), (1, b), (1, "z [SECRET]"), (2, None), (2, c), (2, c)])
