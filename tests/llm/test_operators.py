@@ -385,6 +385,14 @@ def test_lm_scores_are_probabilities_and_each_token_counts_once():
     assert lm.score_texts([seq, seq[:40]], model, classes, inside)[1] == pytest.approx(lm.score_texts([seq[:40]], model, classes, inside)[0], rel=1e-5)
 
 
+def test_lm_window_reaches_far_enough():
+    from quillmill.llm import lm_score as lm
+
+    assert lm.CONTEXT >= 32 and lm.OVERLAP >= 8 and lm.CLASSES >= 32
+    starts = lm.window_starts(200)
+    assert all(a + lm.CONTEXT - b >= 8 for a, b in zip(starts, starts[1:], strict=False))
+
+
 def test_lm_gradients():
     from quillmill.llm import lm_score as lm
 
