@@ -2,8 +2,8 @@
 
 The model works on subword ids (byte-level BPE, by word). It predicts a frequency class of the next id by one head of
 causal attention, and the id in its class by corpus counts. Counts cover every training document; the attention
-weights are fitted on a fixed share of all windows (TRAIN_SHARE, so the sample grows with the corpus) by rounds of local
-Adam in Spark tasks whose weights are averaged.
+weights are fitted on every window of them (one in TRAIN_SHARE, which is 1) by rounds of local Adam in Spark tasks whose
+weights are averaged.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import settle
 
 CONTEXT, OVERLAP, DIM, CLASSES, BUCKETS = 32, 8, 8, 32, 512
-TRAIN_SHARE, ROUNDS, WORKERS, RATE, BATCH = 64, 3, 24, 0.02, 32
+TRAIN_SHARE, ROUNDS, WORKERS, RATE, BATCH = 1, 3, 24, 0.02, 32
 #: So many of the most frequent words are sent to the workers; the others are joined.
 FREQUENT, MAX_CACHE, HELD_OUT = 100_000, 450_000, (7, 2)
 _ENCODERS: dict[str, Subwords] = {}
@@ -274,7 +274,7 @@ def train(windows: DataFrame, classes: np.ndarray, rounds: int = ROUNDS, workers
     """Weights fitted to windows: in each round every worker runs Adam from the shared weights over its part, and their
     weights, a few thousand numbers each, are averaged by the windows seen. Without windows the start weights stay."""
     spark = windows.sparkSession
-    parts = settle(windows.select("win", F.pmod(F.xxhash64("win"), F.lit(workers)).alias("part")).repartition(workers, "part"), "windows")
+    parts = settle(windows.select("win").repartition(workers), "windows")  # dealt in turn: equal windows may be many
     model = Attention()
     for k in range(rounds):
         sent = spark.sparkContext.broadcast((model.w, classes, RATE / (k + 1)))

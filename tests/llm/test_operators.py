@@ -393,6 +393,17 @@ def test_lm_window_reaches_far_enough():
     assert all(a + lm.CONTEXT - b >= 8 for a, b in zip(starts, starts[1:], strict=False))
 
 
+def test_lm_trains_on_every_window(spark, monkeypatch):
+    from quillmill.llm import lm_score as lm
+
+    texts, met = ["one two three", "the house of the people and " * 20, None, "x"], []
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
+    plain = lm.subwords(*lm.default_subwords())
+    want = sum(len(lm.windows_of(plain.ids(lm.words_of((t or "").encode())))) for i, t in enumerate(texts * 2) if not lm.is_held_out(i))
+    monkeypatch.setattr(lm, "train", lambda windows, classes: met.append(windows.count()) or lm.Attention())
+    assert lm.score_documents(docs).count() == 8 and met == [want]
+
+
 def test_lm_gradients():
     from quillmill.llm import lm_score as lm
 
