@@ -1,9 +1,9 @@
 """Language-model scoring: an add-one unigram base over all training tokens, and a causal self-attention model in numpy.
 
-The model works on subword ids (byte-level BPE, by word). It predicts a frequency class of the next id by one head of
-causal attention, and the id in its class by corpus counts. Counts cover every training document; the attention
-weights are fitted on every window of them (one in TRAIN_SHARE, which is 1) by rounds of local Adam in Spark tasks whose
-weights are averaged.
+The model (lm_model) reads subword ids (byte-level BPE, by word) in overlapping windows; it is fitted on every window of
+every training document. Beside it stands a memory of the corpus: texts are cut into chunks by their content, and a chunk
+that followed the same ids in other training documents shares the probability with the model's own. A training document
+never remembers itself, so training and held-out documents are scored alike.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import math
 import zlib
 from array import array
 from collections import Counter
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
+from .lm_model import RATE, TOP, Attention, Counts, chunks_over, count_tables, rows_of, token_logs, windows_over
 
-CONTEXT, OVERLAP, DIM, CLASSES, BUCKETS = 32, 8, 8, 32, 512
-TRAIN_SHARE, ROUNDS, WORKERS, RATE, BATCH = 1, 3, 24, 0.02, 32
+ROUNDS, PIECE = 4, 400_000
 #: So many of the most frequent words are sent to the workers; the others are joined.
 FREQUENT, MAX_CACHE, HELD_OUT = 100_000, 450_000, (7, 2)
 _ENCODERS: dict[str, Subwords] = {}
@@ -80,226 +79,173 @@ def is_held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % HELD_OUT[0] == HELD_OUT[1]
 
 
-class Tables(NamedTuple):
-    """An Attention model prepared for scoring: per id, per position, and the output weights."""
-
-    by_id: np.ndarray
-    by_place: np.ndarray
-    out: np.ndarray
-
-    def target_logs(self, ids: np.ndarray, target: np.ndarray, start: int = 0) -> np.ndarray:
-        """Log-probability of each target class at the positions from start on; those before are context alone. The
-        attention weights stay unnormalised, a column of ones beside v sums them in the same product."""
-        h = self.by_id[ids]
-        h += self.by_place
-        s = h[:, start:, :DIM] @ h[..., DIM : 2 * DIM].transpose(0, 2, 1)
-        np.minimum(s, _CEILING, out=s)
-        np.exp(s, out=s)
-        s *= _VISIBLE[start:]
-        y = s @ np.concatenate([h[..., 2 * DIM : 3 * DIM], np.ones((*ids.shape, 1), np.float32)], -1)
-        z = (y[..., :DIM] / y[..., DIM:]).reshape(-1, DIM) @ self.out
-        z += h[:, start:, 3 * DIM :].reshape(-1, CLASSES)
-        np.minimum(z, _CEILING, out=z)
-        at = z[np.arange(len(z)), target.ravel()]
-        np.exp(z, out=z)
-        return (at - np.log(z @ np.ones(CLASSES, np.float32))).reshape(target.shape)
-
-
-class Attention:
-    """One causal head: tables, forward pass and gradients. Inputs are (windows, CONTEXT) arrays of classes and buckets."""
-
-    def __init__(self, weights: dict[str, np.ndarray] | None = None):
-        rng = np.random.default_rng(3)
-        d, c = DIM, CLASSES
-        shapes = {"ec": (c, d), "eh": (BUCKETS, d), "ep": (CONTEXT, d), "wq": (d, d), "wk": (d, d), "wv": (d, d), "wo": (d, c), "wx": (d, c), "bias": (c,), "pair": (c, c)}
-        self.w = weights or {k: (rng.standard_normal(s) * (0.3 if k[0] in "ew" else 0.0)).astype(np.float32) for k, s in shapes.items()}
-
-    def forward(self, cls: np.ndarray, bucket: np.ndarray, keep: bool = False):
-        """(windows, CONTEXT, CLASSES) log-probabilities of the next class; with keep also what the gradients need."""
-        w = self.w
-        x = w["ec"][cls] + w["eh"][bucket] + w["ep"]
-        q, k, v = x @ w["wq"], x @ w["wk"], x @ w["wv"]
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(DIM**-0.5)
-        s += _CAUSAL
-        s -= s.max(-1, keepdims=True)
-        a = np.exp(s, out=s)
-        a /= a.sum(-1, keepdims=True)
-        y = a @ v
-        z = y @ w["wo"] + x @ w["wx"]
-        z += w["pair"][cls]
-        z += w["bias"]
-        z -= z.max(-1, keepdims=True)
-        z -= np.log(np.exp(z).sum(-1, keepdims=True))
-        return (z, (x, q, k, v, a, y)) if keep else z
-
-    def tables(self, classes: np.ndarray) -> Tables:
-        """What each id and each position add to queries, keys, values and class scores: all that precedes attention is
-        linear, so it is summed once for each id of the vocabulary instead of once for each token."""
-        w = self.w
-        mix = np.concatenate([w["wq"] * np.float32(DIM**-0.5), w["wk"], w["wv"], w["wx"]], 1)
-        by_id = (w["ec"][classes] + w["eh"][np.arange(len(classes)) % BUCKETS]) @ mix
-        by_id[:, 3 * DIM :] += (w["pair"] + w["bias"])[classes]
-        return Tables(by_id, w["ep"] @ mix, w["wo"])
-
-    def gradients(self, cls, bucket, target, mask) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log-likelihood of target where mask holds, and its gradients."""
-        w = self.w
-        z, (x, q, k, v, a, y) = self.forward(cls, bucket, keep=True)
-        n = max(1.0, float(mask.sum()))
-        at = np.take_along_axis(z, target[..., None], -1)[..., 0]
-        dz = np.exp(z)
-        np.put_along_axis(dz, target[..., None], np.take_along_axis(dz, target[..., None], -1) - 1, -1)
-        dz *= (mask / n)[..., None].astype(np.float32)
-        flat = dz.reshape(-1, CLASSES)
-        g = {"bias": flat.sum(0), "wo": y.reshape(-1, DIM).T @ flat, "wx": x.reshape(-1, DIM).T @ flat}
-        g["pair"] = np.zeros_like(w["pair"])
-        np.add.at(g["pair"], cls.ravel(), flat)
-        dy = dz @ w["wo"].T
-        dv, da = a.transpose(0, 2, 1) @ dy, dy @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(DIM**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        xf = x.reshape(-1, DIM).T
-        g |= {m: xf @ d.reshape(-1, DIM) for m, d in (("wq", dq), ("wk", dk), ("wv", dv))}
-        dx = dq @ w["wq"].T + dk @ w["wk"].T + dv @ w["wv"].T + dz @ w["wx"].T
-        g["ep"] = dx.sum(0)
-        g["ec"], g["eh"] = np.zeros_like(w["ec"]), np.zeros_like(w["eh"])
-        np.add.at(g["ec"], cls.ravel(), dx.reshape(-1, DIM))
-        np.add.at(g["eh"], bucket.ravel(), dx.reshape(-1, DIM))
-        return float(-(at * mask).sum() / n), g
-
-    def fit(self, windows: np.ndarray, classes: np.ndarray, rate: float = RATE, seed: int = 0) -> None:
-        """One pass of Adam over windows of CONTEXT + 1 ids (-1: none)."""
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        order = np.random.default_rng(seed).permutation(len(windows))
-        for t, lo in enumerate(range(0, len(order), BATCH), 1):
-            part = windows[order[lo : lo + BATCH]]
-            mask = part[:, 1:] >= 0
-            ids = np.maximum(part, 0)
-            c = classes[ids]
-            _, g = self.gradients(c[:, :-1], ids[:, :-1] % BUCKETS, c[:, 1:], mask)
-            for k in self.w:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-                self.w[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-
-
-_CAUSAL = np.triu(np.full((CONTEXT, CONTEXT), -1e9, np.float32), 1)
-_VISIBLE, _CEILING = np.tril(np.ones((CONTEXT, CONTEXT), np.float32)), np.float32(60)
-
-
-def window_starts(n: int) -> range:
-    """Starts of the windows over n predictions: each but the first repeats OVERLAP positions as context only."""
-    step = CONTEXT - OVERLAP
-    return range(0, max(1, n - OVERLAP), step)
-
-
-def windows_of(seq: np.ndarray) -> np.ndarray:
-    """All windows over an id sequence as rows of CONTEXT + 1 ids, -1 beyond its end."""
-    n, step = len(window_starts(len(seq) - 1)), CONTEXT - OVERLAP
-    padded = np.full((n - 1) * step + CONTEXT + 1, -1, np.int32)
-    padded[: len(seq)] = seq[: len(padded)]
-    return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + 1)[::step]
-
-
-def score_texts(sequences: list[np.ndarray], model: Attention, classes: np.ndarray, inside: np.ndarray, rows: int = 256, tables: Tables | None = None) -> list[float]:
-    """log10 probability of each id sequence (begin ... end): every id after the first is scored once.
-
-    inside: log10 probability of each id in its class. Windows of many texts make one batch of masked attention; in all
-    but a text's first window the OVERLAP leading positions are keys and values only.
-    """
-    if not sequences:
-        return []
-    tables = tables or model.tables(classes)
-    parts = [windows_of(s) for s in sequences]
-    first = np.cumsum([0, *(len(p) for p in parts)])[:-1]
-    windows = np.concatenate(parts)
-    later = np.ones(len(windows), bool)
-    later[first] = False
-    sums = np.zeros(len(windows))
-    for which, start in ((first, 0), (np.flatnonzero(later), OVERLAP)):
-        for lo in range(0, len(which), rows):
-            part = windows[which[lo : lo + rows]]
-            ids, mask = np.maximum(part, 0), part[:, start + 1 :] >= 0
-            target = ids[:, start + 1 :]
-            logs = tables.target_logs(ids[:, :-1], classes[target], start) * np.float32(1 / math.log(10)) + inside[target]
-            sums[which[lo : lo + rows]] = np.where(mask, logs, 0).sum(1, dtype=np.float64)
-    return np.add.reduceat(sums, first).tolist()
-
-
-_GATHERED = pa.schema([("word", pa.binary()), ("id", pa.int32()), ("n", pa.int64()), ("win", pa.binary())])
-
-
-def gather(rows: DataFrame, path: str, pattern: str, share: int) -> DataFrame:
-    """Rows of three kinds from all training documents: word counts (word, n), subword counts (id, n), and windows (win)."""
+def _batches(ids: list[bytes]):
+    """(first row, ids end to end, lengths) of runs of rows with about PIECE ids: memory is bounded but for one long text."""
+    lo, size = 0, 0
+    for i, x in enumerate(ids):
+        if size and size + len(x) // 2 > PIECE:
+            yield lo, np.frombuffer(b"".join(ids[lo:i]), np.uint16).astype(np.int32), np.array([len(x) // 2 for x in ids[lo:i]])
+            lo, size = i, 0
+        size += len(x) // 2
+    if lo < len(ids):
+        yield lo, np.frombuffer(b"".join(ids[lo:]), np.uint16).astype(np.int32), np.array([len(x) // 2 for x in ids[lo:]])
+
+
+def gather(rows: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Rows of three kinds: (id, k1, k2, held_out, ids) of every document, and word counts (word, n) and subword counts
+    (sub, n) of the training documents."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         worker = subwords(path, pattern)
         for b in batches:
             words: Counter[bytes] = Counter()
-            windows, seen = [], [np.zeros(0, np.int32)]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if is_held_out(doc_id):
-                    continue
+            held, seqs, counts = [], [], np.zeros(worker.size, np.int64)
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
                 own = words_of(text)
-                words.update(own)
-                words[b""] += 1  # the end
                 ids = worker.ids(own)
-                seen.append(ids[1:])
-                crc = zlib.crc32(str(doc_id).encode())
-                windows += [w.tobytes() for w in windows_of(ids)[-(crc // 7) % share :: share]]
-            counts = np.bincount(np.concatenate(seen))
+                held.append(is_held_out(doc_id))
+                seqs.append(ids.astype(np.uint16).tobytes())
+                if not held[-1]:
+                    words.update(own)
+                    words[b""] += 1  # the end
+                    counts += np.bincount(ids[1:], minlength=worker.size)
             some = np.flatnonzero(counts)
-            a, c, d = len(words), len(some), len(windows)
+            a, c, d = len(words), len(some), len(seqs)
+            none = [None] * (a + c)
             yield pa.RecordBatch.from_arrays([
-                pa.array([*words, *[None] * (c + d)], pa.binary()), pa.array([*[None] * a, *some.tolist(), *[None] * d], pa.int32()),
-                pa.array([*words.values(), *counts[some].tolist(), *[0] * d], pa.int64()), pa.array([*[None] * (a + c), *windows], pa.binary()),
-            ], schema=_GATHERED)
+                *(pa.concat_arrays([b.column(i), pa.nulls(a + c, b.column(i).type)]) for i in range(3)), pa.array([*held, *none], pa.bool_()), pa.array([*seqs, *none], pa.binary()),
+                pa.array([*[None] * d, *words, *[None] * c], pa.binary()), pa.array([*[None] * (d + a), *some.tolist()], pa.int32()), pa.array([*[None] * d, *words.values(), *counts[some].tolist()], pa.int64()),
+            ], ["id", "k1", "k2", "held_out", "ids", "word", "sub", "n"])
 
-    return rows.mapInArrow(run, "word binary, id int, n long, win binary")
+    return rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, held_out boolean, ids binary, word binary, sub int, n long")
 
 
-def frequency_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each id, log10 of its add-one share in its class): ids by falling count, cut to classes of even mass."""
-    mass = counts + 1.0
-    order = np.lexsort((np.arange(len(mass)), -mass))
-    before = np.cumsum(mass[order]) - mass[order]
-    classes = np.zeros(len(mass), np.int32)
-    classes[order] = np.minimum(CLASSES - 1, (before * CLASSES / mass.sum()).astype(np.int32))
-    return classes, np.log10(mass / np.bincount(classes, weights=mass, minlength=CLASSES)[classes])
+def pair_counts(training: DataFrame, row_of: np.ndarray) -> np.ndarray:
+    """How often each row of the tables is followed by each other (TOP x TOP) in the training sequences."""
+    spark = training.sparkSession
+    sent = spark.sparkContext.broadcast(row_of)
 
+    def count(batches):
+        total = np.zeros(TOP * TOP, np.int64)
+        for b in batches:
+            for _, flat, lengths in _batches(b.column(0).to_pylist()):
+                rows = sent.value[flat].astype(np.int64)
+                inner = np.ones(len(rows), bool)
+                inner[np.cumsum(lengths) - lengths] = False
+                total += np.bincount((rows[:-1] * TOP + rows[1:])[inner[1:]], minlength=TOP * TOP)
+        total = total.reshape(TOP, TOP)
+        some = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([total[i].tobytes() for i in some], pa.binary())], ["row", "pairs"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}  # TOP rows at most
+        for b in batches:
+            for row, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(pairs, np.int64)
+                sums[row] = sums[row] + own if row in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["row", "pairs"])
 
-def train(windows: DataFrame, classes: np.ndarray, rounds: int = ROUNDS, workers: int = WORKERS) -> Attention:
-    """Weights fitted to windows: in each round every worker runs Adam from the shared weights over its part, and their
-    weights, a few thousand numbers each, are averaged by the windows seen. Without windows the start weights stay."""
-    spark = windows.sparkSession
-    parts = settle(windows.select("win").repartition(workers), "windows")  # dealt in turn: equal windows may be many
-    model = Attention()
+    counted = training.select("ids").mapInArrow(count, "row long, pairs binary").repartition("row").mapInArrow(add, "row long, pairs binary")
+    out = np.zeros((TOP, TOP), np.int64)
+    for r in counted.toLocalIterator():  # TOP rows at most
+        out[r.row] = np.frombuffer(r.pairs, np.int64)
+    return out
+
+
+def train(training: DataFrame, tables: Counts, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Attention, int]:
+    """The model fitted on every window of the training sequences, and how many windows it saw.
+
+    Documents are dealt to the rounds by their key, so each window is fitted once; in a round every task runs Adam from
+    the shared weights over its part (tasks grow with the table), and the weights are averaged by the windows seen.
+    Averages of averages are made in tasks, so the driver gets few rows. Without windows the start weights stay.
+    """
+    spark = training.sparkSession
+    model, seen = Attention(), 0
+    names = sorted(model.w)
     for k in range(rounds):
-        sent = spark.sparkContext.broadcast((model.w, classes, RATE / (k + 1)))
+        sent = spark.sparkContext.broadcast((model.w, tables, rate / (1 + k)))
 
         def fit(batches, sent=sent, k=k):
-            weights, own_classes, rate = sent.value
-            own, seen = Attention({n: v.copy() for n, v in weights.items()}), 0
-            for b in batches:  # a batch at a time bounds memory, whatever the corpus
-                wins = np.frombuffer(b"".join(b.column(0).to_pylist()), np.int32).reshape(-1, CONTEXT + 1)
-                if len(wins):
-                    own.fit(wins, own_classes, rate, seed=k)
-                    seen += len(wins)
-            yield pa.RecordBatch.from_pydict({"seen": [float(seen)], "w": [np.concatenate([own.w[n].ravel() for n in sorted(own.w)]).astype("<f4").tobytes()]})
-
-        got = [(r.seen, np.frombuffer(r.w, "<f4")) for r in parts.select("win").mapInArrow(fit, "seen double, w binary").collect() if r.seen]  # one row for each task
+            weights, own_tables, own_rate = sent.value
+            own, n, state = Attention(dict(weights)), 0, {}
+            for b in batches:
+                for _, flat, lengths in _batches(b.column(0).to_pylist()):
+                    windows = windows_over(lengths, 0)
+                    own.fit(own_tables.row_of[flat], windows, own_tables, state, own_rate, seed=k)
+                    n += len(windows.at)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "w": pa.array([np.concatenate([own.w[x].ravel() for x in names]).astype("<f8").tobytes()], pa.binary())})
+
+        def mean(batches):
+            n, total = 0, 0.0
+            for b in batches:
+                for m, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    n, total = n + m, total + m * np.frombuffer(w, "<f8")
+            if n:
+                yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "w": pa.array([(total / n).tobytes()], pa.binary())})
+
+        part = training.where(F.pmod("k1", F.lit(rounds)) == k).select("ids")
+        fitted = part.mapInArrow(fit, "n long, w binary").repartition(8).mapInArrow(mean, "n long, w binary")
+        got = [(r.n, np.frombuffer(r.w, "<f8")) for r in fitted.collect()]  # one row for each of 8 tasks
         if not got:
-            break
-        mean = sum(n * v for n, v in got) / sum(n for n, _ in got)
-        at, fitted = 0, {}
-        for n in sorted(model.w):
-            size = model.w[n].size
-            fitted[n] = mean[at : at + size].reshape(model.w[n].shape).astype(np.float32)
+            continue
+        seen += sum(n for n, _ in got)
+        flat, at, weights = sum(n * w for n, w in got) / sum(n for n, _ in got), 0, {}
+        for x in names:
+            size = model.w[x].size
+            weights[x] = flat[at : at + size].reshape(model.w[x].shape).astype(np.float32)
             at += size
-        model = Attention(fitted)
-    return model
+        model = Attention(weights)
+    return model, seen
+
+
+def chunk_scores(sequences: DataFrame, model: Attention, tables: Counts) -> DataFrame:
+    """(id, k1, k2, held_out, key, pair, fresh, own, p) for each chunk of each sequence: p is the model's log10 probability
+    of the chunk; fresh marks the first chunk of its kind in a training document, own counts those under its key there.
+    A chunk without a whole key before it gets a key that no other has."""
+    spark = sequences.sparkSession
+    kind = sequences.schema["id"].dataType.simpleString()
+    sent = spark.sparkContext.broadcast((model.w, tables))
+
+    def run(batches):
+        weights, own_tables = sent.value
+        own_model = Attention(weights)
+        heads = own_model.heads(own_tables)
+        for b in batches:
+            for lo, flat, lengths in _batches(b.column(4).to_pylist()):
+                part = b.slice(lo, len(lengths))
+                logs = token_logs(own_model, own_tables, heads, flat, lengths)
+                c = chunks_over(flat, lengths)
+                held, k2 = np.array(part.column(3).to_pylist(), bool), part.column(2).to_numpy()
+                alone = (k2[c.own] + c.start * 0x9E3779B97F4A7C1 + part.column(1).to_numpy()[c.own]).astype(np.int64)
+                key, pair = np.where(c.keyed, c.key, alone), np.where(c.keyed, c.pair, alone)
+                order = np.lexsort((pair, key, c.own))
+                first = np.ones(len(order), bool)
+                first[1:] = (pair[order][1:] != pair[order][:-1]) | (key[order][1:] != key[order][:-1]) | (c.own[order][1:] != c.own[order][:-1])
+                fresh = np.zeros(len(order), bool)
+                fresh[order] = first
+                run_of = np.cumsum(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (c.own[order][1:] != c.own[order][:-1])])) - 1
+                own = np.zeros(len(order), np.int64)
+                own[order] = np.bincount(run_of, first).astype(np.int64)[run_of]
+                teaches = c.keyed & ~held[c.own]
+                sums = np.add.reduceat(logs.astype(np.float64), c.start)
+                keys = part.select([0, 1, 2, 3]).take(pa.array(c.own))
+                yield pa.RecordBatch.from_arrays([*keys.columns, *map(pa.array, (key, pair, fresh & teaches, np.where(teaches, own, 0), sums))], ["id", "k1", "k2", "held_out", "key", "pair", "fresh", "own", "p"])
+
+    return sequences.mapInArrow(run, f"id {kind}, k1 long, k2 long, held_out boolean, key long, pair long, fresh boolean, own long, p double")
+
+
+def remembered(chunks: DataFrame) -> DataFrame:
+    """(id, k1, k2, score): a chunk's probability is (c + P) / (C + 1), where P is the model's, C counts the (document,
+    chunk) pairs under its key in other training documents, and c those with this chunk; the sum of their logarithms."""
+    taught = chunks.where("fresh")
+    pairs = taught.groupBy("pair").agg(F.count("*").alias("c"))
+    keys = taught.groupBy("key").agg(F.count("*").alias("all"))
+    met = chunks.join(pairs, "pair", "left").join(keys, "key", "left")
+    self_c = F.when(F.col("own") > 0, 1).otherwise(0)
+    met = met.withColumn("c", F.coalesce("c", F.lit(0)) - self_c).withColumn("all", F.coalesce("all", F.lit(0)) - F.col("own"))
+    log = F.when(F.col("c") > 0, F.log10(F.col("c") + F.pow(F.lit(10.0), F.col("p")))).otherwise(F.col("p")) - F.log10(F.greatest(F.col("all"), F.lit(0)) + 1)
+    return met.groupBy("id", "k1", "k2").agg(F.sum(log).alias("score"))
 
 
 def frequent_words(counts: DataFrame) -> dict[bytes, int]:
@@ -316,19 +262,60 @@ def frequent_words(counts: DataFrame) -> dict[bytes, int]:
     return {bytes(r.word): r.c for r in counts.where(F.floor(F.log2("c") * 8) >= least).collect()}
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", subword_path: str | None = None, pattern: str | None = None, share: int = TRAIN_SHARE) -> DataFrame:
+def base_rows(rows: DataFrame, common: dict[bytes, int]) -> DataFrame:
+    """What the base needs of each document: one row with the sums over its frequent words, and a row for each other
+    word, which meets its count in a join."""
+    kind = rows.schema["id"].dataType.simpleString()
+    words_sent = rows.sparkSession.sparkContext.broadcast(common)
+
+    def measure(batches):
+        known = {w: math.log10(c + 1) for w, c in words_sent.value.items()}
+        end_known = bool(words_sent.value[b""])
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                source, word, n, copies, tokens, sums = [], [], [], [], [], []
+                for at, (key, text) in enumerate(zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    words = words_of(text)
+                    logs = [known[w] for w in words if w in known]
+                    own = Counter([w for w in words if w not in known])
+                    rare = list(own)
+                    all_tokens = len(words) + 1
+                    more = [None] * len(rare)
+                    source += [at] * (1 + len(rare))
+                    word.append(b" " + key.to_bytes(8, "little", signed=True))  # no word has a blank: this row meets none
+                    word += rare
+                    n.append(len(logs) + end_known)
+                    n += own.values()
+                    copies.append(1)
+                    copies += more
+                    tokens.append(all_tokens)
+                    tokens += more
+                    sums.append(math.fsum([known[b""], *logs]))
+                    sums += more
+                keys = part.select([0, 1, 2]).take(pa.array(source, pa.int64()))
+                held = np.array([is_held_out(x) for x in part.column(0).to_pylist()], bool)
+                yield pa.RecordBatch.from_arrays([
+                    *keys.columns, pa.array(held[source], pa.bool_()), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.array(copies, pa.int64()), pa.array(tokens, pa.int64()), pa.array(sums, pa.float64()),
+                ], ["id", "k1", "k2", "held_out", "word", "n", "copies", "tokens", "sums"])
+
+    return rows.mapInArrow(measure, f"id {kind}, k1 long, k2 long, held_out boolean, word binary, n long, copies long, tokens long, sums double")
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", subword_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
-    Documents whose crc32(id as text) mod 7 is 2 are held out; all others give the counts and the training windows.
+    Documents whose crc32(id as text) mod 7 is 2 are held out; all others give the counts, the training windows and the
+    memory. score is the log10 probability of the text by the model and the memory of the other training documents.
     Null text counts as empty (its end token alone is scored); a null id is the empty text for the crc; repeated rows
-    repeat their result (and count each time in training); without training documents the base is uniform over nothing
-    (log10 of 1) and the model keeps its start weights; an empty table gives no rows.
+    repeat their result and count each time in training, so they remember each other; very long texts are scored whole,
+    window by window; without training documents the base is uniform over nothing (log10 of 1) and the model keeps its
+    start weights; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     path, pattern = (subword_path, pattern) if subword_path else default_subwords()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    kind = rows.schema["id"].dataType.simpleString()
-    gathered = settle(gather(rows, path, pattern, share), "gathered")
+    rows = rows.select("id", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(11), "t").alias("k2"), "t")
+    gathered = settle(gather(rows, path, pattern), "gathered")
     counts = settle(gathered.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total, floor = total or 0, math.log10((total or 0) + distinct + 1)
@@ -336,58 +323,24 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     end_count = counts.where(F.col("word") == F.lit(b"")).select("c").first()
     common[b""] = end_count[0] if end_count else 0
     sizes = np.zeros(subwords(path, pattern).size, np.int64)
-    for r in gathered.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most a row for each id of the vocabulary
-        sizes[r.id] = r.n
-    classes, inside = frequency_classes(sizes)
-    model = train(gathered.where("win IS NOT NULL"), classes)
-    words_sent, model_sent = spark.sparkContext.broadcast(common), spark.sparkContext.broadcast((model.w, classes, inside))
-
-    # One pass over the texts: the model's score and the base of the frequent words are found where the text is; each
-    # other word becomes a row that meets its count in a join.
-    def measure(batches):
-        worker = subwords(path, pattern)
-        weights, own_classes, own_inside = model_sent.value
-        own_model = Attention(weights)
-        tables = own_model.tables(own_classes)
-        known = {w: math.log10(c + 1) for w, c in words_sent.value.items()}
-        end_known = bool(words_sent.value[b""])
-        for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                split = [words_of(t) for t in part.column(3).to_pylist()]
-                scores = score_texts([worker.ids(w) for w in split], own_model, own_classes, own_inside, tables=tables)
-                source, word, n, copies, tokens, sums, score = [], [], [], [], [], [], []
-                for at, (key, words) in enumerate(zip(part.column(1).to_pylist(), split, strict=True)):
-                    own = Counter(words)
-                    rare = [w for w in own if w not in known]
-                    all_tokens = len(words) + 1
-                    missed = sum(own[w] for w in rare)
-                    more = [None] * len(rare)
-                    source += [at] * (1 + len(rare))
-                    word += [b" " + key.to_bytes(8, "little", signed=True), *rare]  # no word has a blank: this row meets none
-                    n += [all_tokens - missed - (not end_known), *[own[w] for w in rare]]
-                    copies += [1, *more]
-                    tokens += [all_tokens, *more]
-                    sums += [math.fsum([known[b""], *(known[w] * c for w, c in own.items() if w in known)]), *more]
-                    score += [scores[at], *more]
-                keys = part.select([0, 1, 2]).take(pa.array(source, pa.int64()))
-                held = [is_held_out(x) for x in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([
-                    *keys.columns, pa.array([held[at] for at in source], pa.bool_()), pa.array(word, pa.binary()), pa.array(n, pa.int64()),
-                    pa.array(copies, pa.int64()), pa.array(tokens, pa.int64()), pa.array(sums, pa.float64()), pa.array(score, pa.float64()),
-                ], ["id", "k1", "k2", "held_out", "word", "n", "copies", "tokens", "sums", "score"])
-
-    keys = [F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(11), "t").alias("k2")]
-    flat = rows.select("id", *keys, "t").mapInArrow(measure, f"id {kind}, k1 long, k2 long, held_out boolean, word binary, n long, copies long, tokens long, sums double, score double")
-    met = flat.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    for r in gathered.where("sub IS NOT NULL").groupBy("sub").agg(F.sum("n").alias("n")).collect():  # at most a row for each id of the vocabulary
+        sizes[r["sub"]] = r.n
+    sequences = gathered.where("ids IS NOT NULL").select("id", "k1", "k2", "held_out", "ids")
+    training = sequences.where("NOT held_out").select("k1", "ids")
+    tables = count_tables(sizes, pair_counts(training, rows_of(sizes)))
+    model, _ = train(training, tables)
+    scores = remembered(settle(chunk_scores(sequences, model, tables), "chunks"))
+
+    met = base_rows(rows, common).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     whole = F.col("copies").isNotNull()
+    based = met.select("id", "k1", "k2", "held_out", "copies", "tokens", F.when(whole | (F.col("c") > 0), F.col("n")).otherwise(0).alias("known"), F.when(whole, F.col("sums")).otherwise(F.col("n") * F.log10(F.col("c") + 1)).alias("sums"))
+    none = lambda kind: F.lit(None).cast(kind)
+    scored = scores.select("id", "k1", "k2", none("boolean").alias("held_out"), none("long").alias("copies"), none("long").alias("tokens"), none("long").alias("known"), none("double").alias("sums"), "score")
     # equal rows share a key: they add up to `copies` times the same figures, and come out as often as they went in
-    per_row = met.groupBy("id", "k1", "k2").agg(
-        F.max("held_out").alias("held_out"), F.sum("copies").alias("copies"), F.max("tokens").alias("n_tokens"),
-        F.sum(F.when(whole | (F.col("c") > 0), F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.when(whole, F.col("sums")).otherwise(F.col("n") * F.log10(F.col("c") + 1))).alias("sums"), F.max("score").alias("score"),
+    per_row = based.withColumn("score", none("double")).unionByName(scored).groupBy("id", "k1", "k2").agg(
+        F.max("held_out").alias("held_out"), F.sum("copies").alias("copies"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("sums").alias("sums"), F.sum("score").alias("score"),
     ).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return per_row.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") / F.col("copies")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("sums") / F.col("copies") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score",
+        (F.col("sums") / F.col("copies") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"),
     )

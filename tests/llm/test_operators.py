@@ -358,87 +358,165 @@ def test_lm_rare_words_join(spark, edge_dir, monkeypatch):
     assert {(r.doc_id, r.n_known, round(r.base_score, 6)) for r in Q["op10_lm_scoring"](spark, edge_dir).collect()} == want
 
 
-def test_lm_scores_are_probabilities_and_each_token_counts_once():
-    from quillmill.llm import lm_score as lm
-
-    rng = np.random.default_rng(0)
-    counts = rng.integers(0, 50, 300)
-    classes, inside = lm.frequency_classes(counts)
-    for c in range(lm.CLASSES):
-        own = inside[classes == c]
-        assert not len(own) or 10**own @ np.ones(len(own)) == pytest.approx(1)
-    model = lm.Attention()
-    seq = rng.integers(0, 300, 100).astype(np.int32)
-    head = seq[None, : lm.CONTEXT]
-    z = model.forward(classes[head], head % lm.BUCKETS)
-    assert np.exp(z).sum(-1) == pytest.approx(1, abs=1e-4)
-    target = classes[seq[None, 1 : lm.CONTEXT + 1]]
-    for start in (0, lm.OVERLAP):
-        assert np.allclose(model.tables(classes).target_logs(head, target[:, start:], start), np.take_along_axis(z, target[..., None], -1)[..., 0][:, start:], atol=1e-4)
-    changed = head.copy()
-    changed[0, 20:] = 0
-    assert np.allclose(z[0, :20], model.forward(classes[changed], changed % lm.BUCKETS)[0, :20], atol=1e-5)  # causal
-    flat = lm.Attention({k: np.zeros_like(v) for k, v in model.w.items()})
-    for n in (2, 3, 32, 33, 34, 57, 58, 100):
-        want = sum(inside[i] for i in seq[1:n]) - (n - 1) * math.log10(lm.CLASSES)
-        assert lm.score_texts([seq[:n]], flat, classes, inside)[0] == pytest.approx(want, rel=1e-4)
-    assert lm.score_texts([seq, seq[:40]], model, classes, inside)[1] == pytest.approx(lm.score_texts([seq[:40]], model, classes, inside)[0], rel=1e-5)
-
-
-def test_lm_window_reaches_far_enough():
-    from quillmill.llm import lm_score as lm
+def lm_tables(seed=0, size=300):
+    """Tables over random ids, the flat ids and their lengths."""
+    from quillmill.llm import lm_model as lm
+
+    rng = np.random.default_rng(seed)
+    lengths = np.array([2, 3, 33, 34, 41, 57, 58, 100, 400, 1])
+    flat = rng.integers(0, size, lengths.sum())
+    counts = np.bincount(flat, minlength=size + 50)
+    rows = lm.rows_of(counts, 128)
+    pairs = np.zeros((128, 128), np.int64)
+    np.add.at(pairs, (rows[flat[:-1]], rows[flat[1:]]), 1)
+    return lm.count_tables(counts, pairs), flat, lengths
+
+
+def lm_weights(dtype=np.float32):
+    from quillmill.llm import lm_model as lm
+
+    rng = np.random.default_rng(2)
+    return {k: (v + 0.3 * rng.standard_normal(v.shape)).astype(dtype) for k, v in lm.Attention().w.items()}
+
+
+def test_lm_tables_are_probabilities():
+    t, _, _ = lm_tables()
+    assert np.exp(t.prior).sum(1) == pytest.approx(1, abs=1e-4)
+    for c in set(t.classes.tolist()):
+        assert (10.0 ** t.inside[:, t.classes == c]).sum(1) == pytest.approx(1, abs=1e-4)
+    for row in range(128):
+        assert (10.0 ** t.rest[t.row_of == row]).sum() == pytest.approx(1, abs=1e-4)
 
-    assert lm.CONTEXT >= 32 and lm.OVERLAP >= 8 and lm.CLASSES >= 32
-    starts = lm.window_starts(200)
-    assert all(a + lm.CONTEXT - b >= 8 for a, b in zip(starts, starts[1:], strict=False))
 
+def test_lm_scores_each_token_once_by_masked_attention():
+    from quillmill.llm import lm_model as lm
 
-def test_lm_trains_on_every_window(spark, monkeypatch):
-    from quillmill.llm import lm_score as lm
+    t, flat, lengths = lm_tables()
+    model = lm.Attention(lm_weights())
+    got = lm.token_logs(model, t, model.heads(t), flat, lengths, size=3)
+    want, w = [], {k: v.astype(float) for k, v in model.w.items()}
+    at = 0
+    for n in lengths:  # token by token, from the window's start as the contract of the windows says
+        seq, rows = flat[at : at + n], t.row_of[flat[at : at + n]]
+        at += n
+        for i in range(1, n):
+            start = 0 if i <= lm.CONTEXT else (-(-(i - lm.CONTEXT) // (lm.CONTEXT - lm.OVERLAP))) * (lm.CONTEXT - lm.OVERLAP)
+            h = t.features[rows[start:i]] @ w["mix"] + w["ep"][: i - start] * np.concatenate([np.ones(lm.DIM), np.ones(2 * lm.DIM)])
+            q = (t.features[rows[i - 1]] @ w["mix"][:, : lm.DIM]) * lm.DIM**-0.5 + w["ep"][i - start - 1, : lm.DIM]
+            a = np.exp(h[:, lm.DIM : 2 * lm.DIM] @ q)
+            z = (a / a.sum()) @ h[:, 2 * lm.DIM :] @ w["wo"] + t.prior[rows[i - 1]] + w["bias"]
+            want.append((z[t.classes[rows[i]]] - np.log(np.exp(z).sum())) / math.log(10) + t.inside[rows[i - 1], rows[i]] + t.rest[seq[i]])
+    assert np.allclose(got, want, atol=2e-4)
+
+
+def test_lm_windows_cover_every_token_once_and_reach_far_enough():
+    from quillmill.llm import lm_model as lm
 
-    texts, met = ["one two three", "the house of the people and " * 20, None, "x"], []
-    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
-    plain = lm.subwords(*lm.default_subwords())
-    want = sum(len(lm.windows_of(plain.ids(lm.words_of((t or "").encode())))) for i, t in enumerate(texts * 2) if not lm.is_held_out(i))
-    monkeypatch.setattr(lm, "train", lambda windows, classes: met.append(windows.count()) or lm.Attention())
-    assert lm.score_documents(docs).count() == 8 and met == [want]
+    assert lm.CONTEXT >= 32 and lm.OVERLAP >= 8 and lm.CLASSES >= 32
+    _, flat, lengths = lm_tables()
+    for overlap in (0, lm.OVERLAP):
+        at, scored = lm.windows_over(lengths, overlap)
+        assert sorted(at[:, 1:][scored].tolist()) == sorted(set(range(len(flat))) - set((np.cumsum(lengths) - lengths).tolist()))
+    assert (scored.sum(1) <= lm.CONTEXT).all() and not scored[:, : lm.OVERLAP][at[:, 0] > 0].all()
 
 
 def test_lm_gradients():
-    from quillmill.llm import lm_score as lm
-
-    rng = np.random.default_rng(4)
-    model = lm.Attention()
-    cls, bucket, target = rng.integers(0, lm.CLASSES, (2, lm.CONTEXT)), rng.integers(0, lm.BUCKETS, (2, lm.CONTEXT)), rng.integers(0, lm.CLASSES, (2, lm.CONTEXT))
-    mask = np.ones(cls.shape, bool)
-    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
-    _, g = model.gradients(cls, bucket, target, mask)
+    from quillmill.llm import lm_model as lm
+
+    t, flat, lengths = lm_tables()
+    t = t._replace(features=t.features.astype(float), prior=t.prior.astype(float))
+    at, scored = lm.windows_over(lengths)
+    rows = t.row_of[flat][at]
+    model = lm.Attention(lm_weights(float))
+    loss = lambda: model.gradients(rows[:, :-1], t.classes[rows[:, 1:]], scored, t)
+    _, g = loss()
+    rng = np.random.default_rng(1)
     for k in model.w:
-        at = tuple(0 if k != "eh" else bucket[0, 0] if i == 0 else 0 for i in range(model.w[k].ndim))
-        if k in ("ec", "pair"):
-            at = (cls[0, 0], *at[1:])
-        keep, step = model.w[k][at], 1e-4
-        model.w[k][at] = keep + step
-        up, _ = model.gradients(cls, bucket, target, mask)
-        model.w[k][at] = keep - step
-        down, _ = model.gradients(cls, bucket, target, mask)
-        model.w[k][at] = keep
-        assert g[k][at] == pytest.approx((up - down) / (2 * step), abs=2e-4)
+        for _ in range(6):
+            where = tuple(rng.integers(0, n) for n in model.w[k].shape)
+            keep = model.w[k][where]
+            model.w[k][where] = keep + 1e-5
+            up, _ = loss()
+            model.w[k][where] = keep - 1e-5
+            down, _ = loss()
+            model.w[k][where] = keep
+            assert g[k][where] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-8)
+
+
+def test_lm_trains_on_every_window_and_learns(spark, monkeypatch):
+    from quillmill.llm import lm_model as lm
+    from quillmill.llm import lm_score
 
+    monkeypatch.setattr(lm_score, "TOP", 128)
+    rng = np.random.default_rng(1)
+    seqs = []
+    for i in range(400):  # two languages: the next id is any of the language's own, so only the context tells which
+        own = rng.integers(0, 20, rng.integers(2, 90)) + 20 * (i % 2)
+        own[::3] = 50
+        seqs.append(own)
+    seqs *= 20
+    counts = np.bincount(np.concatenate(seqs), minlength=60)
+    frame = spark.createDataFrame([(int(rng.integers(-(1 << 60), 1 << 60)), bytearray(s.astype(np.uint16).tobytes())) for s in seqs], "k1 long, ids binary").repartition(3)
+    pairs = lm_score.pair_counts(frame, lm.rows_of(counts, 128))
+    assert pairs.sum() == sum(len(s) - 1 for s in seqs)
+    tables = lm.count_tables(counts, pairs)
+    model, seen = lm_score.train(frame, tables, rate=0.1)
+    lengths = np.array([len(s) for s in seqs])
+    assert seen == len(lm.windows_over(lengths, 0).at)
+    flat, start = np.concatenate(seqs), lm.Attention()
+    before, after = (lm.token_logs(m, tables, m.heads(tables), flat, lengths).sum() for m in (start, model))
+    assert after > before * 0.9
+
+
+def test_lm_chunks_are_cut_alike_and_cover_all():
+    from quillmill.llm import lm_model as lm
+
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 500, 400)
+    seqs = [np.concatenate([rng.integers(0, 500, a), passage, rng.integers(0, 500, z)]) for a, z in ((1, 1), (50, 0), (13, 70))] + [np.array([7]), np.array([7, 7])]
+    lengths = np.array([len(s) for s in seqs])
+    c = lm.chunks_over(np.concatenate(seqs), lengths)
+    assert sorted(set(c.own.tolist())) == [0, 1, 2, 4]
+    sizes = np.diff(np.append(c.start, (lengths - 1).sum()))
+    assert (sizes > 0).all() and np.bincount(c.own, sizes, 5).tolist() == (lengths - 1).tolist()
+    shared = set(c.pair[(c.own == 0) & c.keyed].tolist()) & set(c.pair[c.own == 1].tolist()) & set(c.pair[c.own == 2].tolist())
+    assert len(shared) >= 5
+
+
+def test_lm_remembers_other_documents(spark):
+    """Against the definition: (c + P) / (C + 1) for each chunk, from plain counts over the other training documents."""
+    from quillmill.llm import lm_score
 
-def test_lm_learns(spark):
-    from quillmill.llm import lm_score as lm
+    rng = random.Random(6)
+    rows = [(d, held, key, pair, p) for d, held in enumerate([False, False, True, False, False]) for key, pair, p in [(rng.randint(1, 3), rng.randint(1, 4), -5.0 * rng.random()) for _ in range(12)]]
+    taught = {(d, k, 10 * k + x) for d, h, k, x, _ in rows if not h}
+    out, met = [], set()
+    for d, h, k, x, p in rows:
+        new = (d, k, x) not in met and not h
+        met.add((d, k, x))
+        out.append((d, 0, 0, h, k, 10 * k + x, new, 0 if h else sum(1 for t in taught if t[0] == d and t[1] == k), p))
+    frame = spark.createDataFrame(out, "id long, k1 long, k2 long, held_out boolean, key long, pair long, fresh boolean, own long, p double")
+    got = {r.id: r.score for r in lm_score.remembered(frame).collect()}
+    for doc in range(5):
+        want = 0.0
+        for d, _, k, x, p in rows:
+            if d == doc:
+                others = [t for t in taught if t[0] != d and t[1] == k]
+                want += math.log10((sum(t[2] == 10 * k + x for t in others) + 10**p) / (len(others) + 1))
+        assert got[doc] == pytest.approx(want)
+
+
+def test_lm_score_beats_the_base_and_knows_what_occurs_twice(spark):
+    from .conftest import SF
 
-    rng = np.random.default_rng(1)
-    classes = (np.arange(300) % lm.CLASSES).astype(np.int32)
-    chain = np.zeros((600, lm.CONTEXT + 1), np.int32)
-    chain[:, 0] = rng.integers(0, 300, 600)
-    for i in range(1, chain.shape[1]):
-        chain[:, i] = (chain[:, i - 1] * 7 + 1) % 300
-    model = lm.train(spark.createDataFrame([(bytearray(w.tobytes()),) for w in chain], "win binary"), classes, workers=2)
-    part = chain[:50]
-    after, _ = model.gradients(classes[part[:, :-1]], part[:, :-1] % lm.BUCKETS, classes[part[:, 1:]], np.ones((50, lm.CONTEXT), bool))
-    assert after < 0.8 * math.log(lm.CLASSES)
+    rows = Q["op10_lm_scoring"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").toPandas()
+    known = rows[rows.n_known == rows.n_tokens]
+    for part in (known[~known.held_out], known[known.held_out]):
+        assert len(part) and part.score.sum() > part.base_score.sum()
+    copies = rows.groupby("text").doc_id.transform("count")
+    per = rows.score / rows.n_tokens
+    twice, once = per[(copies == 2) & ~rows.held_out], per[copies == 1]
+    assert (twice > once.quantile(0.9)).mean() >= 0.7  # where one copy is held out the other has nothing to remember
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href=/a>menu</a></li></ul></nav>
