@@ -14,8 +14,9 @@ import numpy as np
 
 CONTEXT, OVERLAP, DIM, CLASSES, TOP, FEATURES = 32, 8, 8, 32, 2048, 16
 RATE, BATCH, DISCOUNT, LOG10 = 0.01, 128, 0.75, np.float32(1 / math.log(10))
-#: Chunks of the repeat memory end where a hash of GRAM ids says so, CHUNK ids apart on average; KEY ids before one are its key.
-GRAM, CHUNK, KEY = 4, 32, 8
+#: Chunks of the repeat memory end where a hash of GRAM ids says so, CHUNK ids apart on average; KEY ids before one are its
+#: key. A text's first cut comes after HEAD ids, which are a key themselves.
+GRAM, CHUNK, KEY, HEAD = 4, 64, 8, 5
 _VISIBLE, _CEILING = np.tril(np.ones((CONTEXT, CONTEXT), np.float32)), np.float32(60)
 _M, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
@@ -225,7 +226,7 @@ class Chunks(NamedTuple):
     start: np.ndarray  # place in the row of predicted ids (all sequences, their first ids left out)
     key: np.ndarray  # hash of the KEY ids before, int64
     pair: np.ndarray  # hash of key and chunk, int64
-    keyed: np.ndarray  # whether KEY ids of the same sequence come before
+    keyed: np.ndarray  # whether enough ids of the same sequence come before
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -252,10 +253,11 @@ def chunks_over(flat: np.ndarray, lengths: np.ndarray) -> Chunks:
 
     at = np.flatnonzero((within >= GRAM) & (within < lengths[own] - 1))  # a cut after this place; the begin id does not count
     at = at[_mixed(span(at - GRAM + 1, at + 1)) >> np.uint64(40) < np.uint64((1 << 24) // CHUNK)] + 1
-    starts = np.union1d(at, (begins + 1)[lengths > 1])
+    at = at[within[at] > HEAD + 1]
+    starts = np.unique(np.concatenate([at, (begins + 1)[lengths > 1], (begins + 1 + HEAD)[lengths > HEAD + 1]]))
     which = own[starts]
     stops = np.minimum(np.append(starts[1:], n), ends[which])
-    keyed = within[starts] >= KEY
-    key = _mixed(span(np.maximum(starts - KEY, 0), starts))
+    keyed = within[starts] > HEAD
+    key = _mixed(span(np.maximum(starts - KEY, begins[which]), starts))
     pair = _mixed(key * np.uint64(_M) + span(starts, stops) + (stops - starts).astype(np.uint64))
     return Chunks(which, starts - which - 1, key.view(np.int64), pair.view(np.int64), keyed)

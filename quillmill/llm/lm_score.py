@@ -28,21 +28,8 @@ FREQUENT, MAX_CACHE, HELD_OUT = 100_000, 450_000, (7, 2)
 _ENCODERS: dict[str, Subwords] = {}
 
 
-class WordCache(dict):
-    """Subword ids of each word met, as int32 bytes; emptied when it holds MAX_CACHE words."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MAX_CACHE:
-            self.clear()
-        found = self[word] = array("i", self.encode(" " + word.decode("utf-8", "replace"))).tobytes()
-        return found
-
-
 class Subwords:
-    """Subword ids of lower-cased words, each word encoded once per worker."""
+    """Subword ids of lower-cased words, each word encoded once per worker while the cache holds it."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -51,11 +38,41 @@ class Subwords:
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1  # also stands before a text
         self.size = self.end + 1
-        self.cache, self.edge = WordCache(self.encoding.encode_ordinary), array("i", [self.end]).tobytes()
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """begin, ids of all words, end."""
-        return np.frombuffer(b"".join([self.edge, *map(self.cache.__getitem__, words), self.edge]), np.int32)
+        if self.size > 1 << 16:
+            raise ValueError("needs ids of 16 bits")
+        self.leads = np.zeros(self.size, bool)  # ids that begin with a blank
+        self.leads[[i for t, i in ranks.items() if t[:1] == b" "]] = True
+        self.cache: dict[bytes, bytes] = {}
+        self.edge = np.uint16(self.end).tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Put words into the cache. ASCII words are encoded together: in their text each begins with the only blank of it,
+        and so does its first id; others are encoded one by one."""
+        if len(self.cache) + len(words) > MAX_CACHE:
+            self.cache.clear()
+        plain = [w for w in words if w.isascii()]
+        for lo in range(0, len(plain), 5000):
+            some = plain[lo : lo + 5000]
+            ids = np.array(self.encoding.encode_ordinary(" " + b" ".join(some).decode()), np.uint16)
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) != len(some):
+                words = words | set(some)  # a vocabulary that joins or parts words at blanks
+                plain = plain[:lo]
+                break
+            data, cuts = ids.tobytes(), [*(2 * starts).tolist(), 2 * len(ids)]
+            for w, x, y in zip(some, cuts, cuts[1:], strict=False):
+                self.cache[w] = data[x:y]
+        for w in words.difference(plain):
+            self.cache[w] = np.array(self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")), np.uint16).tobytes()
+
+    def ids(self, texts: list[list[bytes]], words: set[bytes]) -> list[bytes]:
+        """begin, ids of all words, end for each text, as 16-bit integers; words are those of all texts."""
+        missing = words.difference(self.cache)
+        if len(self.cache) + len(missing) > MAX_CACHE:
+            missing = words  # the cache is about to be emptied
+        self.learn(missing)
+        known = self.cache.__getitem__
+        return [b"".join([self.edge, *map(known, own), self.edge]) for own in texts]
 
 
 def subwords(path: str, pattern: str) -> Subwords:
@@ -67,7 +84,7 @@ def subwords(path: str, pattern: str) -> Subwords:
 def default_subwords() -> tuple[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -92,33 +109,36 @@ def _batches(ids: list[bytes]):
 
 
 def gather(rows: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows of three kinds: (id, k1, k2, held_out, ids) of every document, and word counts (word, n) and subword counts
-    (sub, n) of the training documents."""
+    """Rows of three kinds: (id, k1, k2, rid, held_out, ids) of every document, and word counts (word, n) and subword
+    counts (sub, n) of the training documents."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         worker = subwords(path, pattern)
         for b in batches:
             words: Counter[bytes] = Counter()
-            held, seqs, counts = [], [], np.zeros(worker.size, np.int64)
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
-                own = words_of(text)
-                ids = worker.ids(own)
-                held.append(is_held_out(doc_id))
-                seqs.append(ids.astype(np.uint16).tobytes())
-                if not held[-1]:
-                    words.update(own)
-                    words[b""] += 1  # the end
-                    counts += np.bincount(ids[1:], minlength=worker.size)
+            held, seqs, counts = [is_held_out(x) for x in b.column(0).to_pylist()], [], np.zeros(worker.size, np.int64)
+            for lo in range(0, b.num_rows, 1000):
+                texts = [words_of(t) for t in b.column(4).slice(lo, 1000).to_pylist()]
+                own, other = Counter(), set()
+                for text, out in zip(texts, held[lo : lo + 1000], strict=True):
+                    (other if out else own).update(text)
+                ids = worker.ids(texts, other.union(own))
+                seqs += ids
+                words.update(own)
+                taught = [x[2:] for x, out in zip(ids, held[lo : lo + 1000], strict=True) if not out]
+                words[b""] += len(taught)  # the ends
+                counts += np.bincount(np.frombuffer(b"".join(taught), np.uint16), minlength=worker.size)
             some = np.flatnonzero(counts)
             a, c, d = len(words), len(some), len(seqs)
             none = [None] * (a + c)
             yield pa.RecordBatch.from_arrays([
-                *(pa.concat_arrays([b.column(i), pa.nulls(a + c, b.column(i).type)]) for i in range(3)), pa.array([*held, *none], pa.bool_()), pa.array([*seqs, *none], pa.binary()),
+                *(pa.concat_arrays([b.column(i), pa.nulls(a + c, b.column(i).type)]) for i in range(4)), pa.array([*held, *none], pa.bool_()), pa.array([*seqs, *none], pa.binary()),
                 pa.array([*[None] * d, *words, *[None] * c], pa.binary()), pa.array([*[None] * (d + a), *some.tolist()], pa.int32()), pa.array([*[None] * d, *words.values(), *counts[some].tolist()], pa.int64()),
-            ], ["id", "k1", "k2", "held_out", "ids", "word", "sub", "n"])
+            ], ["id", "k1", "k2", "rid", "held_out", "ids", "word", "sub", "n"])
 
-    return rows.mapInArrow(run, f"id {kind}, k1 long, k2 long, held_out boolean, ids binary, word binary, sub int, n long")
+    numbered = rows.select("id", "k1", "k2", F.monotonically_increasing_id().alias("rid"), "t")
+    return numbered.mapInArrow(run, f"id {kind}, k1 long, k2 long, rid long, held_out boolean, ids binary, word binary, sub int, n long")
 
 
 def pair_counts(training: DataFrame, row_of: np.ndarray) -> np.ndarray:
@@ -200,52 +220,48 @@ def train(training: DataFrame, tables: Counts, rounds: int = ROUNDS, rate: float
 
 
 def chunk_scores(sequences: DataFrame, model: Attention, tables: Counts) -> DataFrame:
-    """(id, k1, k2, held_out, key, pair, fresh, own, p) for each chunk of each sequence: p is the model's log10 probability
-    of the chunk; fresh marks the first chunk of its kind in a training document, own counts those under its key there.
-    A chunk without a whole key before it gets a key that no other has."""
-    spark = sequences.sparkSession
-    kind = sequences.schema["id"].dataType.simpleString()
-    sent = spark.sparkContext.broadcast((model.w, tables))
+    """(rid, key, pair, own, p) for each chunk of each sequence: p is the model's log10 probability of the chunk. own is how
+    many different chunks stand under its key in its document if that is a training document, negative for all but the
+    first of equal chunks, and 0 if nothing is to be learned. A chunk without a whole key before it gets one of its own."""
+    sent = sequences.sparkSession.sparkContext.broadcast((model.w, tables))
 
     def run(batches):
         weights, own_tables = sent.value
         own_model = Attention(weights)
         heads = own_model.heads(own_tables)
         for b in batches:
-            for lo, flat, lengths in _batches(b.column(4).to_pylist()):
-                part = b.slice(lo, len(lengths))
+            for lo, flat, lengths in _batches(b.column(2).to_pylist()):
                 logs = token_logs(own_model, own_tables, heads, flat, lengths)
                 c = chunks_over(flat, lengths)
-                held, k2 = np.array(part.column(3).to_pylist(), bool), part.column(2).to_numpy()
-                alone = (k2[c.own] + c.start * 0x9E3779B97F4A7C1 + part.column(1).to_numpy()[c.own]).astype(np.int64)
+                rid, held = b.column(0).slice(lo, len(lengths)).to_numpy()[c.own], np.array(b.column(1).slice(lo, len(lengths)).to_pylist(), bool)[c.own]
+                with np.errstate(over="ignore"):
+                    alone = rid * np.int64(0x9E3779B97F4A7C1) + c.start
                 key, pair = np.where(c.keyed, c.key, alone), np.where(c.keyed, c.pair, alone)
                 order = np.lexsort((pair, key, c.own))
-                first = np.ones(len(order), bool)
-                first[1:] = (pair[order][1:] != pair[order][:-1]) | (key[order][1:] != key[order][:-1]) | (c.own[order][1:] != c.own[order][:-1])
-                fresh = np.zeros(len(order), bool)
-                fresh[order] = first
-                run_of = np.cumsum(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (c.own[order][1:] != c.own[order][:-1])])) - 1
-                own = np.zeros(len(order), np.int64)
-                own[order] = np.bincount(run_of, first).astype(np.int64)[run_of]
-                teaches = c.keyed & ~held[c.own]
+                new_key = np.ones(len(order), bool)
+                new_key[1:] = (key[order][1:] != key[order][:-1]) | (c.own[order][1:] != c.own[order][:-1])
+                first = new_key.copy()
+                first[1:] |= pair[order][1:] != pair[order][:-1]
+                run_of = np.cumsum(new_key) - 1
+                own = np.zeros(len(order), np.int32)
+                own[order] = np.bincount(run_of, first)[run_of] * np.where(first, 1, -1)
+                own[held | ~c.keyed] = 0
                 sums = np.add.reduceat(logs.astype(np.float64), c.start)
-                keys = part.select([0, 1, 2, 3]).take(pa.array(c.own))
-                yield pa.RecordBatch.from_arrays([*keys.columns, *map(pa.array, (key, pair, fresh & teaches, np.where(teaches, own, 0), sums))], ["id", "k1", "k2", "held_out", "key", "pair", "fresh", "own", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid, key, pair, own, sums.astype(np.float32))], ["rid", "key", "pair", "own", "p"])
 
-    return sequences.mapInArrow(run, f"id {kind}, k1 long, k2 long, held_out boolean, key long, pair long, fresh boolean, own long, p double")
+    return sequences.select("rid", "held_out", "ids").mapInArrow(run, "rid long, key long, pair long, own int, p float")
 
 
 def remembered(chunks: DataFrame) -> DataFrame:
-    """(id, k1, k2, score): a chunk's probability is (c + P) / (C + 1), where P is the model's, C counts the (document,
-    chunk) pairs under its key in other training documents, and c those with this chunk; the sum of their logarithms."""
-    taught = chunks.where("fresh")
-    pairs = taught.groupBy("pair").agg(F.count("*").alias("c"))
-    keys = taught.groupBy("key").agg(F.count("*").alias("all"))
-    met = chunks.join(pairs, "pair", "left").join(keys, "key", "left")
-    self_c = F.when(F.col("own") > 0, 1).otherwise(0)
-    met = met.withColumn("c", F.coalesce("c", F.lit(0)) - self_c).withColumn("all", F.coalesce("all", F.lit(0)) - F.col("own"))
-    log = F.when(F.col("c") > 0, F.log10(F.col("c") + F.pow(F.lit(10.0), F.col("p")))).otherwise(F.col("p")) - F.log10(F.greatest(F.col("all"), F.lit(0)) + 1)
-    return met.groupBy("id", "k1", "k2").agg(F.sum(log).alias("score"))
+    """(rid, score): a chunk's probability is (c + P) / (C + 1), where P is the model's, C counts the (document, chunk)
+    pairs under its key in other training documents, and c those with this chunk; the sum of their logarithms."""
+    taught = chunks.where("own > 0")
+    pairs = taught.groupBy("pair").agg(F.count("*").cast("int").alias("c"))
+    keys = taught.groupBy("key").agg(F.count("*").cast("int").alias("all"))
+    met = chunks.join(pairs, "pair", "left").select("rid", "key", "own", "p", (F.coalesce("c", F.lit(0)) - F.when(F.col("own") != 0, 1).otherwise(0)).alias("c")).join(keys, "key", "left")
+    others = F.greatest(F.coalesce("all", F.lit(0)) - F.abs("own"), F.lit(0))
+    log = F.when(F.col("c") > 0, F.log10(F.col("c") + F.pow(F.lit(10.0), F.col("p")))).otherwise(F.col("p")) - F.log10(others + 1)
+    return met.groupBy("rid").agg(F.sum(log).alias("score"))
 
 
 def frequent_words(counts: DataFrame) -> dict[bytes, int]:
@@ -325,11 +341,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = np.zeros(subwords(path, pattern).size, np.int64)
     for r in gathered.where("sub IS NOT NULL").groupBy("sub").agg(F.sum("n").alias("n")).collect():  # at most a row for each id of the vocabulary
         sizes[r["sub"]] = r.n
-    sequences = gathered.where("ids IS NOT NULL").select("id", "k1", "k2", "held_out", "ids")
+    sequences = gathered.where("ids IS NOT NULL").select("id", "k1", "k2", "rid", "held_out", "ids")
     training = sequences.where("NOT held_out").select("k1", "ids")
     tables = count_tables(sizes, pair_counts(training, rows_of(sizes)))
     model, _ = train(training, tables)
-    scores = remembered(settle(chunk_scores(sequences, model, tables), "chunks"))
+    scores = sequences.select("id", "k1", "k2", "rid").join(remembered(settle(chunk_scores(sequences, model, tables), "chunks")), "rid")
 
     met = base_rows(rows, common).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     whole = F.col("copies").isNotNull()
