@@ -1,6 +1,7 @@
 """run() against plain Python; only the quality verdicts, tested elsewhere, come from the operator."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -9,7 +10,73 @@ from quillmill.llm import secret_scan
 from quillmill.llm.quality_rules import quality_rules
 
 from .conftest import SF
-from .test_operators import slow_fingerprint, slow_hits, table
+from .test_operators import slow_hits, table
+
+
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return a == b or (a and b and len(a & b) >= 0.8 * len(a | b))
+
+
+def slow_copies(docs):
+    """The smallest id reachable over all pairs of 0.8 similarity or more."""
+    sets = {d: five_words(t) for d, t in docs.items()}
+    label, moved = {d: d for d in docs}, True
+    pairs = [(a, b) for a in docs for b in docs if a < b and alike(sets[a], sets[b])]
+    while moved:
+        moved = False
+        for a, b in pairs:
+            low = min(label[a], label[b])
+            moved |= label[a] != label[b]
+            label[a] = label[b] = low
+    return label
+
+
+def test_near_copies_find_what_brute_force_finds(spark):
+    from quillmill.llm.near_copies import near_copies
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(600)]
+    prose = lambda n: rng.choices(vocabulary, k=n)
+    rows = [(0, None), (1, ""), (2, " \n"), (3, "one two"), (4, "One  two"), (5, "one three")]
+    for _ in range(12):  # groups of copies with up to six words changed, dropped or put in
+        base = prose(rng.choice((60, 200, 600)))
+        for _ in range(rng.choice((2, 3, 9))):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 60))):
+                i = rng.randrange(len(words))
+                words[i : i + rng.randint(0, 2)] = prose(rng.randint(0, 2))
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, " ".join(prose(100))) for i in range(40)]
+    docs = dict(rows)
+    frame = spark.createDataFrame([*rows, (3, "one two"), (None, "one two")], "doc_id long, text string")
+    got = near_copies(frame).collect()
+    assert len(got) == len(rows) + 2 and sum(r.doc_id is None and r.component_id == 3 for r in got) == 1
+    want = slow_copies(docs)
+    found = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    assert all(found[d] >= want[d] for d in docs)  # never more than brute force
+    copies = [d for d in docs if want[d] != d]
+    assert len(copies) > 20 and sum(found[d] != d for d in copies) >= 0.95 * len(copies)
+    assert near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_copies_in_one_crowded_bucket(spark):
+    """Two large groups and strangers that all differ little in their signatures end up in the right components."""
+    from quillmill.llm import near_copies as nc
+
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(900)}" for _ in range(300)] for _ in range(2)]
+    rows = []
+    for i in range(160):
+        words = list(base[i % 2])
+        words[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 2 for i in range(160)}
 
 
 def test_run_equals_plain_python(spark):
@@ -21,15 +88,7 @@ def test_run_equals_plain_python(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     kept = {r.doc_id for r in quality_rules(spark.read.parquet(f"{SF}/documents.parquet")).where("kept").collect()}
     docs = {r["doc_id"]: r["text"] for r in table(spark, SF) if r["doc_id"] in kept}
-    group = {d: slow_fingerprint(t) for d, t in docs.items()}
-    label = {d: d for d in docs}
-    moved = True
-    while moved:
-        moved = False
-        for a in docs:
-            for b in docs:
-                if label[b] < label[a] and (group[a] ^ group[b]).bit_count() <= 2:
-                    label[a], moved = label[b], True
+    label = slow_copies(docs)
     windows = defaultdict(set)
     for r in table(spark, SF, "benchmark"):
         words = "".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in r["text"]).encode().lower().decode().split()
