@@ -11,18 +11,19 @@ from __future__ import annotations
 import base64
 import math
 import zlib
-from array import array
-from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 from .lm_model import RATE, TOP, Attention, Counts, chunks_over, count_tables, rows_of, token_logs, windows_over
 
-ROUNDS, PIECE = 4, 400_000
+ROUNDS, PIECE, TEXT_BYTES = 4, 400_000, 16 << 20
+_BLANKS = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 #: So many of the most frequent words are sent to the workers; the others are joined.
 FREQUENT, MAX_CACHE, HELD_OUT = 100_000, 450_000, (7, 2)
 _ENCODERS: dict[str, Subwords] = {}
@@ -65,14 +66,15 @@ class Subwords:
         for w in words.difference(plain):
             self.cache[w] = np.array(self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")), np.uint16).tobytes()
 
-    def ids(self, texts: list[list[bytes]], words: set[bytes]) -> list[bytes]:
-        """begin, ids of all words, end for each text, as 16-bit integers; words are those of all texts."""
-        missing = words.difference(self.cache)
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of different words end to end, how many each has)."""
+        met = set(words)
+        missing = met.difference(self.cache)
         if len(self.cache) + len(missing) > MAX_CACHE:
-            missing = words  # the cache is about to be emptied
+            missing = met  # the cache is about to be emptied
         self.learn(missing)
-        known = self.cache.__getitem__
-        return [b"".join([self.edge, *map(known, own), self.edge]) for own in texts]
+        found = [self.cache[w] for w in words]
+        return np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) // 2
 
 
 def subwords(path: str, pattern: str) -> Subwords:
@@ -87,9 +89,49 @@ def default_subwords() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words of a UTF-8 text with A-Z lower-cased, parted at ASCII blanks."""
-    return (text or b"").lower().split()
+class Words(NamedTuple):
+    """Words of many texts: the different ones, and which of them stands at each place of each text."""
+
+    known: pa.Array  # different words
+    codes: np.ndarray  # their numbers, place by place
+    text: np.ndarray  # the text of each place
+
+
+def words_of(texts: list[bytes | None]) -> Words:
+    """Words of UTF-8 texts with A-Z lower-cased, parted at ASCII blanks."""
+    parts = pc.split_pattern(pa.array([(t or b"").lower().translate(_BLANKS) for t in texts], pa.large_binary()), pattern=" ")
+    coded = parts.flatten().dictionary_encode()
+    codes, text = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy())
+    empty = pc.index(coded.dictionary, pa.scalar(b"", pa.large_binary())).as_py()
+    if empty >= 0:
+        some = codes != empty
+        codes, text = codes[some], text[some]
+    return Words(coded.dictionary, codes, text)
+
+
+def slices(texts: list[bytes | None]):
+    """(first, end) of runs of texts of about TEXT_BYTES."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= TEXT_BYTES or i == len(texts) - 1:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+
+
+def sequences_of(words: Words, n: int, worker: Subwords) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of n texts end to end, each with the end id before and after it, and their lengths)."""
+    pool, sizes = worker.of(words.known.to_pylist())
+    per = sizes[words.codes]
+    starts = (np.cumsum(sizes) - sizes)[words.codes]
+    place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    lengths = np.bincount(words.text, per, n).astype(np.int64) + 2
+    out = np.full(lengths.sum(), worker.end, np.uint16)
+    inner = np.ones(len(out), bool)
+    ends = np.cumsum(lengths)
+    inner[ends - 1] = inner[ends - lengths] = False
+    out[inner] = pool[np.repeat(starts, per) + place]
+    return out, lengths
 
 
 def is_held_out(doc_id) -> bool:
@@ -108,6 +150,9 @@ def _batches(ids: list[bytes]):
         yield lo, np.frombuffer(b"".join(ids[lo:]), np.uint16).astype(np.int32), np.array([len(x) // 2 for x in ids[lo:]])
 
 
+_GATHERED = ["id", "k1", "k2", "rid", "held_out", "ids", "word", "sub", "n"]
+
+
 def gather(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     """Rows of three kinds: (id, k1, k2, rid, held_out, ids) of every document, and word counts (word, n) and subword
     counts (sub, n) of the training documents."""
@@ -116,26 +161,29 @@ def gather(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         worker = subwords(path, pattern)
         for b in batches:
-            words: Counter[bytes] = Counter()
-            held, seqs, counts = [is_held_out(x) for x in b.column(0).to_pylist()], [], np.zeros(worker.size, np.int64)
-            for lo in range(0, b.num_rows, 1000):
-                texts = [words_of(t) for t in b.column(4).slice(lo, 1000).to_pylist()]
-                own, other = Counter(), set()
-                for text, out in zip(texts, held[lo : lo + 1000], strict=True):
-                    (other if out else own).update(text)
-                ids = worker.ids(texts, other.union(own))
-                seqs += ids
-                words.update(own)
-                taught = [x[2:] for x, out in zip(ids, held[lo : lo + 1000], strict=True) if not out]
-                words[b""] += len(taught)  # the ends
-                counts += np.bincount(np.frombuffer(b"".join(taught), np.uint16), minlength=worker.size)
+            types = [*(b.column(i).type for i in range(4)), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+
+            def emitted(size, types=types, **given):
+                return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(size, t)) for c, t in zip(_GATHERED, types, strict=True)], _GATHERED)
+
+            texts = b.column(4).to_pylist()
+            held = np.array([is_held_out(x) for x in b.column(0).to_pylist()], bool)
+            counts = np.zeros(worker.size, np.int64)
+            for lo, hi in slices(texts):
+                words = words_of(texts[lo:hi])
+                flat, lengths = sequences_of(words, hi - lo, worker)
+                taught = ~held[lo:hi]
+                ends = np.cumsum(lengths)
+                lesson = np.repeat(taught, lengths)
+                lesson[ends - lengths] = False  # the first id of a text is not predicted
+                counts += np.bincount(flat[lesson], minlength=worker.size)
+                seqs = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.concatenate([[0], 2 * ends]).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                yield emitted(hi - lo, **{c: b.column(i).slice(lo, hi - lo) for i, c in enumerate(_GATHERED[:4])}, held_out=pa.array(held[lo:hi]), ids=seqs)
+                n = np.bincount(words.codes[taught[words.text]], minlength=len(words.known))
+                some = np.flatnonzero(n)
+                yield emitted(len(some) + 1, word=pa.concat_arrays([words.known.take(pa.array(some)).cast(pa.binary()), pa.array([b""], pa.binary())]), n=pa.array(np.append(n[some], taught.sum())))
             some = np.flatnonzero(counts)
-            a, c, d = len(words), len(some), len(seqs)
-            none = [None] * (a + c)
-            yield pa.RecordBatch.from_arrays([
-                *(pa.concat_arrays([b.column(i), pa.nulls(a + c, b.column(i).type)]) for i in range(4)), pa.array([*held, *none], pa.bool_()), pa.array([*seqs, *none], pa.binary()),
-                pa.array([*[None] * d, *words, *[None] * c], pa.binary()), pa.array([*[None] * (d + a), *some.tolist()], pa.int32()), pa.array([*[None] * d, *words.values(), *counts[some].tolist()], pa.int64()),
-            ], ["id", "k1", "k2", "rid", "held_out", "ids", "word", "sub", "n"])
+            yield emitted(len(some), sub=pa.array(some, pa.int32()), n=pa.array(counts[some]))
 
     numbered = rows.select("id", "k1", "k2", F.monotonically_increasing_id().alias("rid"), "t")
     return numbered.mapInArrow(run, f"id {kind}, k1 long, k2 long, rid long, held_out boolean, ids binary, word binary, sub int, n long")
@@ -278,6 +326,9 @@ def frequent_words(counts: DataFrame) -> dict[bytes, int]:
     return {bytes(r.word): r.c for r in counts.where(F.floor(F.log2("c") * 8) >= least).collect()}
 
 
+_BASE = ["id", "k1", "k2", "held_out", "word", "n", "copies", "tokens", "sums"]
+
+
 def base_rows(rows: DataFrame, common: dict[bytes, int]) -> DataFrame:
     """What the base needs of each document: one row with the sums over its frequent words, and a row for each other
     word, which meets its count in a join."""
@@ -286,34 +337,29 @@ def base_rows(rows: DataFrame, common: dict[bytes, int]) -> DataFrame:
 
     def measure(batches):
         known = {w: math.log10(c + 1) for w, c in words_sent.value.items()}
+        end = known.pop(b"")
         end_known = bool(words_sent.value[b""])
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                source, word, n, copies, tokens, sums = [], [], [], [], [], []
-                for at, (key, text) in enumerate(zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                    words = words_of(text)
-                    logs = [known[w] for w in words if w in known]
-                    own = Counter([w for w in words if w not in known])
-                    rare = list(own)
-                    all_tokens = len(words) + 1
-                    more = [None] * len(rare)
-                    source += [at] * (1 + len(rare))
-                    word.append(b" " + key.to_bytes(8, "little", signed=True))  # no word has a blank: this row meets none
-                    word += rare
-                    n.append(len(logs) + end_known)
-                    n += own.values()
-                    copies.append(1)
-                    copies += more
-                    tokens.append(all_tokens)
-                    tokens += more
-                    sums.append(math.fsum([known[b""], *logs]))
-                    sums += more
-                keys = part.select([0, 1, 2]).take(pa.array(source, pa.int64()))
-                held = np.array([is_held_out(x) for x in part.column(0).to_pylist()], bool)
-                yield pa.RecordBatch.from_arrays([
-                    *keys.columns, pa.array(held[source], pa.bool_()), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.array(copies, pa.int64()), pa.array(tokens, pa.int64()), pa.array(sums, pa.float64()),
-                ], ["id", "k1", "k2", "held_out", "word", "n", "copies", "tokens", "sums"])
+            texts = b.column(3).to_pylist()
+            for lo, hi in slices(texts):
+                n = hi - lo
+                words = words_of(texts[lo:hi])
+                logs = np.array([known.get(w, -1.0) for w in words.known.to_pylist()])
+                per = logs[words.codes] if len(logs) else np.zeros(0)
+                common = per >= 0
+                own, tokens = np.bincount(words.text[common], minlength=n) + end_known, np.bincount(words.text, minlength=n) + 1
+                sums = np.bincount(words.text[common], per[common], n) + end
+                # each other word of a text once, with how often it stands there
+                rare, times = np.unique(words.text[~common].astype(np.int64) * max(1, len(logs)) + words.codes[~common], return_counts=True)
+                text, code = rare // max(1, len(logs)), rare % max(1, len(logs))
+                held = np.array([is_held_out(x) for x in b.column(0).slice(lo, n).to_pylist()], bool)
+                # no word has a blank: the row of a document meets none
+                alone = pa.array([b" " + key.to_bytes(8, "little", signed=True) for key in b.column(1).slice(lo, n).to_pylist()], pa.binary())
+                part = b.select([0, 1, 2]).slice(lo, n)
+                one = pa.array(np.ones(n, np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held), alone, pa.array(own), one, pa.array(tokens), pa.array(sums)], _BASE)
+                nothing = [pa.nulls(len(rare), t) for t in (pa.int64(), pa.int64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(text)).columns, pa.array(held[text]), words.known.take(pa.array(code)).cast(pa.binary()), pa.array(times), *nothing], _BASE)
 
     return rows.mapInArrow(measure, f"id {kind}, k1 long, k2 long, held_out boolean, word binary, n long, copies long, tokens long, sums double")
 

@@ -301,8 +301,8 @@ def slow_hits(text, windows):
     return len(words), len(hit), sorted(items)
 
 
-@pytest.mark.parametrize("limit", [deco.MAX_WINDOWS, 0])
-def test_decontamination(spark, docs_dir, limit):
+@pytest.mark.parametrize("slices", [1, 3])
+def test_decontamination(spark, docs_dir, slices):
     windows = defaultdict(set)
     for r in table(spark, docs_dir, "benchmark"):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r["text"] or ""))
@@ -311,7 +311,7 @@ def test_decontamination(spark, docs_dir, limit):
                 windows[tuple(words[i : i + 10])].add(str(r["item_id"]))
     want = [dict(zip(("doc_id", "n_words", "n_hit", "items"), (r["doc_id"], *slow_hits(r["text"], windows)), strict=True)) for r in table(spark, docs_dir)]
     docs, items = (spark.read.parquet(f"{docs_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    got = [r.asDict() for r in deco.decontaminate(docs, items, max_windows=limit).collect()]
+    got = [r.asDict() for r in deco.decontaminate(docs, items, max_windows=-(-len(windows) // slices)).collect()]
     same(got, want, list(want[0]))
     assert any(r["n_hit"] for r in got)
     texts = {r["doc_id"]: r["text"] for r in table(spark, docs_dir)}
@@ -489,11 +489,13 @@ def test_lm_words_are_encoded_together_as_alone():
 
     worker = lm_score.subwords(*lm_score.default_subwords())
     words = ["the", "it's", "'s", "don't", "x1,y", "naïve", "的", "50%", "a\x1cb", "--", "\u3000x", "<|endoftext|>", "e" * 300]
-    texts = [[w.encode() for w in words], [], [b"the", "él".encode()]]
-    got = worker.ids(texts, {w for t in texts for w in t})
-    for t, g in zip(texts, got, strict=True):
-        want = [worker.end, *(i for w in t for i in worker.encoding.encode_ordinary(" " + w.decode())), worker.end]
-        assert np.frombuffer(g, np.uint16).tolist() == want
+    texts = [" ".join(words).encode(), None, b"", b" \n", "THE\t él".encode()]
+    got, lengths = lm_score.sequences_of(lm_score.words_of(texts), len(texts), worker)
+    at = 0
+    for t, n in zip(texts, lengths, strict=True):
+        want = [worker.end, *(i for w in (t or b"").lower().split() for i in worker.encoding.encode_ordinary(" " + w.decode())), worker.end]
+        assert got[at : at + n].tolist() == want
+        at += n
 
 
 def test_lm_remembers_other_documents(spark):
