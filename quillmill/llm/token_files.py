@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import os
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path
 
-END_ID, MAX_CACHE, NULL_ID = 2, 700_000, -(1 << 63)
+END_ID, MAX_CACHE, NULL_ID = 2, 500_000, -(1 << 63)
+#: Bytes of text to a file where the caller names no number of files: about half of it in ids.
+FILE_BYTES = 256 << 20
+#: Texts on which a tokenizer must agree with the word-wise encoding before any is encoded.
+PROBES = ["The cat, THE dog.\tIt's  3.5% of\nÉtés, naïve x1. end", "a,b c., (d) \"e.\" ... f,. Straße ΣΑΣ", " lead and trail \r\n", "<|endoftext|> <b> don't 12,345.67 co-op"]
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
@@ -24,28 +28,62 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.dtype("<u4")
+        size = max(self.tokenizer.get_vocab_size(), end_id + 1)
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
+        with open(path) as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix") or None
+        self.closes = np.zeros(size, bool)  # ids that end a word
+        if suffix:
+            self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.cache: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        """Ids of text and the end id, in the file's integers."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        self.old: dict[str, bytes] = {}
+        want = [self._whole(t) for t in PROBES]
+        if [x[: -len(self.end)] for x in self.encode_all(PROBES)] != want:
+            raise ValueError("needs a tokenizer that parts words at blanks, and full stops and commas from letters, and lower-cases ASCII")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, parts: set[str]) -> None:
+        """Encode parts into the cache. Those of ASCII letters are one pre-token each and go together in one text, told
+        apart by the ids that end a word; others are encoded one by one."""
+        plain = [p for p in parts if p.isascii() and p.isalpha()] if self.closes.any() else []
+        for lo in range(0, len(plain), 2000):
+            some = plain[lo : lo + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            stops = np.flatnonzero(self.closes[ids]) + 1
+            if len(stops) != len(some) or stops[-1] != len(ids):
+                raise ValueError("a word of ASCII letters is not one pre-token")
+            data, cuts = ids.tobytes(), (stops * self.dtype.itemsize).tolist()
+            for p, x, y in zip(some, [0, *cuts], cuts, strict=False):
+                self.cache[p] = data[x:y]
+        others = list(parts.difference(plain))
+        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.cache[p] = np.array(e.ids, self.dtype).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text and the end id, in the file's integers."""
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        met = set().union(*split)
+        missing = met.difference(self.cache)
+        if len(self.cache) + len(missing) > MAX_CACHE:
+            self.cache, self.old = {"": b""}, self.cache  # what is met again comes back from the old one
+            missing = met
+        back = [w for w in missing if w in self.old]
+        self.cache.update((w, self.old[w]) for w in back)
+        # full stops and commas after a letter are a pre-token of their own, and ASCII letters only lose their case
+        parts = {}
+        for w in missing.difference(self.cache):
+            bare = w.rstrip(".,")
+            core = bare if bare[-1:].isalpha() else w
+            parts[w] = (core.lower() if core.isascii() and "<" not in core else core, w[len(core) :])
+        self._learn({p for pair in parts.values() for p in pair if p not in self.cache})
         cache = self.cache
-        if missing := {w for w in words if w not in cache}:
-            if len(cache) + len(missing) > MAX_CACHE:
-                cache.clear()
-                cache[""] = b""
-                missing = set(words) - {""}
-            # full stops and commas after a letter are a pre-token of their own, and ASCII letters only lose their case
-            parts = {w: (core.lower() if core.isascii() and "<" not in core else core, w[len(core) :]) for w in missing for bare in (w.rstrip(".,"),) for core in (bare if bare[-1:].isalpha() else w,)}
-            new = list({p for pair in parts.values() for p in pair if p not in cache})
-            kind = "H" if self.dtype.itemsize == 2 else "I"
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[p] = array(kind, e.ids).tobytes()
-            for w, (core, tail) in parts.items():
-                cache[w] = cache[core] + cache[tail]
-        return b"".join([*map(cache.__getitem__, words), self.end])
+        for w, (core, tail) in parts.items():
+            cache[w] = cache[core] + cache[tail]
+        known = cache.__getitem__
+        return [b"".join([*map(known, words), self.end]) for words in split]
 
 
 def encoder(path: str, end_id: int) -> WordEncoder:
@@ -87,14 +125,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
     .bin: all ids, each document's followed by end_id (16 bits where the vocabulary allows, else 32). .idx: 64-bit start
     of each document in its file, and the file's length last. .doc: 64-bit document ids (NULL_ID stands for null).
     Manifest (part, n_docs, n_tokens, base, base_docs), one row for each file: base is the prefix sum of the files before.
-    Null ids come first, ties are ordered by text; null text is the end id alone; an empty table writes nothing.
+    Null ids come first, ties are ordered by text; null text is the end id alone; very long texts are written whole; an
+    empty table writes nothing. n_files: by default one for each FILE_BYTES of text, so that files stay of bounded size.
     Each file is written under a temporary name and renamed, so a task that runs again or twice leaves one whole file.
     """
     spark = docs.sparkSession
     path = tokenizer_path or default_tokenizer()
-    n = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n_files is None:
+        total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+        n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.withColumn("tie", F.xxhash64("t")).repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie", "t")
+    rows = rows.withColumn("tie", F.xxhash64("t")).repartitionByRange(n_files, "id", "tie").sortWithinPartitions("id", "tie", "t")
 
     def write(batches):
         from pyspark import TaskContext
@@ -107,11 +148,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
         with store.open_output_stream(f"{own}.bin") as ids, store.open_output_stream(f"{own}.doc") as keys:
             for b in batches:
                 keys.write(np.array([NULL_ID if x is None else x for x in b.column(0).to_pylist()], "<i8").tobytes())
-                for text in b.column(1).to_pylist():
-                    data = worker.encode(text)
-                    ids.write(data)
-                    total += len(data) // worker.dtype.itemsize
-                    starts.append(total)
+                for lo in range(0, b.num_rows, 500):
+                    for data in worker.encode_all(b.column(1).slice(lo, 500).to_pylist()):
+                        ids.write(data)
+                        total += len(data) // worker.dtype.itemsize
+                        starts.append(total)
         with store.open_output_stream(f"{own}.idx") as offsets:
             offsets.write(np.array(starts, "<i8").tobytes())
         for kind in ("bin", "doc", "idx"):
