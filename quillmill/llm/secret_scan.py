@@ -21,9 +21,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "api")
-ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\x[0-9A-Fa-f]{2})+)|(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|amp|lt|gt|apos|equals|colon);)")
+#: The first alternative takes a per cent sign encoded many times over in one step, so that long chains stay cheap.
+ESCAPE = re.compile(r"(?P<deep>%(?:25)+(?=[0-9A-Fa-f]{2}))|(?P<url>(?:%[0-9A-Fa-f]{2})+)|(?P<utf16>(?:\\u[0-9A-Fa-f]{4})+)|\\U(?P<wide>[0-9A-Fa-f]{8})|\\u\{(?P<braced>[0-9A-Fa-f]{1,6})\}|(?P<bytes>(?:\\x[0-9A-Fa-f]{2})+)|(?P<entity>&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|amp|lt|gt|apos|equals|colon);)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-HEX_BLOB = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
+HEX_BLOB = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
 #: Base64 or hex wrapped in lines (line ends as such or written as \\n); only the last line may be short.
 LINE_END = r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*"
 WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}" + LINE_END + r")+[A-Za-z0-9+/_-]+={0,2}")
@@ -48,16 +49,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _unescaped(m: re.Match) -> str:
-    if m[1]:
-        return bytes.fromhex(m[1].replace("%", "")).decode("utf-8", "replace")
-    if m[2]:
-        return bytes.fromhex(m[2].replace("\\u", "")).decode("utf-16-be", "replace")
-    if m[3] or m[4]:
-        code = int(m[3] or m[4], 16)
+    kind, found = m.lastgroup, m[m.lastgroup]
+    if kind == "deep":
+        return "%"
+    if kind == "url":
+        return bytes.fromhex(found.replace("%", "")).decode("utf-8", "replace")
+    if kind == "utf16":
+        return bytes.fromhex(found.replace("\\u", "")).decode("utf-16-be", "replace")
+    if kind in ("wide", "braced"):
+        code = int(found, 16)
         return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
-    if m[5]:
-        return bytes.fromhex(m[5].replace("\\x", "")).decode("utf-8", "replace")
-    return entities.unescape(m[6])
+    if kind == "bytes":
+        return bytes.fromhex(found.replace("\\x", "")).decode("utf-8", "replace")
+    return entities.unescape(found)
 
 
 def escaped_layer(text: str, at: list[tuple[int, int]] | tuple[int, int] | None) -> tuple[str, list[tuple[int, int]] | tuple[int, int]] | None:
