@@ -4,12 +4,14 @@ Two equal windows of LENGTH bytes choose the same anchor in them: the K-gram of
 offset. So only anchor suffixes are sorted, about one in eighty, and no repeat is missed:
 
 1. Each anchor stands for the run of windows that chose it. (seed, context) - hashes of the anchor's K bytes and of all
-   bytes of its run - are counted over all documents. A context that occurs twice is repeated whole, unseen by any sort;
-   so groups of copies and common passages collapse to one row before anything else.
-2. Where one seed has several contexts, one occurrence of each is fetched, and these suffixes are range-partitioned by
-   their leading bytes with sampled splitters (repartitionByRange) and sorted by multikey quicksort within buckets.
-   Equal leading bytes never part, so comparing across bucket boundaries finds nothing more, with one exception: a seed
-   with over MAX_CONTEXTS contexts is cut by window content instead, and counted with partial aggregation.
+   bytes of its run - are counted over all documents, so groups of copies and common passages collapse to one row with
+   its count before anything else.
+2. One occurrence of each context that is repeated, or whose seed has several contexts, is fetched; these suffixes are
+   range-partitioned by their leading bytes with sampled splitters (repartitionByRange) and sorted by multikey quicksort
+   within buckets. A suffix that stands for several occurrences is repeated whole, one that stands for a single one where
+   a neighbour in the order shares LENGTH bytes. Equal leading bytes never part (buckets are closed where they change),
+   so comparing across bucket boundaries finds nothing more. A seed with over MAX_CONTEXTS contexts would make a bucket
+   of its own that large; it is cut by window content instead, exactly, and counted with partial aggregation.
 3. Repeated windows go back to every occurrence of their context by a join; each text then drops what they cover.
 """
 
@@ -189,7 +191,7 @@ _FOUND = pa.schema([("seed", pa.int64()), ("ctx", pa.int64()), ("lo", pa.int32()
 
 
 def _sort_buckets(cuts: DataFrame) -> DataFrame:
-    """(seed, ctx, lo, hi): runs of repeated windows in the contexts that occur once, from locally sorted buckets."""
+    """(seed, ctx, lo, hi): runs of repeated windows in the contexts, from locally sorted buckets."""
 
     def solve(held):
         seen, kept = set(), []
@@ -206,7 +208,7 @@ def _sort_buckets(cuts: DataFrame) -> DataFrame:
         offsets = np.array([r[3] for r in kept])
         mask = repeated(np.frombuffer(b"".join(r[6] for r in kept), np.uint8), places[owner] + within, lead[owner] * (LENGTH + 1) + offsets[owner] - within)
         stops = np.cumsum(counts)
-        out = [(r[1], r[2], a, z) for r, s, c in zip(kept, stops, counts, strict=True) if r[4] == 1 for a, z in ranges_of(mask[s - c : s])]
+        out = [(r[1], r[2], a, z) for r, s, c in zip(kept, stops, counts, strict=True) for a, z in (ranges_of(mask[s - c : s]) if r[4] == 1 else [(0, int(c) - 1)])]
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t.type) for i, t in enumerate(_FOUND)], schema=_FOUND)
 
     def sort(batches):
@@ -249,11 +251,11 @@ def repeated_spans(rows: DataFrame, max_contexts: int = MAX_CONTEXTS) -> DataFra
     by_seed = Window.partitionBy("seed")
     grouped = grouped.withColumn("all_times", F.sum("times").over(by_seed)).withColumn("contexts", F.count("*").over(by_seed)).where("all_times > 1")
     grouped = settle(grouped.withColumn("hot", F.col("contexts") > max_contexts), "contexts")
-    whole = grouped.where("times > 1").select("seed", "ctx", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))
-    cuts = _cut_contexts(grouped.where("contexts > 1"), rows.select("k1", "t"))
-    found = whole.union(_sort_buckets(cuts.where("NOT hot")))
+    cuts = _cut_contexts(grouped, rows.select("k1", "t"))  # all of them are repeated or have others of their seed beside
+    found = _sort_buckets(cuts.where("NOT hot"))
     if not grouped.where("hot").isEmpty():
-        found = found.union(_count_windows(cuts.where("hot")))
+        whole = grouped.where("hot AND times > 1").select("seed", "ctx", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))
+        found = found.union(whole).union(_count_windows(cuts.where("hot")))
     found = settle(found, "repeats")
     places = _anchor_rows(rows, collapse=False).select("k1", "k2", "first", "seed", "ctx")
     spans = places.join(found, ["seed", "ctx"]).select("k1", "k2", (F.col("first") + F.col("lo")).alias("start"), (F.col("first") + F.col("hi") + LENGTH).alias("end"))
