@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import settle
 
 WINDOW = 10
-#: Above this many distinct windows the automaton would not fit beside an executor; a join takes its place.
-MAX_WINDOWS = 200_000
+#: An automaton holds so many windows and bytes of them at most; a larger benchmark is cut into slices with one each.
+MAX_WINDOWS, MAX_BYTES = 200_000, 64 << 20
 #: Everything but ASCII letters, digits and non-ASCII bytes parts words.
 _SPACED = bytes(b if b > 0x7F or chr(b).isalnum() else 0x20 for b in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -67,9 +67,22 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def original_spans(text: bytes, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Code-point offsets (end exclusive) in the original text of the hit word ranges."""
+    """Code-point offsets (end exclusive) in the original text of the sorted hit word ranges."""
     found = list(_WORD.finditer(text.lower()))
-    return [(len(text[: found[a].start()].decode()), len(text[: found[b].end()].decode())) for a, b in hits]
+    out, at, points = [], 0, 0
+
+    def place(byte: int) -> int:
+        nonlocal at, points
+        at, points = byte, points + len(text[at:byte].decode())
+        return points
+
+    for a, b in hits:
+        first = place(found[a].start())
+        out.append((first, place(found[b].end())))
+    return out
+
+
+_SCANNERS: dict[str, WindowScanner] = {}
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -77,10 +90,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A document word inside any occurrence of a benchmark window (10 consecutive normalised words; a shorter item is one
     window) is hit; spans are the merged hits as code-point offsets in the original text, items the sorted ids (as
-    strings) of the items whose windows occur. Up to max_windows windows (counted first) one automaton is sent to the
-    workers; beyond, the windows of the documents are joined with those of the benchmark by hash and text. Null texts
-    have no words, items without words match nothing, repeated items count once, a null item id is ignored, repeated
-    rows repeat their result and an empty benchmark hits nothing.
+    strings) of the items whose windows occur. One automaton is sent to the workers; where the benchmark has over
+    max_windows windows or MAX_BYTES of them (both counted first) it is cut by hash into slices that keep to them, and
+    each text passes all their automata in turn. Null texts have no words, very long ones are scanned whole, items
+    without words match nothing, repeated items count once, a null item id is ignored, repeated rows repeat their result
+    and an empty benchmark hits nothing.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
@@ -98,58 +112,61 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("binary").alias("t"))
     index = settle(items.mapInArrow(cut, "item string, win binary").distinct(), "windows")
-    if index.limit(max_windows + 1).count() > max_windows:
-        return _by_join(rows, index, id_col, kind)
-    table: dict[tuple[bytes, ...], list[str]] = {}
-    for r in index.toLocalIterator():  # at most max_windows rows, counted above
-        table.setdefault(tuple(bytes(r.win).split(b" ")), []).append(r.item)
-    shipped = spark.sparkContext.broadcast(table)
-
-    def scan(batches):
-        scanner = WindowScanner(shipped.value)
+    size, weight = index.agg(F.count("*"), F.sum(F.octet_length("win"))).first()
+    slices = max(1, -(-size // max_windows), -(-(weight or 0) // MAX_BYTES))
+    state = "at array<struct<first:int,last:int>>, items array<string>"
+    marked = rows.select(F.col(id_col), "_text", F.array().cast("array<struct<first:int,last:int>>").alias("at"), F.array().cast("array<string>").alias("items"))
+    for k in range(slices):
+        part = index.where(F.pmod(F.xxhash64("win"), F.lit(slices)) == k) if slices > 1 else index
+        table: dict[tuple[bytes, ...], list[str]] = {}
+        for r in part.toLocalIterator():  # about max_windows rows, counted above
+            table.setdefault(tuple(bytes(r.win).split(b" ")), []).append(r.item)
+        shipped, name = spark.sparkContext.broadcast(table), uuid.uuid4().hex
+
+        def scan(batches, shipped=shipped, name=name):
+            if name not in _SCANNERS:
+                _SCANNERS.clear()
+                _SCANNERS[name] = WindowScanner(shipped.value)  # once for each worker
+            for b in batches:
+                ranges, hit = [], []
+                for text, before, known in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    found, items = _SCANNERS[name].scan(split_words(text))
+                    ranges.append([*before, *({"first": a, "last": z} for a, z in found)])
+                    hit.append([*known, *items])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ranges, _RANGES), pa.array(hit, pa.list_(pa.string()))], [id_col, "_text", "at", "items"])
+
+        def scan_all(batches, shipped=shipped, name=name):
+            if name not in _SCANNERS:
+                _SCANNERS.clear()
+                _SCANNERS[name] = WindowScanner(shipped.value)
+            for b in batches:
+                split = [split_words(text) for text in b.column(1).to_pylist()]
+                got = [_SCANNERS[name].scan(words) for words in split]
+                yield _finished(b.column(0), b.column(1).to_pylist(), [len(w) for w in split], [g[0] for g in got], [g[1] for g in got], id_col)
+
+        if slices == 1:
+            return rows.mapInArrow(scan_all, f"`{id_col}` {kind}, {_OUT}")
+        marked = marked.mapInArrow(scan, f"`{id_col}` {kind}, _text binary, {state}")
+
+    def finish(batches):
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                words = split_words(text)
-                hits, items = scanner.scan(words)
-                spans = original_spans(text, hits) if hits else []
-                out.append((len(words), sum(z - a + 1 for a, z in hits), len(items), sorted(items), [{"start": s, "end": e} for s, e in spans]))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate(_ARROW))], [id_col, *_NAMES])
+            texts = b.column(1).to_pylist()
+            ranges = [merge([(x["first"], x["last"]) for x in at]) for at in b.column(2).to_pylist()]
+            yield _finished(b.column(0), texts, [len(split_words(t)) for t in texts], ranges, b.column(3).to_pylist(), id_col)
 
-    return rows.mapInArrow(scan, f"`{id_col}` {kind}, {_OUT}")
+    return marked.mapInArrow(finish, f"`{id_col}` {kind}, {_OUT}")
 
 
 _NAMES = ("n_words", "n_hit", "n_items", "items", "spans")
+_RANGES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 _ARROW = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 _OUT = "n_words bigint, n_hit bigint, n_items bigint, items array<string>, spans array<struct<start:int,end:int>>"
 
 
-def _by_join(rows: DataFrame, index: DataFrame, id_col: str, kind: str) -> DataFrame:
-    """The same result for a benchmark of any size: document windows meet benchmark windows in an equality join.
-
-    Windows of each length that the index has (1 to WINDOW words) are cut from every text; only those that match go on.
-    """
-    sizes = [r.n for r in index.select(F.size(F.split(F.col("win").cast("string"), " ")).alias("n")).distinct().collect()]  # at most WINDOW values
-
-    def cut(batches):
-        for b in batches:
-            for text in b.column(1).to_pylist():
-                words, seen = split_words(text), []
-                for n in sizes:
-                    seen += [(i, n, b" ".join(words[i : i + n])) for i in range(len(words) - n + 1)]
-                key = hashlib.sha256(text or b"").digest()
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(seen), pa.binary()), pa.array([s[0] for s in seen], pa.int32()), pa.array([s[1] for s in seen], pa.int32()), pa.array([s[2] for s in seen], pa.binary())], ["key", "at", "n", "win"])
-
-    found = rows.select(id_col, "_text").mapInArrow(cut, "key binary, at int, n int, win binary").distinct().join(index, "win")
-    hits = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("at"), F.sort_array(F.collect_set("item")).alias("items"))
-    keyed = rows.withColumn("key", F.unhex(F.sha2(F.coalesce("_text", F.lit("").cast("binary")), 256))).join(hits, "key", "left").select(id_col, "_text", "at", "items")
-
-    def mark(batches):
-        for b in batches:
-            out = []
-            for text, at, items in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                ranges = merge([(x["at"], x["at"] + x["n"] - 1) for x in at or []])
-                out.append((len(split_words(text)), sum(z - a + 1 for a, z in ranges), len(items or []), items or [], [{"start": s, "end": e} for s, e in original_spans(text or b"", ranges)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate(_ARROW))], [id_col, *_NAMES])
-
-    return keyed.mapInArrow(mark, f"`{id_col}` {kind}, {_OUT}")
+def _finished(ids: pa.Array, texts: list, sizes: list[int], ranges: list, items: list, id_col: str) -> pa.RecordBatch:
+    """The result's columns from the merged hit ranges and the items hit of each text."""
+    out = []
+    for text, n, hits, hit in zip(texts, sizes, ranges, items, strict=True):
+        spans = original_spans(text, hits) if hits else []
+        out.append((n, sum(z - a + 1 for a, z in hits), len(set(hit)), sorted(set(hit)), [{"start": s, "end": e} for s, e in spans]))
+    return pa.RecordBatch.from_arrays([ids, *(pa.array([o[i] for o in out], t) for i, t in enumerate(_ARROW))], [id_col, *_NAMES])
