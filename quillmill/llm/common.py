@@ -13,12 +13,15 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where a local session leaves it unset one of
+    our own; on a cluster that is an error, since executors would write where nobody reads."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quillmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found
