@@ -57,3 +57,25 @@ def prompt_parity(rows: DataFrame, template: str) -> DataFrame:
     """One row: n_rows and n_match, the rows whose `system` starts with the template's head before {domain}."""
     head = template.split("{domain}", 1)[0]
     return rows.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.coalesce(F.startswith("system", F.lit(head)), F.lit(False)).cast("long")), F.lit(0)).alias("n_match"))
+
+
+def assemble_pages(pages: DataFrame) -> DataFrame:
+    """(doc, text, unprocessed, page_count, ocr_pages, parser, failed) of pages (doc, page, strategy, native, ocr, error).
+
+    An empty page has no text, a native one its own, ocr_preferred joins its own and the recognised one, ocr_required takes
+    the recognised one. Pages follow as `## Page n` sections; unprocessed lists (page, reason) of those left without text:
+    empty_page, the recogniser's error, or no_text_extracted. A document fails if no page has text and some had an error.
+    """
+    native, read = (F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(" \t\n\x0b\f\r")) for c in ("native", "ocr"))
+    both = F.array_join(F.filter(F.array(native, read), lambda t: t != ""), "\n\n")
+    text = F.when(F.col("strategy") == "empty", "").when(F.col("strategy") == "ocr_required", read).when(F.col("strategy") == "ocr_preferred", both).otherwise(native)
+    asks = F.col("strategy").isin("ocr_required", "ocr_preferred")
+    reason = F.when(F.col("strategy") == "empty", "empty_page").when(asks & F.col("error").isNotNull(), F.col("error")).otherwise("no_text_extracted")
+    rows = pages.select("doc", F.struct("page", text.alias("text"), reason.alias("reason")).alias("p"), (F.col("strategy") != "native").alias("odd"), (asks & F.col("error").isNotNull()).alias("bad"))
+    whole = rows.groupBy("doc").agg(F.array_sort(F.collect_list("p")).alias("ps"), F.count("*").alias("page_count"), F.count_if("odd").alias("ocr_pages"), F.count_if("bad").alias("n_bad"))
+    left = F.transform(F.filter("ps", lambda p: p["text"] == ""), lambda p: F.struct(p["page"].alias("page"), p["reason"].alias("reason")))
+    parser = F.when(F.col("ocr_pages") == 0, "pdf_text").when(F.col("ocr_pages") == F.col("page_count"), "pdf_ocr").otherwise("pdf_mixed")
+    return whole.select(
+        "doc", F.array_join(F.transform("ps", lambda p: F.concat(F.lit("## Page "), p["page"].cast("string"), F.lit("\n\n"), p["text"])), "\n\n").alias("text"), left.alias("unprocessed"), "page_count", "ocr_pages", parser.alias("parser"),
+        (~F.exists("ps", lambda p: p["text"] != "") & (F.col("n_bad") > 0)).alias("failed"),
+    )

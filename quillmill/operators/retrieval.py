@@ -7,58 +7,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 20_000
+MAX_QUERIES, QUERY_BLOCK, CHUNK_BLOCK = 20_000, 1000, 2000
+
+
+def _unit(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length one, and which of them are vectors at all (null ones and those of another width are not)."""
+    fine = np.array([v is not None and len(v) == width and None not in v for v in vectors], bool)
+    m = np.zeros((len(vectors), width))
+    if fine.any():
+        m[fine] = np.array([v for v, ok in zip(vectors, fine, strict=True) if ok], np.float64)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    return m, fine
+
+
+class _Best:
+    """The k best chunks of each query so far: parallel arrays, cut back after every block. Ties go to the smaller id."""
+
+    def __init__(self, k: int):
+        self.k, self.query, self.sim, self.ids, self.domains = k, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object), np.zeros(0, object)
+
+    def add(self, query: np.ndarray, sim: np.ndarray, ids: np.ndarray, domains: np.ndarray) -> None:
+        q, s, i, d = (np.concatenate(p) for p in ((self.query, query), (self.sim, sim), (self.ids, ids), (self.domains, domains)))
+        order = np.lexsort((np.array(i.tolist()), -s, q)) if len(q) else np.zeros(0, np.int64)
+        q = q[order]
+        first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
+        place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else np.zeros(0, np.int64)
+        order = order[place < self.k]
+        self.query, self.sim, self.ids, self.domains = q[place < self.k], s[order], i[order], d[order]
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, max_queries: int = MAX_QUERIES) -> DataFrame:
     """(query_id, chunk_id, domain, similarity, rank): the k nearest chunks of each query by cosine, ties by id.
 
-    queries: (query_id, vector, domain), chunks: (chunk_id, vector, domain, source_file_id). A query's domain admits its
-    own chunks and those of uploaded sources; null admits all; a chunk never answers the query of its own id. Filters
-    apply before the limit. A block of queries is sent to the chunks (its size is checked, more go in further blocks) and
-    every batch keeps only its own best k of each query, so no pair is ever a row.
+    queries: (query_id, vector, domain) and, if they have them, tenant_id and sources; chunks: (chunk_id, vector, domain,
+    source_file_id) and tenant_id if the queries have it. A query's domain admits its own chunks and those of uploaded
+    sources, null admits all; its sources (an array) admit those uploads and all chunks of no upload, null admits all; a
+    tenant sees its own chunks alone. A chunk never answers the query of its own id. Filters apply before the limit; ids
+    are of any one type; null vectors neither ask nor answer. A block of queries is sent to the chunks (its size is
+    checked, more go in further blocks), and every task keeps a running best k of each query, so no pair is ever a row.
     """
     spark = chunks.sparkSession
     out = None
-    numbered = queries.select("query_id", "vector", "domain")
+    has_tenant, has_sources = "tenant_id" in queries.columns, "sources" in queries.columns
+    wanted_columns = ["query_id", "vector", "domain", *(["tenant_id"] if has_tenant else []), *(["sources"] if has_sources else [])]
+    numbered = queries.select(*wanted_columns).where("vector IS NOT NULL")
+    q_kind, c_kind, d_kind = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString(), chunks.schema["domain"].dataType.simpleString()
+    schema = f"query_id {q_kind}, chunk_id {c_kind}, domain {d_kind}, similarity double"
     total = numbered.count()
-    for block in range(max(1, -(-total // max_queries))):
-        part = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-total // max_queries)))) == block) if total > max_queries else numbered
+    blocks = max(1, -(-total // max_queries))
+    for block in range(blocks):
+        part = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else numbered
         rows = part.collect()  # one block of the stated query set, bounded by its count
         if not rows:
             continue
-        matrix = np.array([r.vector for r in rows], np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
-        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), matrix, [r.domain for r in rows]))
+        width = len(rows[0].vector)
+        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], object), *_unit([r.vector for r in rows], width), np.array([r.domain for r in rows], object), np.array([r.tenant_id for r in rows], object) if has_tenant else None, [r.sources for r in rows] if has_sources else None))
 
-        def search(batches, sent=sent):
-            ids, wanted, domains = sent.value
+        def search(batches, sent=sent, width=width):
+            ids, wanted, asks, domains, tenants, sources = sent.value
+            best = _Best(k)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                own = b.column(0).to_numpy()
-                m = np.array(b.column(1).to_pylist(), np.float64)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-                has, uploaded = np.array(b.column(2).to_pylist(), object), b.column(3).is_valid().to_numpy(zero_copy_only=False)
-                sims = wanted @ m.T
-                q_out, c_out, s_out = [], [], []
-                for i, d in enumerate(domains):
-                    ok = own != ids[i]
-                    if d is not None:
-                        ok &= (has == d) | uploaded
-                    at = np.flatnonzero(ok)
-                    at = at[np.lexsort((own[at], -sims[i, at]))[:k]]
-                    q_out.append(np.full(len(at), ids[i]))
-                    c_out.append(at)
-                    s_out.append(sims[i, at])
-                at = np.concatenate(c_out)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q_out), pa.int64()), pa.array(own[at], pa.int64()), b.column(2).take(pa.array(at)), pa.array(np.concatenate(s_out), pa.float64())], ["query_id", "chunk_id", "domain", "similarity"])
-
-        kind = chunks.schema["domain"].dataType.simpleString()
-        near = chunks.select("chunk_id", "vector", "domain", "source_file_id").mapInArrow(search, f"query_id long, chunk_id long, domain {kind}, similarity double")
+                for lo in range(0, b.num_rows, CHUNK_BLOCK):
+                    c = b.slice(lo, CHUNK_BLOCK)
+                    own, has, upload = (np.array(c.column(i).to_pylist(), object) for i in (0, 2, 3))
+                    m, answers = _unit(c.column(1).to_pylist(), width)
+                    theirs = np.array(c.column(4).to_pylist(), object) if has_tenant else None
+                    for at in range(0, len(ids), QUERY_BLOCK):
+                        q = slice(at, at + QUERY_BLOCK)
+                        sims = wanted[q] @ m.T
+                        ok = asks[q, None] & answers & (ids[q, None] != own)
+                        ok &= np.equal(domains[q, None], None) | (domains[q, None] == has) | ~np.equal(upload, None)
+                        if has_tenant:
+                            ok &= tenants[q, None] == theirs
+                        if has_sources:
+                            for i, some in enumerate(sources[q]):
+                                if some is not None:
+                                    ok[i] &= np.equal(upload, None) | np.isin(upload.astype(str), [str(x) for x in some])
+                        sims[~ok] = -np.inf
+                        if len(own) > k:  # nothing below a row's k-th best can be among its k best
+                            floor = np.partition(sims, len(own) - k, axis=1)[:, len(own) - k]
+                            ok &= sims >= floor[:, None]
+                        rows_, cols = np.nonzero(ok)
+                        best.add(rows_ + at, sims[rows_, cols], own[cols], has[cols])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best.query], fields[0]), pa.array(best.ids.tolist(), fields[1]), pa.array(best.domains.tolist(), fields[2]), pa.array(best.sim, pa.float64())], ["query_id", "chunk_id", "domain", "similarity"])
+
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        fields = [to_arrow_type(f.dataType) for f in (queries.schema["query_id"], chunks.schema["chunk_id"], chunks.schema["domain"])]
+        near = chunks.select("chunk_id", "vector", "domain", "source_file_id", *(["tenant_id"] if has_tenant else [])).mapInArrow(search, schema)
         out = near if out is None else out.union(near)
     if out is None:
-        out = chunks.select(F.col("chunk_id").alias("query_id"), "chunk_id", "domain", F.lit(0.0).alias("similarity")).limit(0)
+        out = spark.createDataFrame([], schema)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
     return out.withColumn("rank", place).where(F.col("rank") <= k)
 

@@ -325,9 +325,9 @@ def h4(spark, sf):
 # ---- J, K, L: reports and metrics ----------------------------------------------------------------------------
 
 
-@query("j6_fact_coverage", "WITH n AS (SELECT item_id AS label, substr(text, 1, 40) AS needle FROM benchmark), h AS (SELECT label, count(*) AS hits FROM n JOIN documents ON contains(text, needle) GROUP BY label) SELECT n.label, n.needle, coalesce(hits, 0) AS hits, coalesce(hits, 0) > 0 AS stored FROM n LEFT JOIN h ON n.label = h.label")
+@query("j6_fact_coverage", "WITH n AS (SELECT DISTINCT item_id AS label, text AS needle FROM benchmark), h AS (SELECT label, count(*) AS hits FROM n JOIN documents ON contains(text, needle) GROUP BY label) SELECT n.label, n.needle, coalesce(hits, 0) AS hits, coalesce(hits, 0) > 0 AS stored FROM n LEFT JOIN h ON n.label = h.label")
 def j6(spark, sf):
-    needles = table(spark, sf, "benchmark").select(F.col("item_id").alias("label"), F.substring("text", 1, 40).alias("needle"))
+    needles = table(spark, sf, "benchmark").select(F.col("item_id").alias("label"), F.col("text").alias("needle"))
     return V.fact_coverage(table(spark, sf, "documents").select(F.col("text").alias("content")), needles)
 
 
