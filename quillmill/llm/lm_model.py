@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 
 CONTEXT, OVERLAP, DIM, CLASSES, TOP, FEATURES = 32, 8, 8, 32, 2048, 16
-RATE, BATCH, DISCOUNT, LOG10 = 0.01, 128, 0.75, np.float32(1 / math.log(10))
+RATE, BATCH, DISCOUNT, LOG10 = 0.015, 256, 0.75, np.float32(1 / math.log(10))
 #: Chunks of the repeat memory end where a hash of GRAM ids says so, CHUNK ids apart on average; KEY ids before one are its
 #: key. A text's first cut comes after HEAD ids, which are a key themselves.
 GRAM, CHUNK, KEY, HEAD = 4, 64, 8, 5
@@ -138,7 +138,7 @@ class Attention:
     def forward(self, rows: np.ndarray, heads: np.ndarray, start: int = 0):
         """(class scores, queries, keys, values and ones, visible attention, its sums, what it gathers) at the places from
         start on; those before are context alone."""
-        h = heads[rows]
+        h = heads.take(rows, 0)
         h[..., : 3 * DIM] += self.w["ep"]
         q, k = h[:, start:, :DIM], h[..., DIM : 2 * DIM]
         v = np.concatenate([h[..., 2 * DIM : 3 * DIM], np.ones((*rows.shape, 1), h.dtype)], -1)
@@ -183,7 +183,7 @@ class Attention:
         dh[..., DIM : 2 * DIM] = s.transpose(0, 2, 1) @ q
         g["ep"] = dh.sum(0)
         flat = dh.reshape(-1, 3 * DIM)
-        g["mix"] = tables.features[rows].reshape(-1, FEATURES).T @ flat
+        g["mix"] = tables.features.take(rows, 0).reshape(-1, FEATURES).T @ flat
         g["mix"][:, :DIM] *= kind(DIM**-0.5)
         return loss, g
 
@@ -193,8 +193,8 @@ class Attention:
         order = np.random.default_rng(seed).permutation(len(windows.at))
         for lo in range(0, len(order), BATCH):
             some = order[lo : lo + BATCH]
-            rows = flat[windows.at[some]]
-            _, g = self.gradients(rows[:, :-1], tables.classes[rows[:, 1:]], windows.scored[some], tables)
+            rows = flat.take(windows.at.take(some, 0))
+            _, g = self.gradients(rows[:, :-1], tables.classes.take(rows[:, 1:]), windows.scored[some], tables)
             state["t"] = t = state.get("t", 0) + 1
             for k in self.w:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -204,16 +204,16 @@ class Attention:
 
 def token_logs(model: Attention, tables: Counts, heads: np.ndarray, flat: np.ndarray, lengths: np.ndarray, size: int = 128) -> np.ndarray:
     """log10 probability of every id but the first of each sequence (laid end to end in flat), in their order."""
-    rows = tables.row_of[flat]
+    rows, inside = tables.row_of.take(flat), tables.inside.ravel()
     at, scored = windows_over(lengths)
     logs = np.zeros(scored.shape, np.float32)
-    later = ~scored[:, 0]
+    later, top = ~scored[:, 0], len(tables.inside)
     for which, start in ((np.flatnonzero(~later), 0), (np.flatnonzero(later), OVERLAP)):
         for lo in range(0, len(which), size):
             some = which[lo : lo + size]
-            own = rows[at[some]]
+            own = rows.take(at.take(some, 0))
             before, after = own[:, start:-1], own[:, start + 1 :]
-            logs[some, start:] = model.class_logs(own[:, :-1], tables.classes[after], heads, start) * LOG10 + tables.inside[before, after]
+            logs[some, start:] = model.class_logs(own[:, :-1], tables.classes.take(after), heads, start) * LOG10 + inside.take(before * np.int64(top) + after)
     keep = np.ones(len(flat), bool)
     keep[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
     return logs[scored] + tables.rest[flat[keep]]

@@ -25,7 +25,7 @@ from .lm_model import RATE, TOP, Attention, Counts, chunks_over, count_tables, r
 ROUNDS, PIECE, TEXT_BYTES = 4, 400_000, 16 << 20
 _BLANKS = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 #: So many of the most frequent words are sent to the workers; the others are joined.
-FREQUENT, MAX_CACHE, HELD_OUT = 100_000, 450_000, (7, 2)
+FREQUENT, MAX_CACHE, HELD_OUT = 250_000, 450_000, (7, 2)
 _ENCODERS: dict[str, Subwords] = {}
 
 
@@ -168,7 +168,7 @@ def gather(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
             texts = b.column(4).to_pylist()
             held = np.array([is_held_out(x) for x in b.column(0).to_pylist()], bool)
-            counts = np.zeros(worker.size, np.int64)
+            counts, met = np.zeros(worker.size, np.int64), []
             for lo, hi in slices(texts):
                 words = words_of(texts[lo:hi])
                 flat, lengths = sequences_of(words, hi - lo, worker)
@@ -181,7 +181,10 @@ def gather(rows: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield emitted(hi - lo, **{c: b.column(i).slice(lo, hi - lo) for i, c in enumerate(_GATHERED[:4])}, held_out=pa.array(held[lo:hi]), ids=seqs)
                 n = np.bincount(words.codes[taught[words.text]], minlength=len(words.known))
                 some = np.flatnonzero(n)
-                yield emitted(len(some) + 1, word=pa.concat_arrays([words.known.take(pa.array(some)).cast(pa.binary()), pa.array([b""], pa.binary())]), n=pa.array(np.append(n[some], taught.sum())))
+                met += [(words.known.take(pa.array(some)).cast(pa.binary()), n[some]), (pa.array([b""], pa.binary()), np.array([taught.sum()]))]
+            if met:  # the words of a batch once each
+                once = pa.table({"word": pa.chunked_array([w for w, _ in met]), "n": np.concatenate([n for _, n in met])}).group_by("word").aggregate([("n", "sum")]).combine_chunks()
+                yield emitted(once.num_rows, word=once["word"].combine_chunks(), n=once["n_sum"].combine_chunks())
             some = np.flatnonzero(counts)
             yield emitted(len(some), sub=pa.array(some, pa.int32()), n=pa.array(counts[some]))
 
