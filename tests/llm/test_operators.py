@@ -585,3 +585,89 @@ def test_html_lead_beside_the_body_is_kept(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.text for r in Q["op1_html_extraction"](spark, str(tmp_path)).collect()}
     assert got[1] == f"{lead}\n\n{body.strip()}" and got[2].startswith(f"{lead}\n\n{body.strip()}") and got[3] == f"Head\n\n{body.strip()}"
+
+
+@pytest.mark.parametrize("page", ["<div>a" * 60_000, '<a "' * 250_000, "<a '" * 100_000 + ">" * 3, "<b>x" * 60_000 + "</i></b>" * 60_000, "<p>" * 100_000 + "<ul><li>" * 60_000, "<!--" * 100_000, "<script><" * 50_000, "<a<" * 300_000 + ">"])
+def test_html_hard_pages_take_time_in_proportion(page):
+    import time
+
+    from quillmill.llm import html_extract as he
+
+    start = time.process_time()
+    he.extract(he.blocks(page), None)
+    assert time.process_time() - start < 8
+
+
+def test_html_deep_nesting_keeps_the_text():
+    from quillmill.llm import html_extract as he
+
+    page = "<body>" + "<div class=x7>" * 3000 + "<p>The text that lies deep, and is long enough to count as such.</p>" + "</div>" * 3000 + "<div class=foot>x</div></body>"
+    found = he.blocks(page)
+    best = he.best_path(found, he.score_paths(found))
+    assert he.extract(found, found.name(best)) == he.extract(found, None) == "The text that lies deep, and is long enough to count as such."
+
+
+def test_secret_behind_a_long_escape_chain():
+    import time
+
+    secret = "%" + "25" * 3000 + "70assword=hunter2hunter2"
+    start = time.process_time()
+    base, spans, cut = secret_scan.scan(" ".join([secret] * 20))
+    assert time.process_time() - start < 10 and cut == 0
+    assert sum(k == 0 for _, _, k in spans) >= 20
+
+
+def test_repeated_rows_spread_over_buckets(spark, monkeypatch):
+    from quillmill.llm import sharding
+
+    rows, met = spark.createDataFrame([(1, "x" * 500)] * 400, "doc_id long, text string").repartition(3), []
+    bases = sharding._bases
+    monkeypatch.setattr(sharding, "_bases", lambda sizes: met.extend(r["_n"] for r in sizes.collect()) or bases(sizes))
+    got = sharding.shard_documents(rows, 8, bucket_bytes=20_000)
+    places = sorted((r.slot, r.shard) for r in got.collect())
+    assert places == [(i // 8, i % 8) for i in range(400)]
+    buckets = sorted(f for f in met if f)
+    assert len(buckets) > 3 and max(buckets) < 200  # all in one by their content
+
+
+def test_quality_verdicts_equal_brute_force(spark, docs_dir):
+    """kept, recomputed from the texts: shares of character classes and common words against each language's own."""
+    import unicodedata
+
+    from quillmill.llm import quality_rules as qr
+
+    rows = [(r["doc_id"], r["text"] or "", r["lang"] or "") for r in table(spark, docs_dir)]
+    base = {i: r for i, r in enumerate(sorted(Q["op5_quality_rules"](spark, docs_dir).collect(), key=str))}
+    got = defaultdict(list)
+    for r in base.values():
+        got[r.doc_id].append(r)
+    kinds = lambda c: 0 if unicodedata.category(c) == "Ll" else 1 if unicodedata.category(c) == "Lu" else 2 if unicodedata.category(c) == "Nd" else 3 if c in " \t\n\x0b\f\r" else 4 if unicodedata.category(c)[0] == "P" else 5 if unicodedata.category(c)[0] == "S" else 6
+    feats = []
+    for doc, text, lang in rows:
+        classes = Counter(map(kinds, text))
+        tokens = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text).lower().split()
+        feats.append((doc, lang, BLANK.findall(text), [classes[k] for k in range(7)], Counter(t for t in tokens if t in qr.VOCABULARY)))
+    failed = {(r.doc_id, r.n_words, r.word_chars): r.base_failed for r in base.values()}
+    ok = lambda f: not failed[f[0], len(f[2]), sum(map(len, f[2]))]
+    total, classes, words = Counter(), defaultdict(lambda: [0] * 7), defaultdict(Counter)
+    for f in filter(ok, feats):
+        total[f[1]] += len(f[2])
+        classes[f[1]] = [a + b for a, b in zip(classes[f[1]], f[3], strict=True)]
+        words[f[1]] += f[4]
+    half = lambda p, m: p * math.log2(p / m) if p > 0 else 0.0
+    js = lambda p, q: math.sqrt(max(0.0, sum(half(a, (a + b) / 2) + half(b, (a + b) / 2) for a, b in zip(p, q, strict=True)) / 2))
+    checked = 0
+    for f in feats:
+        near = True
+        if total[f[1]] >= qr.MIN_REFERENCE_WORDS:
+            p, q = [x / max(1, sum(f[3])) for x in f[3]], [x / max(1, sum(classes[f[1]])) for x in classes[f[1]]]
+            a, b = [f[4][w] / max(1, len(f[2])) for w in qr.VOCABULARY], [words[f[1]][w] / max(1, total[f[1]]) for w in qr.VOCABULARY]
+            distances = js(p, q), js([*a, max(0.0, 1 - sum(a))], [*b, max(0.0, 1 - sum(b))])
+            if min(abs(distances[0] - qr.CLASS_LIMIT), abs(distances[1] - qr.WORD_LIMIT)) < 1e-6:
+                continue
+            near = distances[0] <= qr.CLASS_LIMIT and distances[1] <= qr.WORD_LIMIT
+        for r in got[f[0]]:
+            if (r.n_words, r.word_chars) == (len(f[2]), sum(map(len, f[2]))):
+                checked += 1
+                assert r.kept == (near and not r.base_failed), f[0]
+    assert checked >= len(rows) * 0.95

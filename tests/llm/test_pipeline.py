@@ -119,3 +119,18 @@ def test_stages_on_null_and_repeated_ids(spark, tmp_path):
     assert run(cp.decontamination, [(None, a), (None, bench), (1, b), (1, bench), (2, None)]) == order([(None, a), (1, b), (2, None)])
     secret = "password=Tr0ub4dor-and-3"
     assert run(cp.secrets, [(None, a), (None, f"x {secret} y"), (1, b), (1, f"z {secret}"), (2, None), (2, c), (2, c)]) == order([(None, a), (None, "x [SECRET] y"), (1, b), (1, "z [SECRET]"), (2, None), (2, c), (2, c)])
+
+
+def test_stages_on_clashing_columns_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    names = ["_key", "_digest", "redacted", "ids", "kept", "component_id", "id", "t", "digest", "row", "spans"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    text = " ".join(f"w{i * i % 97}x{i}" for i in range(150))
+    rows = spark.createDataFrame([(1, text, "en", "s", 5, *[f"{n}!" for n in names])], schema)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, rows, str(tmp_path))
+        assert got.columns == rows.columns and [r[f"{n}"] for r in got.collect() for n in names] == [f"{n}!" for n in names]
+        assert stage(spark, rows.limit(0), str(tmp_path)).count() == 0
+    assert cp.STAGES[-1][1](spark, rows, str(tmp_path)).count() == 1 and cp.STAGES[-1][1](spark, rows.limit(0), str(tmp_path)).count() == 0
