@@ -64,3 +64,22 @@ def reap_orphans(files: DataFrame, tenant) -> DataFrame:
 def classify_domains(corpus: DataFrame) -> DataFrame:
     """(domain, scope_class): generalization only if all its documents are of that scope, else client."""
     return corpus.groupBy("domain").agg(F.when(F.min(F.col("scope") == "generalization"), "generalization").otherwise("client").alias("scope_class"))
+
+
+def job_queue(jobs: DataFrame, status: str | None = None) -> DataFrame:
+    """jobs (id, status, created_at) with place: oldest first within a status, newest first when none is asked for (ties by
+    id). The place is a rank within each day and the days before it, so no task sorts all jobs."""
+    rows = jobs if status is None else jobs.where(F.col("status") == status)
+    down = status is None
+    rows = rows.withColumn("_day", F.to_date("created_at"))
+    per_day = rows.groupBy("_day").agg(F.count("*").alias("_n"))
+    order = F.desc("_day") if down else F.asc("_day")
+    before = per_day.select(F.col("_day").alias("_d"), (F.sum("_n").over(Window.orderBy(order)) - F.col("_n")).alias("_before"))
+    inner = Window.partitionBy("_day").orderBy(F.desc("created_at") if down else F.asc("created_at"), F.asc("id"))
+    return rows.withColumn("_i", F.row_number().over(inner)).join(before, F.col("_day").eqNullSafe(F.col("_d"))).select(*jobs.columns, (F.col("_before") + F.col("_i")).alias("place"))
+
+
+def toggle_source(files: DataFrame, ids: DataFrame, enabled: bool) -> DataFrame:
+    """files with `enabled` set for the sources in ids (id); others stay as they are, and ids that no file has do nothing."""
+    wanted = ids.select("id").distinct().withColumn("_hit", F.lit(True))
+    return files.join(wanted, "id", "left").withColumn("enabled", F.when(F.col("_hit"), F.lit(enabled)).otherwise(F.col("enabled"))).drop("_hit").select(files.columns)

@@ -122,8 +122,12 @@ def vote_domain(cands: DataFrame, threshold: float = 0.4, by: tuple[str, ...] =
     return sums.withColumn("place", first).where("place = 1").select(*by, "domain")
 
 
-def resolve_domain(queries: DataFrame, votes: DataFrame, default) -> DataFrame:
-    """(query_id, domain, domain_source): an explicit domain is page_context, else the vote, else the default (no_match)."""
+def resolve_domain(queries: DataFrame, votes: DataFrame, default, indexed: bool = True) -> DataFrame:
+    """(query_id, domain, domain_source): an explicit domain is page_context, else the vote, else the default (no_match).
+    Without an index there is no vote: what is not explicit takes the default (tenant_default)."""
+    if not indexed:
+        explicit = F.col("domain").isNotNull()
+        return queries.select("query_id", F.coalesce("domain", F.lit(default)).alias("domain"), F.when(explicit, "page_context").otherwise("tenant_default").alias("domain_source"))
     voted = queries.select("query_id", F.col("domain").alias("explicit")).join(votes.select("query_id", F.col("domain").alias("voted")), "query_id", "left")
     source = F.when(F.col("explicit").isNotNull(), "page_context").when(F.col("voted").isNotNull(), "retrieval").otherwise("no_match")
     return voted.select("query_id", F.coalesce("explicit", "voted", F.lit(default)).alias("domain"), source.alias("domain_source"))
@@ -144,6 +148,25 @@ def score_retrieval(cands: DataFrame, queries: DataFrame, k: int = 4) -> DataFra
     return joined.agg(F.count("*").alias("n"), (F.count(F.when(F.col("first") <= k, 1)) / n).alias("recall"), (F.sum(F.coalesce(1 / F.col("first"), F.lit(0.0))) / n).alias("mrr"))
 
 
+def retrieval_rates(results: DataFrame) -> DataFrame:
+    """One row from (gold_substring, context, top_script, query_lang, has_gold): the share of rows with a gold substring whose
+    context holds it, the share whose best source is in another script than the query (Arabizi asks Arabic sources and
+    counts as the same), and the share of rows without gold whose context is empty; denominators of at least 1."""
+    rate = lambda hit, among: F.count_if(F.coalesce(hit & among, F.lit(False))) / F.greatest(F.count_if(F.coalesce(among, F.lit(False))), F.lit(1))
+    context = F.coalesce("context", F.lit(""))
+    other = ~F.coalesce((F.col("top_script") == F.col("query_lang")) | ((F.col("top_script") == "ar") & (F.col("query_lang") == "darija")), F.lit(True))
+    return results.agg(
+        rate(F.contains(context, F.col("gold_substring")), F.col("gold_substring").isNotNull()).alias("substring_rate"), rate(other, F.col("top_script").isNotNull()).alias("cross_language_rate"),
+        rate(F.trim(context) == "", ~F.col("has_gold")).alias("empty_context_rate"),
+    )
+
+
+def retrieval_misses(cands: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
+    """(query_id) of the queries none of whose first k candidates is gold."""
+    hit = cands.where(F.col("is_gold") & (F.col("rank") <= k)).select("query_id")
+    return queries.select("query_id").join(hit, "query_id", "left_anti")
+
+
 def vote_upload_domain(probes: DataFrame, chunks: DataFrame, default, k: int = 10, threshold: float = 0.4) -> DataFrame:
     """(query_id, domain, domain_source) for uploads: each probe (query_id, vector of the first chunk's head) asks its k
     nearest chunks of any domain; without a vote the default stands."""

@@ -57,6 +57,14 @@ def is_parrot(messages: Column, n: int = 50) -> Column:
     return F.exists(contents(messages, "user"), lambda u: (F.length(u) >= n) & F.contains(answers, F.substring(u, 1, n)))
 
 
+def drop_parrots(rows: DataFrame, max_share: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """(rows without parrots, report): the report has (component, n, parrots, failed), failed where their share reaches
+    max_share."""
+    marked = rows.withColumn("_parrot", is_parrot(F.col("messages")))
+    report = marked.groupBy("component").agg(F.count("*").alias("n"), F.count_if("_parrot").alias("parrots")).withColumn("failed", F.col("parrots") >= max_share * F.col("n"))
+    return marked.where("NOT _parrot").drop("_parrot"), report
+
+
 def structural_problems(rows: DataFrame) -> DataFrame:
     """(problem, n): rows without a leading system turn, with a later one, that do not alternate, end on another role
     than the assistant's, or hold empty content."""
@@ -72,11 +80,15 @@ def structural_problems(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("messages") > 0).select(F.explode(found).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
 
 
-def length_report(rows: DataFrame, limit: int = 4096) -> DataFrame:
-    """One row: rows, quantiles of the word count, the assistant's share, rows over limit."""
-    count = lambda c: F.size(F.filter(F.split(c, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+def word_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+
+
+def length_report(rows: DataFrame, limit: int = 4096, count=word_count, max_dropped: float = 0.02) -> DataFrame:
+    """One row: rows, quantiles of the token count (count: a column function, words by default), the assistant's share,
+    rows over limit, and whether their share fails the run."""
     sized = rows.select(count(F.array_join(F.transform("messages", lambda m: m["content"]), " ")).alias("n"), count(F.array_join(contents(F.col("messages"), "assistant"), " ")).alias("a"))
-    return sized.agg(F.count("*").alias("n_rows"), F.min("n").cast("long").alias("lo"), F.percentile("n", F.lit(0.5)).alias("p50"), F.percentile("n", F.lit(0.9)).alias("p90"), F.max("n").cast("long").alias("hi"), (F.sum("a") / F.sum("n")).alias("assistant_share"), F.count(F.when(F.col("n") > limit, 1)).alias("dropped"))
+    return sized.agg(F.count("*").alias("n_rows"), F.min("n").cast("long").alias("lo"), F.percentile("n", F.lit(0.5)).alias("p50"), F.percentile("n", F.lit(0.9)).alias("p90"), F.percentile("n", F.lit(0.99)).alias("p99"), F.max("n").cast("long").alias("hi"), (F.sum("a") / F.sum("n")).alias("assistant_share"), F.count(F.when(F.col("n") > limit, 1)).alias("dropped"), F.coalesce(F.avg((F.col("n") > limit).cast("int")) >= max_dropped, F.lit(False)).alias("failed"))
 
 
 def exact_dedup(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -108,8 +120,14 @@ def composition(rows: DataFrame) -> DataFrame:
     return sets.select(kind.alias("kind"), F.coalesce("component", "domain", "shard").alias("value"), "n")
 
 
-def apportion(weights: DataFrame, total: int) -> DataFrame:
-    """weights (name, weight) with share: largest remainders, ties by name; the shares sum to total."""
+def apportion(weights: DataFrame, total: int, subset: list[str] | None = None) -> DataFrame:
+    """weights (name, weight) with share: largest remainders, ties by name; the shares sum to total. With subset only those
+    names share it; one that weights does not have is an error."""
+    if subset is not None:
+        weights = weights.where(F.col("name").isin(*subset))
+        unknown = set(subset) - {r["name"] for r in weights.select("name").distinct().collect()}  # at most the names asked for
+        if unknown:
+            raise ValueError(f"unknown components: {sorted(unknown)}")
     every = Window.partitionBy()
     exact = F.col("weight") * F.lit(total) / F.sum("weight").over(every)
     parts = weights.withColumn("floor", F.floor(exact)).withColumn("rest", F.round(exact - F.floor(exact), 9))

@@ -19,27 +19,42 @@ def _n(klass: str, col: str = "text") -> str:
     return f"coalesce(length(regexp_replace({col}, '[^{klass}]+', '', 'g')), 0)"
 
 
+#: Documents and turns with planted Arabic, broken and foreign characters, questions and repeats: what the driver's lack.
+_DOC = "CASE WHEN doc_id % 3 = 0 THEN concat('نص عربي طويل جدا يتكلم عن القانون ', substr(coalesce(text, ''), 1, CAST(doc_id % 60 AS INT))) WHEN doc_id % 3 = 1 THEN concat(text, '\ufffd\u0007\ue000') ELSE text END"
+_DOCS = f"(SELECT doc_id, {_DOC} AS text FROM documents)"
+_TURN = "CASE WHEN role = 'assistant' AND conv_id % 3 = 0 THEN concat('جواب بالعربية ديال هاد الدرس اللي قلنا ليك البارح؟ ', substr(text, 1, 8), ' Est-ce clair ? Oui. Et toi?') WHEN role = 'user' AND conv_id % 4 = 1 THEN 'la même question, encore une fois, et toujours la même question' WHEN role = 'assistant' AND conv_id % 4 = 1 THEN concat('la même question, encore une fois, et toujours la même question : ', text) WHEN role = 'user' AND conv_id % 5 = 2 THEN concat(text, ' 漢字') ELSE text END"
+_TURNS = f"(SELECT conv_id, turn, role, {_TURN} AS text FROM conversations)"
+
+
+def _docs(spark, sf):
+    return table(spark, sf, "documents").withColumn("text", F.expr(_DOC))
+
+
+def _talk(spark, sf):
+    return table(spark, sf, "conversations").withColumn("text", F.expr(_TURN))
+
+
 # ---- B: text -------------------------------------------------------------------------------------------------
 
 
-@query("b2_doc_language", f"SELECT doc_id, CASE WHEN {_n(AR)} > {_n(LAT)} THEN 'ar' ELSE 'fr' END AS doc_lang FROM documents")
+@query("b2_doc_language", f"SELECT doc_id, CASE WHEN {_n(AR)} > {_n(LAT)} THEN 'ar' ELSE 'fr' END AS doc_lang FROM " + _DOCS)
 def b2(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.detect_doc_lang(F.col("text")).alias("doc_lang"))
+    return _docs(spark, sf).select("doc_id", T.detect_doc_lang(F.col("text")).alias("doc_lang"))
 
 
-@query("b3_arabic_source", f"SELECT doc_id, {_n(AL)} > 0.15 * {_n(LAT)} AS is_arabic FROM documents")
+@query("b3_arabic_source", f"SELECT doc_id, {_n(AL)} > 0.15 * {_n(LAT)} AS is_arabic FROM " + _DOCS)
 def b3(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.is_arabic_doc(F.col("text")).alias("is_arabic"))
+    return _docs(spark, sf).select("doc_id", T.is_arabic_doc(F.col("text")).alias("is_arabic"))
 
 
-@query("b12_target_script", "SELECT conv_id, turn, CASE WHEN " + _n(r"\x{0621}-\x{06FF}") + f" > {_n(LAT)} THEN 'arabic' ELSE 'arabizi' END AS script FROM conversations WHERE role = 'assistant'")
+@query("b12_target_script", "SELECT conv_id, turn, CASE WHEN " + _n(r"\x{0621}-\x{06FF}") + f" > {_n(LAT)} THEN 'arabic' ELSE 'arabizi' END AS script FROM {_TURNS} WHERE role = 'assistant'")
 def b12(spark, sf):
-    return table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.target_script(F.col("text")).alias("script"))
+    return _talk(spark, sf).where("role = 'assistant'").select("conv_id", "turn", T.target_script(F.col("text")).alias("script"))
 
 
-@query("b16_arabic_majority", rf"SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(x, '[{AR}]'))) > len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]'))) AS arabic_words FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+') AS w FROM documents)")
+@query("b16_arabic_majority", rf"SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(x, '[{AR}]'))) > len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]'))) AS arabic_words FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+') AS w FROM {_DOCS})")
 def b16(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.arabic_majority(F.col("text")).alias("arabic_words"))
+    return _docs(spark, sf).select("doc_id", T.arabic_majority(F.col("text")).alias("arabic_words"))
 
 
 @query("b17_oov_characters", "SELECT c AS ch, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' AND NOT regexp_matches(c, '[A-Za-z0-9 .,\n]') GROUP BY c")
@@ -48,9 +63,9 @@ def b17(spark, sf):
     return chars.where((F.col("ch") != "") & ~F.col("ch").rlike("[A-Za-z0-9 .,\n]")).groupBy("ch").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-@query("b18_bad_char_ratio", "SELECT doc_id, " + _n(r"\x{FFFD}\x00-\x08\x0b\x0c\x0e-\x1f\x{E000}-\x{F8FF}") + " / greatest(length(text), 1)::DOUBLE AS bad_ratio FROM documents")
+@query("b18_bad_char_ratio", "SELECT doc_id, " + _n(r"\x{FFFD}\x00-\x08\x0b\x0c\x0e-\x1f\x{E000}-\x{F8FF}") + " / greatest(length(text), 1)::DOUBLE AS bad_ratio FROM " + _DOCS)
 def b18(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.bad_char_ratio(F.col("text")).alias("bad_ratio"))
+    return _docs(spark, sf).select("doc_id", T.bad_char_ratio(F.col("text")).alias("bad_ratio"))
 
 
 @query("b19_ocr_incomplete", "SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '[0-9]+[.,][0-9]+|[0-9]{4,}') AS incomplete FROM documents")
@@ -86,9 +101,9 @@ def _files(spark, sf):
 _FILES = "f AS (SELECT o_orderkey AS id, o_custkey AS tenant_id, CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'P' THEN 'partial' ELSE 'pending' END AS status, o_orderkey % 2 = 1 AS enabled, o_orderdate AS created_at FROM orders)"
 
 
-@query("c5_domain_classes", "SELECT source AS domain, CASE WHEN bool_and(lang = 'en') THEN 'generalization' ELSE 'client' END AS scope_class FROM documents GROUP BY source")
+@query("c5_domain_classes", "SELECT source AS domain, CASE WHEN bool_and(lang = 'en' OR length(source) % 2 = 0) THEN 'generalization' ELSE 'client' END AS scope_class FROM documents GROUP BY source")
 def c5(spark, sf):
-    scope = F.when(F.col("lang") == "en", "generalization").otherwise("client")
+    scope = F.when((F.col("lang") == "en") | (F.length("source") % 2 == 0), "generalization").otherwise("client")
     return I.classify_domains(table(spark, sf, "documents").select(F.col("source").alias("domain"), scope.alias("scope")))
 
 
@@ -251,12 +266,13 @@ def k12(spark, sf):
 # ---- E, F, G: conversations ----------------------------------------------------------------------------------
 
 
-@query("e2_dropped_questions", r"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations WHERE role = 'assistant'),
+@query("e2_dropped_questions", "WITH a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM " + _TURNS + r""" WHERE role = 'assistant'),
 s AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[^.!?\x{061F}]*[.!?\x{061F}]|[^.!?\x{061F}]+')) AS q FROM a WHERE age > 2) SELECT conv_id, turn, trim(q, ' ') AS question FROM s WHERE regexp_matches(q, '[?\x{061F}]')""")
 def e2(spark, sf):
-    return O.dropped_questions(table(spark, sf, "conversations"))
+    return O.dropped_questions(_talk(spark, sf))
 
 
+_PLANTED = f"WITH c AS (SELECT conv_id AS row_id, turn, role, coalesce(text, '') AS text FROM {_TURNS})"
 _TEXTS = "WITH c AS (SELECT conv_id AS row_id, turn, role, coalesce(text, '') AS text FROM conversations)"
 
 
@@ -273,24 +289,24 @@ def f9(spark, sf):
     return O.structural_problems(_rows(spark, sf))
 
 
-@query("f10_drop_parrots", _TEXTS + """, a AS (SELECT row_id, string_agg(text, chr(10) ORDER BY turn) AS answers FROM c WHERE role = 'assistant' GROUP BY row_id)
+@query("f10_drop_parrots", _PLANTED + """, a AS (SELECT row_id, string_agg(text, chr(10) ORDER BY turn) AS answers FROM c WHERE role = 'assistant' GROUP BY row_id)
 SELECT c.row_id, bool_or(role = 'user' AND length(text) >= 50 AND contains(coalesce(answers, ''), substr(text, 1, 50))) AS parrot FROM c LEFT JOIN a ON c.row_id = a.row_id GROUP BY c.row_id""")
 def f10(spark, sf):
-    return _rows(spark, sf).select("row_id", O.is_parrot(F.col("messages")).alias("parrot"))
+    return O.rows_from_turns(_talk(spark, sf)).select("row_id", O.is_parrot(F.col("messages")).alias("parrot"))
 
 
 _WORDS = r"len(list_filter(string_split_regex({}, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))"
 
 
 @query("f11_length_report", _TEXTS + f""", w AS (SELECT row_id, sum({_WORDS.format('text')}) AS n, coalesce(sum({_WORDS.format('text')}) FILTER (role = 'assistant'), 0) AS a FROM c GROUP BY row_id)
-SELECT count(*) AS n_rows, CAST(min(n) AS BIGINT) AS lo, CAST(quantile_cont(n, 0.5) AS DOUBLE) AS p50, CAST(quantile_cont(n, 0.9) AS DOUBLE) AS p90, CAST(max(n) AS BIGINT) AS hi, sum(a)::DOUBLE / sum(n)::DOUBLE AS assistant_share, count(*) FILTER (n > 4096) AS dropped FROM w""")
+SELECT count(*) AS n_rows, CAST(min(n) AS BIGINT) AS lo, CAST(quantile_cont(n, 0.5) AS DOUBLE) AS p50, CAST(quantile_cont(n, 0.9) AS DOUBLE) AS p90, CAST(quantile_cont(n, 0.99) AS DOUBLE) AS p99, CAST(max(n) AS BIGINT) AS hi, sum(a)::DOUBLE / sum(n)::DOUBLE AS assistant_share, count(*) FILTER (n > 4096) AS dropped, avg((n > 4096)::INT) >= 0.02 AS failed FROM w""")
 def f11(spark, sf):
     return O.length_report(_rows(spark, sf))
 
 
-@query("g14_repeated_turn", _TEXTS + r", u AS (SELECT row_id, role, substr(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 80) AS t FROM c) SELECT row_id, count(*) FILTER (role = 'user') > count(DISTINCT t) FILTER (role = 'user') AS repeated FROM u GROUP BY row_id")
+@query("g14_repeated_turn", _PLANTED + r", u AS (SELECT row_id, role, substr(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 80) AS t FROM c) SELECT row_id, count(*) FILTER (role = 'user') > count(DISTINCT t) FILTER (role = 'user') AS repeated FROM u GROUP BY row_id")
 def g14(spark, sf):
-    return _rows(spark, sf).select("row_id", O.repeated_turn(F.col("messages")).alias("repeated"))
+    return O.rows_from_turns(_talk(spark, sf)).select("row_id", O.repeated_turn(F.col("messages")).alias("repeated"))
 
 
 @query("g16_turn_count", _TEXTS + " SELECT row_id, (count(*) FILTER (role = 'assistant') > 1) = (row_id % 2 = 0) AS agrees FROM c GROUP BY row_id")
@@ -298,9 +314,9 @@ def g16(spark, sf):
     return _rows(spark, sf).select("row_id", O.turn_count_agrees(F.col("messages"), F.col("row_id") % 2 == 0).alias("agrees"))
 
 
-@query("g18_cjk", _TEXTS + f" SELECT row_id, bool_or(role <> 'system' AND regexp_matches(text, '[{CJK}]')) AS cjk FROM c GROUP BY row_id")
+@query("g18_cjk", _PLANTED + f" SELECT row_id, bool_or(role <> 'system' AND regexp_matches(text, '[{CJK}]')) AS cjk FROM c GROUP BY row_id")
 def g18(spark, sf):
-    return _rows(spark, sf).select("row_id", O.has_cjk(F.col("messages")).alias("cjk"))
+    return O.rows_from_turns(_talk(spark, sf)).select("row_id", O.has_cjk(F.col("messages")).alias("cjk"))
 
 
 # ---- H, I, J: planning, dedup, audits ------------------------------------------------------------------------

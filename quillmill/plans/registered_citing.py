@@ -10,11 +10,14 @@ from ..functions import references as X
 from ..functions.rendering import to_arabizi
 from ..operators import citing as C
 from ..operators import evaluation as V
+from ..operators import ingest as I
 from ..operators import near_rows as N
 from ..operators import pages as P
 from ..operators import recovery as R
+from ..operators import retrieval as T
 from ..operators.rows import has_cjk
 from ..sources import files as S
+from ..streaming import progress as B
 from ..streaming import sessions as Z
 from . import registered as base
 from .catalogue import query, table
@@ -327,3 +330,59 @@ def k10(spark, sf):
     gold = F.concat(F.lit("المادة 1 "), head, F.lit(" المادة 2"))
     read = F.when(F.col("doc_id") % 4 == 0, gold).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("المادة 2 "), head, F.lit(" المادة 1"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("المادة 1 "), head)).otherwise(F.concat(F.lit("المادة ١ "), head, F.lit(" المادة 2")))
     return V.ocr_gates(table(spark, sf, "documents"), gold, read, ("doc_id",)).select("doc_id", "order_pass", "digit_integrity_pass")
+
+
+_JOBS = "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'pending' ELSE 'error' END AS status, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders"
+
+
+def _jobs(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderstatus") == "O", "pending").otherwise("error")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+
+
+@query("c11_job_queue", f"WITH j AS ({_JOBS}) SELECT id, row_number() OVER (ORDER BY created_at, id) AS place FROM j WHERE status = 'pending'")
+def c11_queue(spark, sf):
+    return I.job_queue(_jobs(spark, sf), "pending").select("id", "place")
+
+
+@query("c12_toggle_source", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN false ELSE o_orderkey % 2 = 0 END AS enabled FROM orders")
+def c12_toggle(spark, sf):
+    files = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2 == 0).alias("enabled"))
+    return I.toggle_source(files, table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id")), False)
+
+
+_ASKED = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 5, 6) WHEN doc_id % 7 = 1 THEN 'not in any text' END AS gold_substring, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE text END AS context, CASE WHEN doc_id % 3 = 0 THEN 'ar' WHEN doc_id % 3 = 1 THEN 'fr' END AS top_script, CASE WHEN doc_id % 4 = 0 THEN 'darija' ELSE 'fr' END AS query_lang, doc_id % 6 > 0 AS has_gold FROM documents"
+
+
+@query("k1_retrieval_rates", f"WITH a AS ({_ASKED}) SELECT count(*) FILTER (gold_substring IS NOT NULL AND contains(context, gold_substring)) / greatest(count(gold_substring), 1)::DOUBLE AS substring_rate, count(*) FILTER (top_script IS NOT NULL AND top_script <> query_lang AND NOT (top_script = 'ar' AND query_lang = 'darija')) / greatest(count(top_script), 1)::DOUBLE AS cross_language_rate, count(*) FILTER (NOT has_gold AND trim(coalesce(context, '')) = '') / greatest(count(*) FILTER (NOT has_gold), 1)::DOUBLE AS empty_context_rate FROM a")
+def k1_rates(spark, sf):
+    asked = table(spark, sf, "documents").select(*[F.expr(e) for e in _split_exprs(_ASKED.removeprefix("SELECT ").removesuffix(" FROM documents"))])
+    return T.retrieval_rates(asked)
+
+
+@query("c16_reembedded", "SELECT count(*) FILTER (doc_id % 4 = 0) AS archived, count(*) FILTER (doc_id % 4 > 0) AS total, count(*) FILTER (doc_id % 4 > 0) AS with_vector FROM documents")
+def c16(spark, sf):
+    chunks = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 4 > 0, F.col("source")).alias("domain"), F.col("text").alias("content"), F.array(F.lit(0.0)).alias("vector"))
+    return N.reembed(chunks, S.scratch_path(spark, "reembedded"))
+
+
+@query("d8_local_domain", "SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE 'general' END AS domain, CASE WHEN doc_id % 3 = 0 THEN 'page_context' ELSE 'tenant_default' END AS domain_source FROM documents")
+def d8_local(spark, sf):
+    asked = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("domain"))
+    return T.resolve_domain(asked, None, "general", indexed=False)
+
+
+@query("l1_progress_states", """WITH a AS (SELECT event_type AS component, count(*) AS n, max(ts) AS row_ts FROM events WHERE event_id % 3 = 0 AND NOT (event_type = 'click' AND ts > (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)) GROUP BY 1), t AS (SELECT event_type AS component, count(*) AS n_attempts, max(ts) AS try_ts FROM events GROUP BY 1), m AS (SELECT max(ts) AS newest FROM events),
+g AS (SELECT DISTINCT event_type AS component, CASE WHEN event_type = 'purchase' THEN 5 ELSE 1000000 END AS target FROM events UNION ALL SELECT 'none', 3) SELECT g.component, coalesce(n, 0) AS n, target, coalesce(n_attempts, 0) AS n_attempts, CASE WHEN coalesce(n, 0) >= target THEN 'target met' WHEN date_diff('second', row_ts, newest) <= 90000 THEN 'running' WHEN date_diff('second', try_ts, newest) <= 90000 THEN 'nothing_accepted' ELSE 'no_attempts' END AS state FROM g LEFT JOIN a USING (component) LEFT JOIN t USING (component) CROSS JOIN m""")
+def l1_states(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("component"), "ts", "event_id")
+    span = e.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    half = F.timestamp_seconds((F.unix_timestamp("lo") + F.unix_timestamp("hi")) / 2)
+    rows = e.join(F.broadcast(span.select(half.alias("mid")))).where((F.col("event_id") % 3 == 0) & ~((F.col("component") == "click") & (F.col("ts") > F.col("mid"))))
+    targets = e.select("component").distinct().withColumn("target", F.when(F.col("component") == "purchase", 5).otherwise(1000000)).union(spark.createDataFrame([("none", 3)], "component string, target int"))
+    return B.progress_states(B.progress_counts(rows), B.progress_counts(e), targets, 90000, 90000)
+
+
+@query("l6_accept_rates", "SELECT event_type AS component, time_bucket(INTERVAL '10 minutes', ts) AS window_start, count(*) AS attempts, count(*) FILTER (value > 50) AS accepted, count(*) FILTER (value > 50) / count(*)::DOUBLE AS rate FROM events GROUP BY 1, 2")
+def l6_rates(spark, sf):
+    return B.accept_rates(table(spark, sf, "events").select(F.col("event_type").alias("component"), "ts", (F.col("value") > 50).alias("accepted")))

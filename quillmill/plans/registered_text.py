@@ -394,6 +394,11 @@ def l2(spark, sf):
     return V.endpoints(_frames(spark, sf), 10.0, 2, 2)
 
 
-@query("k11_endpoint_sweep", _ENDS.format(thresholds="[5.0::DOUBLE, 10.0, 20.0, 1000000.0]") + ", g AS (SELECT threshold, count(DISTINCT stream_id) AS n_detected, count(*) AS n_starts FROM e WHERE event = 'speech_start' GROUP BY 1) SELECT t.threshold, coalesce(n_detected, 0) AS n_detected, coalesce(n_starts, 0) AS n_starts FROM t LEFT JOIN g ON t.threshold = g.threshold")
+@query("k11_endpoint_sweep", _ENDS.format(thresholds="[5.0::DOUBLE, 10.0, 20.0, 1000000.0]") + ", s AS (SELECT threshold, stream_id, count(*) AS n, min(frame_no) AS first FROM e WHERE event = 'speech_start' GROUP BY 1, 2), g AS (SELECT threshold, count(*) AS n_detected, CAST(sum(n) AS BIGINT) AS n_starts, avg(n) AS mean_starts, avg(first) * 20 AS mean_first_ms FROM s GROUP BY 1) SELECT t.threshold, coalesce(n_detected, 0) AS n_detected, coalesce(n_starts, 0) AS n_starts, mean_starts, mean_first_ms FROM t LEFT JOIN g ON t.threshold = g.threshold")
 def k11(spark, sf):
     return V.sweep_endpointing(_frames(spark, sf), [5.0, 10.0, 20.0, 1e6], 2, 2)
+
+
+@query("k11_level_percentiles", "SELECT p AS point, quantile_cont(value, p) AS level FROM events, (SELECT unnest([0.5::DOUBLE, 0.9, 0.95, 0.99]) AS p) GROUP BY p".replace("quantile_cont(value, p)", "CASE p WHEN 0.5 THEN quantile_cont(value, 0.5) WHEN 0.9 THEN quantile_cont(value, 0.9) WHEN 0.95 THEN quantile_cont(value, 0.95) ELSE quantile_cont(value, 0.99) END"))
+def k11_levels(spark, sf):
+    return V.level_percentiles(_frames(spark, sf))

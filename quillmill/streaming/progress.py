@@ -13,6 +13,33 @@ def progress_board(lines: DataFrame, idle_seconds: int = 1200) -> DataFrame:
     return last.join(F.broadcast(newest)).select("component", "n", "last_ts", (F.unix_timestamp("newest") - F.unix_timestamp("last_ts") > idle_seconds).alias("stalled"))
 
 
+def progress_counts(lines: DataFrame) -> DataFrame:
+    """(component, n, last_ts): what the board is made of; on a stream it is kept for each component and updated."""
+    return lines.groupBy("component").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+
+
+def progress_states(accepted: DataFrame, attempts: DataFrame, targets: DataFrame, idle_seconds: int = 1200, silent_seconds: int = 300) -> DataFrame:
+    """(component, n, target, n_attempts, state) for each component of targets (component, target), from counts of accepted
+    rows and of attempts: target met; running where a row came within idle_seconds of the newest line of all; else
+    nothing_accepted where attempts still came within silent_seconds, or no_attempts."""
+    rows = accepted.select("component", "n", F.col("last_ts").alias("row_ts"))
+    tries = attempts.select("component", F.col("n").alias("n_attempts"), F.col("last_ts").alias("try_ts"))
+    newest = accepted.select("last_ts").union(attempts.select("last_ts")).agg(F.max("last_ts").alias("newest"))  # one row
+    all_ = targets.select("component", "target").join(rows, "component", "left").join(tries, "component", "left").join(F.broadcast(newest))
+    idle = lambda ts: F.unix_timestamp("newest") - F.unix_timestamp(ts)
+    state = F.when(F.coalesce("n", F.lit(0)) >= F.col("target"), "target met").when(idle("row_ts") <= idle_seconds, "running").when(idle("try_ts") <= silent_seconds, "nothing_accepted").otherwise("no_attempts")
+    return all_.select("component", F.coalesce("n", F.lit(0)).alias("n"), "target", F.coalesce("n_attempts", F.lit(0)).alias("n_attempts"), state.alias("state"))
+
+
+def accept_rates(attempts: DataFrame, width: str = "10 minutes", watermark: str = "30 minutes") -> DataFrame:
+    """(component, window_start, attempts, accepted, rate) of attempts (component, ts, accepted): how many of a window's
+    attempts were accepted. On a stream, windows close when the watermark passes them."""
+    if attempts.isStreaming:
+        attempts = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    counted = attempts.groupBy("component", F.window("ts", width).alias("w")).agg(F.count("*").alias("attempts"), F.count_if("accepted").alias("accepted"))
+    return counted.select("component", F.col("w.start").alias("window_start"), "attempts", "accepted", (F.col("accepted") / F.col("attempts")).alias("rate"))
+
+
 def rate_windows(lines: DataFrame, width: str = "10 minutes", watermark: str = "30 minutes") -> DataFrame:
     """Accepted lines of each component and window; on a stream, windows close when the watermark passes them."""
     if lines.isStreaming:

@@ -9,7 +9,7 @@ QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
-    assert compare(spark, "/root/testdata/sf0.001", QUERIES[name], ORACLES[name]) > 0 or name == "e2_dropped_questions"  # the driver's turns ask nothing
+    assert compare(spark, "/root/testdata/sf0.001", QUERIES[name], ORACLES[name]) > 0
 
 
 def test_dropped_questions(spark):
