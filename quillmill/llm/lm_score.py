@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import settle
 from .lm_model import RATE, TOP, Attention, Counts, chunks_over, count_tables, rows_of, token_logs, windows_over
 
-ROUNDS, PIECE, TEXT_BYTES = 4, 400_000, 16 << 20
+ROUNDS, PIECE, TEXT_BYTES = 4, 400_000, 12 << 20
 _BLANKS = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 #: So many of the most frequent words are sent to the workers; the others are joined.
 FREQUENT, MAX_CACHE, HELD_OUT = 250_000, 450_000, (7, 2)
@@ -74,7 +74,7 @@ class Subwords:
             missing = met  # the cache is about to be emptied
         self.learn(missing)
         found = [self.cache[w] for w in words]
-        return np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) // 2
+        return np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int32, len(found)) // 2
 
 
 def subwords(path: str, pattern: str) -> Subwords:
@@ -101,7 +101,7 @@ def words_of(texts: list[bytes | None]) -> Words:
     """Words of UTF-8 texts with A-Z lower-cased, parted at ASCII blanks."""
     parts = pc.split_pattern(pa.array([(t or b"").lower().translate(_BLANKS) for t in texts], pa.large_binary()), pattern=" ")
     coded = parts.flatten().dictionary_encode()
-    codes, text = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy())
+    codes, text = coded.indices.to_numpy(), np.repeat(np.arange(len(texts), dtype=np.int32), parts.value_lengths().to_numpy())
     empty = pc.index(coded.dictionary, pa.scalar(b"", pa.large_binary())).as_py()
     if empty >= 0:
         some = codes != empty
@@ -122,15 +122,17 @@ def slices(texts: list[bytes | None]):
 def sequences_of(words: Words, n: int, worker: Subwords) -> tuple[np.ndarray, np.ndarray]:
     """(ids of n texts end to end, each with the end id before and after it, and their lengths)."""
     pool, sizes = worker.of(words.known.to_pylist())
+    # a slice has far fewer than 2^31 ids, so 32 bits do for places
     per = sizes[words.codes]
-    starts = (np.cumsum(sizes) - sizes)[words.codes]
-    place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    first = np.cumsum(per, dtype=np.int32) - per
+    place = np.arange(per.sum(), dtype=np.int32)
+    place += np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[words.codes] - first, per)
     lengths = np.bincount(words.text, per, n).astype(np.int64) + 2
     out = np.full(lengths.sum(), worker.end, np.uint16)
     inner = np.ones(len(out), bool)
     ends = np.cumsum(lengths)
     inner[ends - 1] = inner[ends - lengths] = False
-    out[inner] = pool[np.repeat(starts, per) + place]
+    out[inner] = pool[place]
     return out, lengths
 
 
@@ -168,7 +170,7 @@ def gather(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
             texts = b.column(4).to_pylist()
             held = np.array([is_held_out(x) for x in b.column(0).to_pylist()], bool)
-            counts, met = np.zeros(worker.size, np.int64), []
+            counts = np.zeros(worker.size, np.int64)
             for lo, hi in slices(texts):
                 words = words_of(texts[lo:hi])
                 flat, lengths = sequences_of(words, hi - lo, worker)
@@ -181,10 +183,7 @@ def gather(rows: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield emitted(hi - lo, **{c: b.column(i).slice(lo, hi - lo) for i, c in enumerate(_GATHERED[:4])}, held_out=pa.array(held[lo:hi]), ids=seqs)
                 n = np.bincount(words.codes[taught[words.text]], minlength=len(words.known))
                 some = np.flatnonzero(n)
-                met += [(words.known.take(pa.array(some)).cast(pa.binary()), n[some]), (pa.array([b""], pa.binary()), np.array([taught.sum()]))]
-            if met:  # the words of a batch once each
-                once = pa.table({"word": pa.chunked_array([w for w, _ in met]), "n": np.concatenate([n for _, n in met])}).group_by("word").aggregate([("n", "sum")]).combine_chunks()
-                yield emitted(once.num_rows, word=once["word"].combine_chunks(), n=once["n_sum"].combine_chunks())
+                yield emitted(len(some) + 1, word=pa.concat_arrays([words.known.take(pa.array(some)).cast(pa.binary()), pa.array([b""], pa.binary())]), n=pa.array(np.append(n[some], taught.sum())))
             some = np.flatnonzero(counts)
             yield emitted(len(some), sub=pa.array(some, pa.int32()), n=pa.array(counts[some]))
 
