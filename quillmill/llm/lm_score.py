@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import settle
 from .lm_model import RATE, TOP, Attention, Counts, chunks_over, count_tables, rows_of, token_logs, windows_over
 
-ROUNDS, PIECE, TEXT_BYTES = 4, 400_000, 12 << 20
+ROUNDS, PIECE, TEXT_BYTES = 4, 300_000, 6 << 20
 _BLANKS = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
 #: So many of the most frequent words are sent to the workers; the others are joined.
-FREQUENT, MAX_CACHE, HELD_OUT = 250_000, 450_000, (7, 2)
+FREQUENT, MAX_CACHE, HELD_OUT = 150_000, 300_000, (7, 2)
 _ENCODERS: dict[str, Subwords] = {}
 
 
