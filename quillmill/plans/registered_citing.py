@@ -215,9 +215,9 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 10 == 0, "eval").otherwise("train").alias("split"))
 
 
-@query("i2_near_pairs", f"SELECT i, j, round(s, 6) AS similarity FROM ({_PAIRS}) WHERE s >= {_NEAR}")
+@query("i2_near_pairs", f"SELECT i, j, round(s, 9) AS similarity FROM ({_PAIRS}) WHERE s >= {_NEAR}")
 def i2_pairs(spark, sf):
-    return N.near_pairs(_vectors(spark, sf), _NEAR).select("i", "j", F.round("similarity", 6).alias("similarity"))
+    return N.near_pairs(_vectors(spark, sf), _NEAR).select("i", "j", F.round("similarity", 9).alias("similarity"))
 
 
 @query("i2_near_dedup")
@@ -225,9 +225,9 @@ def i2(spark, sf):
     return N.near_dedup(_vectors(spark, sf), _NEAR).select("ord")
 
 
-@query("i5_leakage_pairs", f"SELECT if(i % 10 = 0, j, i) AS train, if(i % 10 = 0, i, j) AS eval, round(s, 6) AS similarity FROM ({_PAIRS}) WHERE s >= {_NEAR} AND (i % 10 = 0) <> (j % 10 = 0)")
+@query("i5_leakage_pairs", f"SELECT if(i % 10 = 0, j, i) AS train, if(i % 10 = 0, i, j) AS eval, round(s, 9) AS similarity FROM ({_PAIRS}) WHERE s >= {_NEAR} AND (i % 10 = 0) <> (j % 10 = 0)")
 def i5(spark, sf):
-    return N.leakage_pairs(_vectors(spark, sf), _NEAR).select("train", "eval", F.round("similarity", 6).alias("similarity"))
+    return N.leakage_pairs(_vectors(spark, sf), _NEAR).select("train", "eval", F.round("similarity", 9).alias("similarity"))
 
 
 @query("c6_embedded")
