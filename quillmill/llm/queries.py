@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .fill_middle import fill_in_middle, restore_texts
 from .html_extract import extract_pages
 from .lm_score import score_documents
+from .merkle import fold_proofs, leaf_digest, merkle_manifest
+from .multi_index import nearest_neighbours
 from .piece_codec import encode_documents
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
@@ -79,6 +82,25 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    capitals = "".join(map(chr, range(65, 91)))
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    text = F.when(hit, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
+    found = merkle_manifest(docs, carry={"probe": leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])})
+    folded = fold_proofs(found, "probe")
+    return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = restore_texts(fill_in_middle(_table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_extraction, op2_secret_scans, op3_suffix_dedup, op4_sharding, op5_quality_rules, op6_simhash, op7_sentencepiece, op8_decontamination, op9_token_files, op10_lm_scoring, pipeline)
+    own = (op1_html_extraction, op2_secret_scans, op3_suffix_dedup, op4_sharding, op5_quality_rules, op6_simhash, op7_sentencepiece, op8_decontamination, op9_token_files, op10_lm_scoring, op11_merkle_manifest, op12_fill_in_middle, op13_nearest_neighbours, pipeline)
     return {f.__name__: f for f in own}
 
 
