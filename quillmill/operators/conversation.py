@@ -44,11 +44,11 @@ def replay_window(turns: DataFrame, scope: tuple[str, ...] = ("session_id",), ma
 
 def append_exchanges(turns: DataFrame, new: DataFrame) -> DataFrame:
     """(session_id, turn_index, role, content) of new exchanges (session_id, ord, question, answer), numbered on from
-    the largest turn_index of the session; a session without turns starts at 0."""
+    the largest turn_index of the session; a session without turns starts at 1."""
     last = turns.groupBy("session_id").agg(F.max("turn_index").alias("last"))
     place = F.row_number().over(Window.partitionBy("session_id").orderBy("ord")) - 1
     numbered = new.withColumn("_place", place).join(last, "session_id", "left")
-    base = F.coalesce("last", F.lit(-1)) + 1 + 2 * F.col("_place")
+    base = F.coalesce("last", F.lit(0)) + 1 + 2 * F.col("_place")
     pair = F.array(F.struct(base.alias("turn_index"), F.lit("user").alias("role"), F.col("question").alias("content")), F.struct((base + 1).alias("turn_index"), F.lit("assistant").alias("role"), F.col("answer").alias("content")))
     return numbered.select("session_id", F.explode(pair).alias("x")).select("session_id", "x.*")
 

@@ -18,7 +18,6 @@ from ..operators import retrieval as T
 from ..operators.rows import has_cjk
 from ..sources import files as S
 from ..streaming import progress as B
-from ..streaming import sessions as Z
 from . import registered as base
 from .catalogue import query, table
 from .registered_text import _every, _items, _quote, _tok
@@ -299,11 +298,6 @@ def _segment_turns(spark, sf):
     )
 
 
-@query("e5_segments")
-def e5(spark, sf):
-    return Z.resolve_segments(_segment_turns(spark, sf))
-
-
 _REPORT = {"multi_turn": ("component = 'socratic'", "n > 1", "at_least 0.5"), "zero_french": ("component <> 'socratic'", f"{_TERMS('said')} = 0", "at_most 0.8"), "arabic": ("true", r"regexp_matches(said, '[\x{0600}-\x{06FF}]')", "at_least 0.1"), "none": ("n < 0", "true", "at_least 1.0")}
 
 

@@ -206,7 +206,7 @@ def _flat(messages):
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
 
 
-@query("e3_append_exchanges", _C + """, l AS (SELECT row_id, max(turn) AS last FROM c WHERE row_id % 3 > 0 GROUP BY 1), n AS (SELECT c.row_id, text, coalesce(last, -1) + 1 + 2 * (row_number() OVER (PARTITION BY c.row_id ORDER BY turn) - 1) AS b FROM c LEFT JOIN l ON c.row_id = l.row_id WHERE role = 'user')
+@query("e3_append_exchanges", _C + """, l AS (SELECT row_id, max(turn) AS last FROM c WHERE row_id % 3 > 0 GROUP BY 1), n AS (SELECT c.row_id, text, coalesce(last, 0) + 1 + 2 * (row_number() OVER (PARTITION BY c.row_id ORDER BY turn) - 1) AS b FROM c LEFT JOIN l ON c.row_id = l.row_id WHERE role = 'user')
 SELECT row_id, CAST(b AS BIGINT) AS turn_index, 'user' AS role, md5(text) AS content_md5 FROM n UNION ALL SELECT row_id, CAST(b + 1 AS BIGINT), 'assistant', md5(reverse(text)) FROM n""")
 def e3(spark, sf):
     t = _turns(spark, sf)

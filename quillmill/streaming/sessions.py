@@ -17,8 +17,9 @@ TURN = ["turn_index", "anaphoric", "query_lang", "requested_domain", "routed_dom
 SEGMENT = "session_id {kind}, turn_index long, context string, sources array<string>, segment_id long, is_new_pin boolean, domain string, domain_source string"
 
 
-def segment_step(pin: dict | None, turn: dict) -> tuple[tuple, dict | None]:
-    """((context, sources, segment_id, is_new_pin, domain, domain_source), the pin after the turn).
+def segment_step(pin: dict | None, turn: dict, last: int = 0) -> tuple[tuple, dict | None]:
+    """((context, sources, segment_id, is_new_pin, domain, domain_source), the pin after the turn); last is the segment
+    before, where there is no pin.
 
     A follow-up without a topic of its own keeps the pin as long as language, domain and corpus agree. Any other turn is
     judged by what its own retrieval found: in another scope it starts a segment, unless it found nothing and there is a
@@ -35,7 +36,7 @@ def segment_step(pin: dict | None, turn: dict) -> tuple[tuple, dict | None]:
             return (pin["context"], pin["sources"], pin["segment_id"], False, domain, source), pin
     elif pin is not None and not found.strip() and pin["context"].strip():
         return (pin["context"], pin["sources"], pin["segment_id"], False, pin["domain"], "pinned"), pin
-    new = {"context": found, "sources": sources, "segment_id": pin["segment_id"] + 1 if pin else 1, "domain": domain, "language": turn["query_lang"], "corpus_version": version}
+    new = {"context": found, "sources": sources, "segment_id": (pin["segment_id"] if pin else last) + 1, "domain": domain, "language": turn["query_lang"], "corpus_version": version}
     return (found, sources, new["segment_id"], True, domain, source), new
 
 
