@@ -76,6 +76,70 @@ def test_near_dedup_equals_the_scan(spark):
     assert near_dedup(frame.limit(0), 0.95).count() == 0
 
 
+def _loop(vectors, t):
+    """The scan, row by row."""
+    kept = []
+    for i, v in enumerate(vectors):
+        if all(float(v @ vectors[k]) < t for k in kept):
+            kept.append(i)
+    return kept
+
+
+def test_near_dedup_query_equals_a_loop(spark):
+    from quillmill.plans import catalogue
+
+    sf = "/root/testdata/sf0.01"
+    rows = sorted(spark.read.parquet(f"{sf}/embeddings.parquet").collect(), key=lambda r: r.vec_id)
+    unit = np.array([r.embedding for r in rows], float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got = sorted(r.ord for r in catalogue.queries()["i2_near_dedup"](spark, sf).collect())
+    assert got == [rows[i].vec_id for i in _loop(unit, 0.35)]
+
+
+def _grouped(n, rng, dim=8):
+    """Groups of eight near rows, some of them equal, around centres of their own."""
+    centres = rng.standard_normal((n // 8, dim))
+    v = np.repeat(centres, 8, axis=0) + 0.04 * rng.standard_normal((n, dim)) * rng.choice([0, 1, 3], (n, 1))
+    return v[rng.permutation(n)]
+
+
+def test_near_pairs_meet_few_rows(spark):
+    """Pairs equal brute force; what meets grows far slower than the square of the rows."""
+    from quillmill.operators import near_rows as N
+
+    met = {}
+    for n in (1000, 4000):
+        v = _grouped(n, np.random.default_rng(7))
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "ord long, vector array<double>")
+        first = N.settle(N.first_copies(frame), "firsts")
+        distinct = first.count()
+        radius = float(np.sqrt(0.1))
+        pivots = N._pivots(first, radius, distinct)
+        cells = N._cells(first.withColumn("side", F.lit(None).cast("string")), pivots, radius)
+        sizes = cells.groupBy("cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g")).collect()
+        met[n] = sum(r.h * (r.h + r.g) for r in sizes)
+        assert sum(r.h for r in sizes) == distinct and len(pivots) > 10
+        _, firsts = np.unique(unit.round(12), axis=0, return_index=True)
+        sims = unit @ unit.T
+        want = {(i, j) for i in firsts for j in firsts if i < j and sims[i, j] >= 0.95}
+        got = [(r.i, r.j) for r in N.near_links(first, 0.95, block=64).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert met[1000] < 0.2 * 1000**2 and met[4000] < 8.5 * met[1000], met
+
+
+def test_near_pairs_of_many_copies(spark):
+    """A thousand equal rows give a pair each, not half a million; null and zero vectors none."""
+    from quillmill.operators import near_rows as N
+
+    rows = [(i, [1.0, 2.0, 2.0]) for i in range(1000)] + [(2000, [2.0, 4.0, 4.0]), (2001, None), (2002, [0.0, 0.0, 0.0]), (2003, [0.0, 1.0, 0.0]), (2004, [1.0, 2.0, 2.1])]
+    frame = spark.createDataFrame(rows, "ord long, vector array<double>").withColumn("cell", F.lit(1)).withColumn("home", F.lit("x"))
+    assert sorted((r.i, r.j) for r in N.near_pairs(frame, 0.95).collect()) == sorted([(0, i) for i in range(1, 1000)] + [(0, 2000), (0, 2004)])
+    assert sorted(r.ord for r in N.near_dedup(frame, 0.95).collect()) == [0, 2001, 2002, 2003]
+    split = frame.withColumn("split", F.when(F.col("ord") % 2 == 0, "train").otherwise("eval"))
+    assert {(r.train, r.eval, r.train_copies, r.eval_copies) for r in N.leakage_pairs(split, 0.95).collect()} == {(0, 1, 501, 500), (2004, 1, 1, 500)}
+
+
 def test_merge_shards(spark, tmp_path):
     from quillmill.operators.near_rows import merge_shards
 
