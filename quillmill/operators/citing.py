@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import references as X
 
 # How answers name an article or a law in Latin letters.
-ARTICLE_MENTION = re.compile(r"\b(?:l[-\s]?|al[-\s]?|la\s+)?(madda|mada|fasl|bab|fiqra|article)\s*(?:n[°o]?\s*)?(\d+)\b", re.I)
+ARTICLE_MENTION = r"\b(?:l[-\s]?|al[-\s]?|la\s+)?(madda|mada|madda|fasl|bab|fiqra|article|article)\s*(?:n[°o]?\s*)?(\d+)\b"
 HEAD_OF = {"madda": "المادة", "mada": "المادة", "article": "المادة", "fasl": "الفصل", "bab": "الباب", "fiqra": "الفقرة"}
-LAW_MENTION = re.compile(r"\b(?:mchrw3\s+)?(?:al[-\s]?)?(?:9anwn|qanoun|qanun|kanoun|loi)\s*(?:r9m|raqm|n[°o]\.?|no\.?)?\s*(\d+[\-.]\d+)", re.I)
+LAW_MENTION = r"\b(?:mchrw3\s+)?(?:al[-\s]?)?(?:9anwn|qanoun|qanun|kanoun|loi)\s*(?:r9m|raqm|n[°o]\.?|no\.?)?\s*(\d+[\-.]\d+)"
 LAW_HEADS = ("القانون", "Loi")
-_FOLD = str.maketrans(X.FOLDED | {d: str(i % 10) for i, d in enumerate(X.DIGITS)})
+#: All forms of a mention: the two above, and the canonical forms in Arabic letters, however they are spelled.
+MENTION = "(?iU)" + "|".join([ARTICLE_MENTION, LAW_MENTION, *(X.spelled(s.canonical.removesuffix("{n}")) + r"[\d\-.]*\d" for s in X.ARABIC_SHAPES)])
 
 
 def extract_citations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,63 +50,67 @@ def preflight(rows: DataFrame) -> DataFrame:
     return sums.withColumn("recall", F.when(F.col("citable") > 0, F.col("cited") / F.col("citable")).otherwise(1.0)).withColumn("passed", (F.col("cited") == F.col("citable")) & (F.col("corrupted") == 0))
 
 
-def _fold(text: str) -> str:
-    return re.sub(f"[{X.INVISIBLE}]", "", text).translate(_FOLD)
+def _let(value: Column, body) -> Column:
+    """Bind value once within an expression: body gets a reference to it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _last(items: Column) -> Column:
+    return F.get(items, F.size(items) - 1)
+
+
+def _mentions(found: Column, cites: Column) -> Column:
+    """What each mention of found (said, gaps) is: its kind, the citation it names (null for none), a name for the reference
+    that all its forms share, whether it is the gloss of a pair that stands already, and whether a parenthesis follows."""
+
+    def one(said, i):
+        word, number = (F.regexp_extract(said, f"(?iU)^(?:{ARTICLE_MENTION})$", g) for g in (1, 2))
+        law = F.replace(F.regexp_extract(said, f"(?iU)^(?:{LAW_MENTION})$", 1), F.lit("."), F.lit("-"))
+        heads = F.create_map(*[F.lit(x) for pair in HEAD_OF.items() for x in pair])
+        named = lambda head, key: _last(F.filter(cites, lambda c: (c["head"] == head) & (c["key"] == key)))
+        kind = F.when(word != "", "article").when(law != "", "law").otherwise("written")
+        entry = F.when(word != "", named(heads[F.lower(word)], number)).when(law != "", F.coalesce(*[named(F.lit(h), law) for h in LAW_HEADS])).otherwise(_last(F.filter(cites, lambda c: X.folded(c["canonical"]) == X.folded(said))))
+        gaps = found["gaps"]
+        before = F.concat(F.coalesce(F.get(found["said"], i - 1), F.lit("")), F.get(gaps, i))
+
+        def described(c):
+            name = F.concat_ws("|", F.when(c["head"].isin(*LAW_HEADS), F.lit("law")).otherwise(c["head"]), c["key"])
+            paired = X.folded(F.regexp_replace(before, r"(?U)\s+$", "")).endswith(X.folded(F.concat(c["canonical"], F.lit(" ("))))
+            return F.struct(said.alias("said"), kind.alias("kind"), number.alias("number"), c["canonical"].alias("canonical"), c["gloss"].alias("gloss"), name.alias("name"), (F.coalesce(paired, F.lit(False)) & (kind != "written")).alias("paired"), F.get(gaps, i + 1).rlike(r"(?U)^\s*\(").alias("open"))
 
+        return _let(entry, described)
 
-class _Rewriter:
-    """One pass over a text with the citations of its source; the first mention of a reference is paired with its gloss."""
+    return F.transform(found["said"], one)
 
-    def __init__(self, citations: list[dict], script: str):
-        self.known = {(c["head"], c["key"]): c for c in citations}
-        self.script, self.met = script, set()
 
-    def pair(self, c: dict) -> str:
-        return f"{c['canonical']} ({c['gloss']})" if c["gloss"] and c["gloss"] != c["canonical"] else c["canonical"]
+def cited_as(text: Column, citations: Column, script: Column) -> Column:
+    """text with every article or law that citations (array<struct<head, key, canonical, gloss>>) holds in the form for script:
+    arabic (canonical), french, or arabizi (paired with its gloss at the first mention, the gloss later; the first mention in
+    Arabic letters gets its gloss too). A pair that stands already, and what the source does not cite, stays as it is.
 
-    def mention(self, key, c: dict) -> str:
-        if key in self.met:
-            return c["gloss"] or c["canonical"]
-        self.met.add(key)
-        return self.pair(c)
+    One pattern finds all forms of mentions in one scan; each is decided by what it names, what stands around it and which
+    ones came before; the text is put together once. Null stays null.
+    """
+    cites = F.transform(citations, lambda c: F.struct(*[c[f].cast("string").alias(f) for f in ("head", "key", "canonical", "gloss")]))
+    found = F.struct(F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)).alias("said"), F.split(text, MENTION).alias("gaps"))
 
-    def article(self, m: re.Match) -> str:
-        key = (HEAD_OF[m[1].lower()], m[2])
-        c = self.known.get(key)
-        if c is None:
-            return m[0]
-        if _fold(m.string[: m.start()].rstrip()).endswith(_fold(c["canonical"] + " (")):
-            self.met.add(key)  # the gloss of a pair that stands already
-            return m[0]
-        return {"arabic": c["canonical"], "french": f"Article {m[2]}"}.get(self.script) or self.mention(key, c)
+    def written(found, mentions):
+        def form(m, i):
+            pair = F.when(m["gloss"].isNull() | (m["gloss"] == m["canonical"]), m["canonical"]).otherwise(F.concat(m["canonical"], F.lit(" ("), m["gloss"], F.lit(")")))
+            short, earlier = F.coalesce(m["gloss"], m["canonical"]), F.slice(mentions, 1, i)
+            glossed = lambda o: (o["kind"] == "written") & ~o["open"] & o["gloss"].isNotNull()
+            met = F.exists(earlier, lambda o: (o["name"] == m["name"]) & ((o["kind"] != "written") | glossed(o)))
+            first = ~F.exists(earlier, lambda o: (o["name"] == m["name"]) & glossed(o))
+            latin = F.when(script == "arabic", m["canonical"]).when(script == "french", F.when(m["kind"] == "article", F.concat(F.lit("Article "), m["number"])).otherwise(short)).when(met, short).otherwise(pair)
+            own = F.when((script == "arabizi") & glossed(m) & first, pair).otherwise(m["said"])
+            return F.when(m["canonical"].isNull() | m["paired"], m["said"]).when(m["kind"] == "written", own).otherwise(latin)
 
-    def law(self, m: re.Match) -> str:
-        number = m[1].replace(".", "-")
-        c = next((self.known[h, number] for h in LAW_HEADS if (h, number) in self.known), None)
-        if c is None:
-            return m[0]
-        return {"arabic": c["canonical"], "french": c["gloss"] or c["canonical"]}.get(self.script) or self.mention(("law", number), c)
+        return F.concat(F.get(found["gaps"], F.lit(0)), F.array_join(F.transform(F.transform(mentions, form), lambda said, i: F.concat(said, F.get(found["gaps"], i + 1))), ""))
 
-    def rewrite(self, text: str) -> str:
-        if self.script == "arabizi":
-            for c in self.known.values():
-                if c["gloss"]:
-                    # a longer number or a pair that stands already is not this mention
-                    text = re.sub(X.spelled(c["canonical"]) + r"(?!\d)(?!\s*\()", lambda _, c=c: f"{c['canonical']} ({c['gloss']})", text, count=1)
-        return LAW_MENTION.sub(self.law, ARTICLE_MENTION.sub(self.article, text))
+    done = _let(found, lambda f: _let(_mentions(f, cites), lambda m: written(f, m)))
+    return F.when(F.size(cites) > 0, done).otherwise(text)
 
 
 def inject_citations(rows: DataFrame, citations: Column, text: Column, script: Column) -> DataFrame:
-    """rows with `rewritten`: text with every article or law that citations (array<struct<head, key, canonical, gloss>>)
-    holds in the form for script: arabic (canonical), french, or arabizi (paired with its gloss at the first mention, the
-    gloss later). What the source does not cite stays as it is; null text stays null. Repeated rows repeat their result."""
-    columns = rows.columns
-    given = rows.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), text.alias("text"), citations.alias("cites"), script.alias("script"))
-    kind = given.schema["row"].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            done = [t if not t or not c else _Rewriter(c, s).rewrite(t) for t, c, s in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], ["row", "rewritten"])
-
-    return given.mapInArrow(run, f"row {kind}, rewritten string").select("row.*", "rewritten")
+    """rows with `rewritten`, cited_as() of text. Repeated rows repeat their result."""
+    return rows.withColumn("rewritten", cited_as(text, citations, script))

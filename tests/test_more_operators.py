@@ -179,6 +179,16 @@ CITED = [{"head": "المادة", "key": "1", "canonical": "المادة 1", "gl
     ("Article 12 et loi 42-25", "french", "Article 12 et Loi N° 42.25"),
     ("al-madda 1 w 9anwn r9m 42-25", "arabic", "المادة 1 w القانون رقم 42.25"),
     ("qanoun 9.08", "arabizi", "Loi N° 9-08"),
+    ("7sb l-madda 999 khass", "arabizi", "7sb l-madda 999 khass"),
+    ("7sb المادة 12 mn al9anwn", "arabizi", "7sb المادة 12 (l-madda 12) mn al9anwn"),
+    ("المادة 1 (l-madda 1) w المادة 12 kt7dd", "arabizi", "المادة 1 (l-madda 1) w المادة 12 (l-madda 12) kt7dd"),
+    ("المادة 12 ... w 3awtani l-madda 12", "arabizi", "المادة 12 (l-madda 12) ... w 3awtani l-madda 12"),
+    ("7sb l-madda 12 khass, المادة 12 w المادة 12", "arabizi", "7sb المادة 12 (l-madda 12) khass, المادة 12 (l-madda 12) w المادة 12"),
+    ("7sb 9anwn 42-25 khass", "arabizi", "7sb القانون رقم 42.25 (Loi N° 42.25) khass"),
+    ("al9anwn r9m 42.25 kynzm, qanoun 42-25", "arabizi", "القانون رقم 42.25 (Loi N° 42.25) kynzm, Loi N° 42.25"),
+    ("القانون رقم 42.25 (Loi N° 42.25)", "arabizi", "القانون رقم 42.25 (Loi N° 42.25)"),
+    ("7sb 9anwn 99-99", "arabizi", "7sb 9anwn 99-99"), ("المادة 1 (l-madda 1)", "french", "المادة 1 (l-madda 1)"), ("المادة 123 و المادة 1", "arabizi", "المادة 123 و المادة 1 (l-madda 1)"),
+    ("chi text 3adi", "arabizi", "chi text 3adi"), ("", "french", ""), ("ARTICLE n° 12, Fasl 1", "french", "Article 12, Fasl 1"),
     (None, "arabic", None),
 ])
 def test_inject_citations(spark, text, script, want):
