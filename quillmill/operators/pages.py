@@ -5,11 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bad_char_ratio
+
 # The thresholds of the page ladder (characters for each square inch, share, megapixels).
 UNUSABLE_DENSITY, EMPTY_DENSITY, MAX_BAD_CHARS, LARGE_IMAGE_MP = 3.0, 1.0, 0.10, 1.0
+RASTER_MIN_DPI, RASTER_ASPECT_TOLERANCE, POINTS = 72, 0.15, 72
 MAX_ERROR = 500
 
 
+def page_signals(pages: DataFrame) -> DataFrame:
+    """pages (…, text, width_pt, height_pt, font_count, images array<struct<px_w, px_h>>) with the signals that classify_pages()
+    reads, from the page's box and the pixel boxes of its images.
+
+    Density is characters of the trimmed text by square inch (an area of 0 counts as 1). An image is a raster of the full page
+    if its aspect is within 15 % of the page's and its width gives 72 DPI or more; full_raster_dpi is the best of them,
+    rounded. Images without pixels still count; a null list is empty, a null text too, a null side is 0.
+    """
+    side = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("double") / POINTS
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
+    images = F.coalesce("images", F.array().cast(pages.schema["images"].dataType))
+    out = pages.withColumns({"_w": side("width_pt"), "_h": side("height_pt"), "_t": text, "_images": images})
+    area = F.when(F.col("_w") * F.col("_h") == 0, 1.0).otherwise(F.col("_w") * F.col("_h"))
+    aspect = F.col("_w") / F.when(F.col("_h") != 0, F.col("_h"))
+    dpi = lambda i: i["px_w"] / F.when(F.col("_w") != 0, F.col("_w"))
+    fits = lambda i: (i["px_w"] > 0) & (i["px_h"] > 0) & (aspect > 0) & (F.abs(i["px_w"] / F.when(i["px_h"] != 0, i["px_h"]) - aspect) / aspect <= RASTER_ASPECT_TOLERANCE) & (dpi(i) >= RASTER_MIN_DPI)
+    best = F.array_max(F.transform(F.filter("_images", lambda i: F.coalesce(fits(i), F.lit(False))), dpi))
+    pixels = F.transform("_images", lambda i: F.coalesce(i["px_w"].cast("double") * i["px_h"] / 1_000_000, F.lit(0.0)))
+    return out.withColumns(
+        {
+            "char_count": F.length("_t"), "page_area_in2": area, "char_density": F.length("_t") / area, "image_count": F.size("_images"), "has_full_page_raster": best.isNotNull(), "full_raster_dpi": F.bround(best).cast("int"),
+            "bad_char_ratio": bad_char_ratio(F.col("_t")), "max_image_megapixels": F.coalesce(F.array_max(pixels), F.lit(0.0)), "font_count": F.coalesce("font_count", F.lit(0)),
+        }
+    ).drop("_w", "_h", "_t", "_images")
+
+
 def classify_pages(signals: DataFrame) -> DataFrame:
     """signals with strategy (empty, ocr_required, ocr_preferred, native) and a reason code.
 

@@ -56,3 +56,23 @@ def attempt_stats(cascade: DataFrame, names: list[str], budget: Column) -> DataF
     stats = cascade.groupBy("component").agg(F.count("*").alias("attempts"), F.count_if(F.col("reject_reason").isNull()).alias("accepted"), *per)
     used = F.array_compact(F.array(*[F.when((F.col(f"n_{n}") >= budget) & (budget > 0), F.lit(n)) for n in names]))
     return stats.withColumn("exhausted", F.array_join(used, ","))
+
+
+def generation_stats(attempts: DataFrame, names: list[str], budgets: DataFrame) -> DataFrame:
+    """(component, attempts, generated, parse_failures, salvaged, duplicates, n_<gate>…, arabic_share, exhausted) of attempts
+    (component, outcome, reject_reason, salvaged, arabic_script).
+
+    outcome is parse_failure, duplicate, rejected or accepted; budgets (component, gate, budget) say how often a gate may
+    reject: one that has used a budget above 0 up is exhausted, in the order of names. The share of Arabic rows is of the
+    accepted ones, null without any. A null component is one of its own.
+    """
+    per = [F.count_if((F.col("outcome") == "rejected") & (F.col("reject_reason") == n)).alias(f"n_{n}") for n in names]
+    accepted = F.col("outcome") == "accepted"
+    stats = attempts.groupBy("component").agg(
+        F.count("*").alias("attempts"), F.count_if(accepted).alias("generated"), F.count_if(F.col("outcome") == "parse_failure").alias("parse_failures"), F.count_if(F.coalesce("salvaged", F.lit(False))).alias("salvaged"),
+        F.count_if(F.col("outcome") == "duplicate").alias("duplicates"), *per, F.round(F.avg(F.when(accepted, F.coalesce("arabic_script", F.lit(False)).cast("int"))), 6).alias("arabic_share"),
+    )
+    limits = budgets.groupBy(F.col("component").alias("_c")).agg(*[F.max(F.when(F.col("gate") == n, F.col("budget"))).alias(f"_b_{n}") for n in names])
+    met = stats.join(_guarded(limits), F.col("component").eqNullSafe(F.col("_c")), "left")
+    used = F.array_compact(F.array(*[F.when((F.col(f"_b_{n}") > 0) & (F.col(f"n_{n}") >= F.col(f"_b_{n}")), F.lit(n)) for n in names]))
+    return met.withColumn("exhausted", F.array_join(used, ",")).drop("_c", *[f"_b_{n}" for n in names])

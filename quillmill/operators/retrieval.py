@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunking import chunk_documents
+from .context import BUDGET, assemble_context
+from .near_rows import embed, hashed_ngrams
+
 MAX_QUERIES, QUERY_BLOCK, CHUNK_BLOCK = 20_000, 1000, 2000
 
 
@@ -122,6 +128,15 @@ def vote_domain(cands: DataFrame, threshold: float = 0.4, by: tuple[str, ...] =
     return sums.withColumn("place", first).where("place = 1").select(*by, "domain")
 
 
+def threshold_sweep(cands: DataFrame, queries: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """(threshold, n, n_voted, n_right) of candidates (query_id, domain, similarity, rank) and queries (query_id, gold): how many
+    queries get a vote at each threshold, and how many of them the right one."""
+    sweep = F.array(*[F.lit(float(t)) for t in thresholds])
+    votes = vote_domain(cands.withColumn("threshold", F.explode(sweep)).where("similarity >= threshold"), float("-inf"), ("threshold", "query_id"))
+    every = queries.withColumn("threshold", F.explode(sweep)).join(votes.select("threshold", "query_id", F.col("domain").alias("voted")), ["threshold", "query_id"], "left")
+    return every.groupBy("threshold").agg(F.count("*").alias("n"), F.count("voted").alias("n_voted"), F.count_if(F.col("voted") == F.col("gold")).alias("n_right"))
+
+
 def resolve_domain(queries: DataFrame, votes: DataFrame, default, indexed: bool = True) -> DataFrame:
     """(query_id, domain, domain_source): an explicit domain is page_context, else the vote, else the default (no_match).
     Without an index there is no vote: what is not explicit takes the default (tenant_default)."""
@@ -174,3 +189,45 @@ def vote_upload_domain(probes: DataFrame, chunks: DataFrame, default, k: int = 1
     free = probes.select("query_id", "vector", F.lit(None).cast(domain_type).alias("domain"))
     votes = vote_domain(top_k(free, chunks, k), threshold)
     return resolve_domain(free, votes, default)
+
+
+INDEXED, LOCAL, INDEXED_THRESHOLD, PROBE_CHARS = "indexed", "local", 0.4, 500
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, backend: str, k: int = 4, threshold: float | None = None, budget: int = BUDGET) -> DataFrame:
+    """(query_id, context, sources, cross_language, fingerprint) for each query.
+
+    queries: (query_id, text, vector, domain, ui_lang, target_language) and, if they have them, tenant_id and sources; chunks:
+    (chunk_id, vector, domain, source_file_id, content, source, language) and tenant_id if the queries have it. The indexed
+    backend searches all chunks a query may see and drops what is below the threshold (0.4 unless given); the local one
+    searches the query's own domain without uploads or a source list, and has no threshold unless one is given; any other
+    is an error. Of max(4 k, 20) candidates k are selected by language affinity, put together within the budget, and met
+    with their texts only then. A query without candidates has an empty context; the fingerprint is of domain, ui_lang and
+    text, a null one written as None.
+    """
+    if backend not in (INDEXED, LOCAL):
+        raise ValueError(f"unknown retrieval backend {backend!r}")
+    if backend == LOCAL:
+        chunks, queries = chunks.where("source_file_id IS NULL"), queries.drop("sources")
+    elif threshold is None:
+        threshold = INDEXED_THRESHOLD
+    near = top_k(queries, chunks, max(4 * k, 20))
+    told = near.select("query_id", "chunk_id", "similarity", "rank").join(chunks.select("chunk_id", "language"), "chunk_id").join(queries.select("query_id", "target_language"), "query_id")
+    chosen = select_affinity(told, k, threshold).select("query_id", "chunk_id", "place", "cross_language")
+    parts = chosen.join(chunks.select("chunk_id", "content", "source"), "chunk_id")
+    contexts = assemble_context(parts, budget)
+    crossed = chosen.groupBy("query_id").agg(F.bool_or("cross_language").alias("cross_language"))
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    asked = queries.select("query_id", F.sha2(F.concat_ws("|", named("domain"), named("ui_lang"), named("text")), 256).alias("fingerprint"))
+    out = asked.join(contexts, "query_id", "left").join(crossed, "query_id", "left")
+    return out.select("query_id", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), F.coalesce("cross_language", F.lit(False)).alias("cross_language"), "fingerprint")
+
+
+def vote_upload_files(files: DataFrame, chunks: DataFrame, default, encoder: Callable[[list[str]], np.ndarray] = hashed_ngrams, k: int = 10, threshold: float = 0.4) -> DataFrame:
+    """vote_upload_domain() for uploaded files (query_id, text): the first 500 characters of a file's first chunk are encoded and
+    ask. A file without any chunk takes the default (no_match)."""
+    first = chunk_documents(files, id_col="query_id").where("chunk_index = 0").select("query_id", F.substring("content", 1, PROBE_CHARS).alias("_probe"))
+    probes = embed(first, F.col("_probe"), encoder).select("query_id", "vector")
+    domain_type = chunks.schema["domain"].dataType
+    votes = vote_domain(top_k(probes.withColumn("domain", F.lit(None).cast(domain_type)), chunks, k), threshold)
+    return resolve_domain(files.select("query_id", F.lit(None).cast(domain_type).alias("domain")), votes, default)

@@ -4,6 +4,8 @@ A row is (row_id, messages): messages is array<struct<role, content>> in turn or
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,9 +67,13 @@ def drop_parrots(rows: DataFrame, max_share: float = 0.05) -> tuple[DataFrame, D
     return marked.where("NOT _parrot").drop("_parrot"), report
 
 
-def structural_problems(rows: DataFrame) -> DataFrame:
+# Tokens of the chat format, which no content may hold.
+CONTROL_TOKENS = ("<start_of_turn>", "<end_of_turn>", "<bos>", "<eos>", "<pad>")
+
+
+def structural_problems(rows: DataFrame, tokens: tuple[str, ...] = CONTROL_TOKENS) -> DataFrame:
     """(problem, n): rows without a leading system turn, with a later one, that do not alternate, end on another role
-    than the assistant's, or hold empty content."""
+    than the assistant's, hold empty content, or hold a control token."""
     m = F.col("messages")
     talk = F.filter(m, lambda x: x["role"] != "system")
     last = F.element_at(m, -1)["role"]
@@ -75,6 +81,7 @@ def structural_problems(rows: DataFrame) -> DataFrame:
         "no_leading_system": F.coalesce(F.get(m, 0)["role"] != "system", F.lit(True)), "late_system": F.exists(F.slice(m, 2, 1_000_000), lambda x: x["role"] == "system"),
         "no_alternation": F.exists(F.transform(talk, lambda x, i: x["role"] != F.when(i % 2 == 0, "user").otherwise("assistant")), lambda b: b),
         "no_assistant_end": last != "assistant", "empty_content": F.exists(m, lambda x: F.trim(x["content"]) == ""),
+        "control_token": F.exists(m, lambda x: reduce(lambda a, b: a | b, [F.contains(x["content"], F.lit(t)) for t in tokens], F.lit(False))),
     }
     found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in problems.items()]))
     return rows.where(F.size("messages") > 0).select(F.explode(found).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
@@ -120,6 +127,38 @@ def composition(rows: DataFrame) -> DataFrame:
     return sets.select(kind.alias("kind"), F.coalesce("component", "domain", "shard").alias("value"), "n")
 
 
+def split_composition(rows: DataFrame) -> DataFrame:
+    """(component, n, train, eval, missing) of rows (component, split): a component that is trained on but not evaluated is
+    missing, which fails a run."""
+    counts = rows.groupBy("component").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "eval").alias("eval"))
+    return counts.withColumn("missing", (F.col("train") > 0) & (F.col("eval") == 0))
+
+
+def prompt_repetition(rows: DataFrame) -> DataFrame:
+    """One row (n_rows, n_prompts, repetition): different leading texts of the rows, and how often each stands on average."""
+    head = F.get("messages", F.lit(0))["content"]
+    counts = rows.agg(F.count("*").alias("n_rows"), F.count_distinct(head).alias("n_prompts"))
+    return counts.withColumn("repetition", F.when(F.col("n_prompts") > 0, F.round(F.col("n_rows") / F.col("n_prompts"), 6)))
+
+
+def shard_tally(rows: DataFrame, targets: dict[str, int]) -> DataFrame:
+    """(shard, component, n, target, verdict) for every shard of rows (shard, component) and every component of targets: OK
+    from the target on, else SHORT."""
+    counts = rows.groupBy("shard", "component").agg(F.count("*").alias("k"))
+    grid = counts.select("shard").distinct().select("shard", F.explode(F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])).alias("component", "target"))
+    tally = grid.join(counts, ["shard", "component"], "left").withColumn("n", F.coalesce("k", F.lit(0)))
+    return tally.select("shard", "component", "n", "target", F.when(F.col("n") >= F.col("target"), "OK").otherwise("SHORT").alias("verdict"))
+
+
+def oov_characters(docs: DataFrame, allowed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(ch, n, n_docs): characters of the texts that allowed (ch) does not have, how often, and in how many rows. Characters are
+    counted in each row first, so the shuffle sees a row for each kind of character of a text, and the vocabulary is met
+    once for each kind of all. Null and empty texts have none; rows of one id count as one document in n_docs."""
+    chars = docs.select(id_col, F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "")).alias("ch")).where("ch <> ''")
+    per = chars.groupBy("ch", id_col).agg(F.count("*").alias("n"))
+    return per.groupBy("ch").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")).join(allowed.select("ch").distinct(), "ch", "left_anti")
+
+
 def apportion(weights: DataFrame, total: int, subset: list[str] | None = None) -> DataFrame:
     """weights (name, weight) with share: largest remainders, ties by name; the shares sum to total. With subset only those
     names share it; one that weights does not have is an error."""

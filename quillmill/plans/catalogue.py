@@ -27,12 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import registered, registered_citing, registered_generation, registered_pages, registered_sessions, registered_text  # noqa: F401  fill the registry
+    from . import registered, registered_citing, registered_generation, registered_pages, registered_reports, registered_sessions, registered_text  # noqa: F401  fill the registry
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import registered, registered_citing, registered_generation, registered_pages, registered_sessions, registered_text  # noqa: F401
+    from . import registered, registered_citing, registered_generation, registered_pages, registered_reports, registered_sessions, registered_text  # noqa: F401
 
     return dict(ORACLES)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ingest as I
+from ..operators import evaluation as V
 from ..operators import retrieval as R
 from ..operators import rows as O
 from .catalogue import query, table
@@ -59,8 +62,8 @@ def b16(spark, sf):
 
 @query("b17_oov_characters", "SELECT c AS ch, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' AND NOT regexp_matches(c, '[A-Za-z0-9 .,\n]') GROUP BY c")
 def b17(spark, sf):
-    chars = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch"))
-    return chars.where((F.col("ch") != "") & ~F.col("ch").rlike("[A-Za-z0-9 .,\n]")).groupBy("ch").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    allowed = spark.createDataFrame([(c,) for c in string.ascii_letters + string.digits + " .,\n"], "ch string")
+    return O.oov_characters(table(spark, sf, "documents"), allowed)
 
 
 @query("b18_bad_char_ratio", "SELECT doc_id, " + _n(r"\x{FFFD}\x00-\x08\x0b\x0c\x0e-\x1f\x{E000}-\x{F8FF}") + " / greatest(length(text), 1)::DOUBLE AS bad_ratio FROM " + _DOCS)
@@ -236,19 +239,14 @@ def k1(spark, sf):
 
 @query("k2_routing_accuracy", _RESOLVED + " SELECT count(*) AS n, round(avg((domain = gold)::INT), 6) AS accuracy FROM x WHERE domain_source <> 'page_context'")
 def k2(spark, sf):
-    routed = _resolved(spark, sf).where("domain_source <> 'page_context'")
-    return routed.agg(F.count("*").alias("n"), F.round(F.avg((F.col("domain") == F.col("gold")).cast("int")), 6).alias("accuracy"))
+    return V.routing_accuracy(_resolved(spark, sf))
 
 
 @query("k4_threshold_sweep", _SIMS.format(extra="") + """, h AS (SELECT unnest([0.0, 0.2, 0.4, 0.6]) AS threshold), w AS (SELECT threshold, query_id, domain, sum(similarity) AS votes, min(rank) AS best FROM r JOIN h ON similarity >= threshold WHERE rank <= 20 GROUP BY 1, 2, 3),
 t AS (SELECT *, row_number() OVER (PARTITION BY threshold, query_id ORDER BY votes DESC, best) AS p FROM w), q AS (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id % 20 = 0)
 SELECT h.threshold, count(*) AS n, count(t.domain) AS n_voted, count(*) FILTER (t.domain = q.label) AS n_right FROM q CROSS JOIN h LEFT JOIN t ON t.query_id = q.query_id AND t.threshold = h.threshold AND p = 1 GROUP BY 1""")
 def k4(spark, sf):
-    sweep = F.array(*[F.lit(x) for x in (0.0, 0.2, 0.4, 0.6)])
-    cands = _near(spark, sf, 20).withColumn("threshold", F.explode(sweep)).where("similarity >= threshold")
-    votes = R.vote_domain(cands, 0.0, ("threshold", "query_id"))
-    every = _queries(spark, sf).withColumn("threshold", F.explode(sweep)).join(votes, ["threshold", "query_id"], "left")
-    return every.groupBy("threshold").agg(F.count("*").alias("n"), F.count("domain").alias("n_voted"), F.count(F.when(F.col("domain") == F.col("gold"), 1)).alias("n_right"))
+    return R.threshold_sweep(_near(spark, sf, 20), _queries(spark, sf), (0.0, 0.2, 0.4, 0.6))
 
 
 @query("k6_engine_summary", "SELECT user_id AS engine, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_failed, round(avg(value) FILTER (event_type <> 'error'), 6) AS mean_value FROM events GROUP BY user_id")
@@ -259,8 +257,7 @@ def k6(spark, sf):
 
 @query("k12_quota_sample", "SELECT doc_id, lang, place, lang || '-' || place AS sample_id FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents WHERE trim(text) <> '') WHERE place <= 12")
 def k12(spark, sf):
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return table(spark, sf, "documents").where(F.trim("text") != "").select("doc_id", "lang", place.alias("place")).where("place <= 12").withColumn("sample_id", F.concat_ws("-", "lang", F.col("place").cast("string")))
+    return V.quota_sample(table(spark, sf, "documents").where(F.trim("text") != ""), "lang", "doc_id", 12).select("doc_id", "lang", "place", "sample_id")
 
 
 # ---- E, F, G: conversations ----------------------------------------------------------------------------------
@@ -349,11 +346,7 @@ def h6(spark, sf):
 
 @query("h7_shard_tally", _TAGGED + ", g AS (SELECT s.shard, k.component, k.target FROM (SELECT DISTINCT shard FROM t) s CROSS JOIN (SELECT 'c' || range AS component, 20 AS target FROM range(9)) k) SELECT g.shard, g.component, count(t.row_id) AS n, CASE WHEN count(t.row_id) >= any_value(target) THEN 'OK' ELSE 'SHORT' END AS verdict FROM g LEFT JOIN t ON t.shard = g.shard AND t.component = g.component GROUP BY 1, 2")
 def h7(spark, sf):
-    t = _tagged(spark, sf)
-    grid = t.select("shard").distinct().withColumn("component", F.explode(F.array(*[F.lit(f"c{i}") for i in range(9)])))
-    counts = t.groupBy("shard", "component").agg(F.count("*").alias("k"))
-    tally = grid.join(counts, ["shard", "component"], "left").select("shard", "component", F.coalesce("k", F.lit(0)).alias("n"))
-    return tally.withColumn("verdict", F.when(F.col("n") >= 20, "OK").otherwise("SHORT"))
+    return O.shard_tally(_tagged(spark, sf), {f"c{i}": 20 for i in range(9)}).drop("target")
 
 
 @query("i1_exact_dedup", "SELECT doc_id, md5(text) AS key FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS p FROM documents) WHERE p = 1")
