@@ -15,7 +15,7 @@ BINS, SPAN, MIDDLE = 1024, 8192, 4096  # SPAN: numbers set aside for the bins of
 
 def _bin(value: Column, lo: float, hi: float) -> Column:
     """The bin of a value of [lo, hi], rising with the value."""
-    if lo * hi > 0 and max(abs(lo), abs(hi)) / BINS <= min(abs(lo), abs(hi)):
+    if (lo > 0) == (hi > 0) and lo != 0 and max(abs(lo), abs(hi)) / BINS <= min(abs(lo), abs(hi)):  # its ends fall into different bins
         return F.least(F.floor((value - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).cast("int")
     magnitude = F.floor(F.log2(F.abs(value))).cast("int") + 1100  # at least 1 for any double
     return F.lit(MIDDLE) + F.when(value == 0, 0).when(value > 0, magnitude).otherwise(-magnitude)
