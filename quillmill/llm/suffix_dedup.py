@@ -146,10 +146,11 @@ def ranges_of(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _keys(text: str):
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(11), text).alias("k2")]
+    """Two hashes of a text, and one of the row: rows that repeat id and text share it."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(11), text).alias("k2"), F.xxhash64(F.lit(13), "id", text).alias("k3")]
 
 
-_RUNS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("seed", pa.int64()), ("ctx", pa.int64()), ("times", pa.int64())])
+_RUNS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("k3", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("seed", pa.int64()), ("ctx", pa.int64()), ("times", pa.int64())])
 
 
 def _anchor_rows(rows: DataFrame, collapse: bool) -> DataFrame:
@@ -157,22 +158,23 @@ def _anchor_rows(rows: DataFrame, collapse: bool) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            k1, k2 = (b.column(i).to_numpy() for i in (0, 1))
-            for docs, first, n, off, seed, ctx in text_anchors(b.column(2).to_pylist()):
+            k1, k2, k3 = (b.column(i).to_numpy() for i in (0, 1, 2))
+            for docs, first, n, off, seed, ctx in text_anchors(b.column(3).to_pylist()):
                 times = np.ones(len(docs), np.int64)
                 if collapse:
                     order = np.lexsort((ctx, seed))
                     new = np.flatnonzero(np.concatenate([[True], (seed[order][1:] != seed[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])]))
                     times, pick = np.diff(np.append(new, len(order))), order[new]
                     docs, first, n, off, seed, ctx = (x[pick] for x in (docs, first, n, off, seed, ctx))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[docs], k2[docs], first, n.astype(np.int32), off.astype(np.int32), seed, ctx, times)], schema=_RUNS)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[docs], k2[docs], k3[docs], first, n.astype(np.int32), off.astype(np.int32), seed, ctx, times)], schema=_RUNS)
 
-    return rows.select("k1", "k2", "t").mapInArrow(run, "k1 long, k2 long, first long, n int, off int, seed long, ctx long, times long")
+    return rows.select("k1", "k2", "k3", "t").mapInArrow(run, "k1 long, k2 long, k3 long, first long, n int, off int, seed long, ctx long, times long")
 
 
 def _cut_contexts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """(lead, seed, ctx, off, times, hot, body): one occurrence of each wanted context, cut from its text."""
-    lists = wanted.groupBy("k1").agg(F.collect_list(F.struct("first", "n", "off", "seed", "ctx", "times", "hot")).alias("cuts"))
+    """(lead, seed, ctx, off, times, hot, body): one occurrence of each wanted context, cut from its own row (k3), so that the
+    copies of a text are not cut again."""
+    lists = wanted.groupBy("k3").agg(F.collect_list(F.struct("first", "n", "off", "seed", "ctx", "times", "hot")).alias("cuts"))
 
     def cut(batches):
         for b in batches:
@@ -184,7 +186,7 @@ def _cut_contexts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
                         out.append((body[c["off"] : c["off"] + K], c["seed"], c["ctx"], c["off"], c["times"], c["hot"], body))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["lead", "seed", "ctx", "off", "times", "hot", "body"])
 
-    return rows.join(lists, "k1").select("t", "cuts").mapInArrow(cut, "lead binary, seed long, ctx long, off int, times long, hot boolean, body binary")
+    return rows.join(lists, "k3").select("t", "cuts").mapInArrow(cut, "lead binary, seed long, ctx long, off int, times long, hot boolean, body binary")
 
 
 _FOUND = pa.schema([("seed", pa.int64()), ("ctx", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
@@ -247,11 +249,11 @@ def _count_windows(cuts: DataFrame) -> DataFrame:
 def repeated_spans(rows: DataFrame, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
     """(k1, k2, spans): for each text with repeats its spans [start, end) of repeated bytes, unsorted and overlapping."""
     runs = _anchor_rows(rows, collapse=True).repartition("seed")
-    grouped = runs.groupBy("seed", "ctx").agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in ("k1", "first", "n", "off")])
+    grouped = runs.groupBy("seed", "ctx").agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in ("k3", "first", "n", "off")])
     by_seed = Window.partitionBy("seed")
     grouped = grouped.withColumn("all_times", F.sum("times").over(by_seed)).withColumn("contexts", F.count("*").over(by_seed)).where("all_times > 1")
     grouped = settle(grouped.withColumn("hot", F.col("contexts") > max_contexts), "contexts")
-    cuts = _cut_contexts(grouped, rows.select("k1", "t"))  # all of them are repeated or have others of their seed beside
+    cuts = _cut_contexts(grouped, rows.select("k3", "t"))  # all of them are repeated or have others of their seed beside
     found = _sort_buckets(cuts.where("NOT hot"))
     if not grouped.where("hot").isEmpty():
         whole = grouped.where("hot AND times > 1").select("seed", "ctx", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))

@@ -521,15 +521,39 @@ def test_lm_remembers_other_documents(spark):
         assert got[doc] == pytest.approx(want)
 
 
-def test_lm_score_beats_the_base_and_knows_what_occurs_twice(spark):
-    from .conftest import SF
-
-    rows = Q["op10_lm_scoring"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").toPandas()
+def test_suffix_dedup_cuts_one_copy_of_a_text(spark):
+    """Two thousand equal documents send each of their contexts to the sort once."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(300)).encode()
+    rows = spark.range(2000).select("id", F.lit(text).alias("t")).select("id", "t", *suffix_dedup._keys("t")).repartition(7)
+    grouped = suffix_dedup._anchor_rows(rows, collapse=True).groupBy("seed", "ctx").agg(F.sum("times").alias("times"), *[F.first(c).alias(c) for c in ("k3", "first", "n", "off")]).withColumn("hot", F.lit(False))
+    grouped = suffix_dedup.settle(grouped, "contexts")
+    assert grouped.agg(F.sum("times")).first()[0] == 2000 * grouped.count()
+    assert suffix_dedup._cut_contexts(grouped, rows.select("k3", "t")).count() == grouped.count()
+
+
+def test_lm_model_alone_beats_the_base(spark):
+    """At sf0.1, where there is enough to learn from: training, held out, and held out without unknown words."""
+    rows = Q["op10_lm_scoring"](spark, "/root/testdata/sf0.1").toPandas()
+    assert list(rows.columns) == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     known = rows[rows.n_known == rows.n_tokens]
-    for part in (known[~known.held_out], known[known.held_out]):
+    for part in (rows[~rows.held_out], rows[rows.held_out], known[known.held_out]):
         assert len(part) and part.score.sum() > part.base_score.sum()
+
+
+def test_lm_memory_knows_what_occurs_twice(spark):
+    from quillmill.llm.lm_score import score_documents
+
+    from .conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = score_documents(docs, memory=True).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    alone = Q["op10_lm_scoring"](spark, SF).toPandas().set_index("doc_id").score
+    assert np.allclose(rows.set_index("doc_id").score.sort_index(), alone.sort_index(), rtol=1e-3)
     copies = rows.groupby("text").doc_id.transform("count")
-    per = rows.score / rows.n_tokens
+    per = rows.memory_score / rows.n_tokens
     twice, once = per[(copies == 2) & ~rows.held_out], per[copies == 1]
     assert (twice > once.quantile(0.9)).mean() >= 0.7  # where one copy is held out the other has nothing to remember
 
@@ -550,6 +574,25 @@ def test_html_extraction(spark, tmp_path):
     assert got[90].text == "" and got[91].text == "" and got[92].text == "only a paragraph" and got[None].text == "x"
 
 
+@pytest.mark.parametrize("name", ["notice-board", "content share", "social-studies", "search results", "post related-works", "copyright-law", "legal"])
+def test_html_a_class_word_does_not_lose_the_article(name):
+    from quillmill.llm.html_extract import blocks, extract
+
+    article = f'<div class="{name}"><h1>Head</h1><p>The first paragraph of the article, long enough.</p><div class="sidebar"><p>An aside that is not the article at all.</p></div><p>The second one.</p></div>'
+    chrome = '<nav><a href=/>Home</a></nav><div class="menu"><a href=/a>A</a></div>{}<div class="comments"><p>' + "A reader said this at great length. " * 30 + "</p></div><footer>Foot</footer>"
+    for page in (article, chrome.format(article), chrome.format("<div>Home</div>" + article)):
+        assert extract(blocks(page), None) == "Head\n\nThe first paragraph of the article, long enough.\n\nThe second one."
+
+
+@pytest.mark.parametrize("name", ["responses", "discussion", "reactions", "comments-area", "talkback", "replies"])
+def test_html_reader_comments_go_by_any_name(name):
+    from quillmill.llm.html_extract import blocks, extract
+
+    page = f'<body><div class="story"><p>The whole article stands here, in one paragraph.</p></div><section class="{name}"><p>{"A reader said this. " * 20}</p></section></body>'
+    assert extract(blocks(page), None) == "The whole article stands here, in one paragraph."
+    assert extract(blocks(f'<section class="{name}"><p>Only a reader wrote here, nobody else.</p></section>'), None) == ""
+
+
 def test_html_driver_pages(spark):
     import html
 
