@@ -269,6 +269,25 @@ def train(training: DataFrame, tables: Counts, rounds: int = ROUNDS, rate: float
     return model, seen
 
 
+def model_scores(sequences: DataFrame, model: Attention, tables: Counts) -> DataFrame:
+    """(id, k1, k2, score): the model's log10 probability of each sequence, every id but the first scored once."""
+    kind = sequences.schema["id"].dataType.simpleString()
+    sent = sequences.sparkSession.sparkContext.broadcast((model.w, tables))
+
+    def run(batches):
+        weights, own_tables = sent.value
+        own_model = Attention(weights)
+        heads = own_model.heads(own_tables)
+        for b in batches:
+            for lo, flat, lengths in _batches(b.column(3).to_pylist()):
+                summed = np.concatenate([[0.0], np.cumsum(token_logs(own_model, own_tables, heads, flat, lengths), dtype=np.float64)])
+                ends = np.cumsum(np.maximum(lengths - 1, 0))
+                part = b.slice(lo, len(lengths))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(summed[ends] - summed[ends - np.maximum(lengths - 1, 0)])], ["id", "k1", "k2", "score"])
+
+    return sequences.select("id", "k1", "k2", "ids").mapInArrow(run, f"id {kind}, k1 long, k2 long, score double")
+
+
 def chunk_scores(sequences: DataFrame, model: Attention, tables: Counts) -> DataFrame:
     """(rid, key, pair, own, p) for each chunk of each sequence: p is the model's log10 probability of the chunk. own is how
     many different chunks stand under its key in its document if that is a training document, negative for all but the
@@ -366,11 +385,12 @@ def base_rows(rows: DataFrame, common: dict[bytes, int]) -> DataFrame:
     return rows.mapInArrow(measure, f"id {kind}, k1 long, k2 long, held_out boolean, word binary, n long, copies long, tokens long, sums double")
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", subword_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", subword_path: str | None = None, pattern: str | None = None, memory: bool = False) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row, and with memory memory_score.
 
-    Documents whose crc32(id as text) mod 7 is 2 are held out; all others give the counts, the training windows and the
-    memory. score is the log10 probability of the text by the model and the memory of the other training documents.
+    Documents whose crc32(id as text) mod 7 is 2 are held out; all others give the counts and the training windows. score is
+    the log10 probability of the text by the attention model alone. memory_score lets a memory of the chunks of the
+    other training documents correct it (remembered()): it tells what occurs elsewhere, which a model this small cannot.
     Null text counts as empty (its end token alone is scored); a null id is the empty text for the crc; repeated rows
     repeat their result and count each time in training, so they remember each other; very long texts are scored whole,
     window by window; without training documents the base is uniform over nothing (log10 of 1) and the model keeps its
@@ -393,18 +413,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     training = sequences.where("NOT held_out").select("k1", "ids")
     tables = count_tables(sizes, pair_counts(training, rows_of(sizes)))
     model, _ = train(training, tables)
-    scores = sequences.select("id", "k1", "k2", "rid").join(remembered(settle(chunk_scores(sequences, model, tables), "chunks")), "rid")
+    scores = model_scores(sequences, model, tables).withColumn("memory_score", F.lit(None).cast("double"))
+    if memory:
+        met_again = remembered(settle(chunk_scores(sequences, model, tables), "chunks")).withColumnRenamed("score", "memory_score")
+        scores = scores.union(sequences.select("id", "k1", "k2", "rid").join(met_again, "rid").select("id", "k1", "k2", F.lit(None).cast("double"), "memory_score"))
 
     met = base_rows(rows, common).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     whole = F.col("copies").isNotNull()
     based = met.select("id", "k1", "k2", "held_out", "copies", "tokens", F.when(whole | (F.col("c") > 0), F.col("n")).otherwise(0).alias("known"), F.when(whole, F.col("sums")).otherwise(F.col("n") * F.log10(F.col("c") + 1)).alias("sums"))
     none = lambda kind: F.lit(None).cast(kind)
-    scored = scores.select("id", "k1", "k2", none("boolean").alias("held_out"), none("long").alias("copies"), none("long").alias("tokens"), none("long").alias("known"), none("double").alias("sums"), "score")
+    scored = scores.select("id", "k1", "k2", none("boolean").alias("held_out"), none("long").alias("copies"), none("long").alias("tokens"), none("long").alias("known"), none("double").alias("sums"), "score", "memory_score")
     # equal rows share a key: they add up to `copies` times the same figures, and come out as often as they went in
-    per_row = based.withColumn("score", none("double")).unionByName(scored).groupBy("id", "k1", "k2").agg(
-        F.max("held_out").alias("held_out"), F.sum("copies").alias("copies"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("sums").alias("sums"), F.sum("score").alias("score"),
+    per_row = based.withColumns({"score": none("double"), "memory_score": none("double")}).unionByName(scored).groupBy("id", "k1", "k2").agg(
+        F.max("held_out").alias("held_out"), F.sum("copies").alias("copies"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("sums").alias("sums"), F.sum("score").alias("score"), F.sum("memory_score").alias("memory_score"),
     ).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return per_row.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") / F.col("copies")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("sums") / F.col("copies") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"),
+        *([(F.col("memory_score") / F.col("copies")).alias("memory_score")] if memory else []),
     )
