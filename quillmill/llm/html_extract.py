@@ -25,7 +25,9 @@ CHROME = frozenset("head nav header footer aside form button dialog menu script
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body".split())
 CLOSES_P = BLOCK
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|toolbar|pagination|pager|share|sharing|social|related|recommend\w*|comments?|comment-\w+|disqus|replies|respond|login|signup|search|widget|meta-?nav|skip|legal|copyright)(?:$|[\s_-])", re.I)
+NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|alerts?|popup|modal|newsletter|subscribe|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|toolbar|pagination|pager|share|sharing|social|related|recommend\w*|comments?|comment-\w+|disqus|replies|respond|responses|discussion|reactions|talkback|login|signup|search|widget|meta-?nav|skip|legal|copyright)(?:$|[\s_-])", re.I)
+#: Of these, what readers wrote: never taken for the article, whatever else a page lacks.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|comment-\w+|disqus|replies|respond|responses|discussion|reactions|talkback)(?:$|[\s_-])", re.I)
 NOISY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 LINK_WEIGHT = 2.0
 #: Winners (one row a host) are broadcast up to this many rows and bytes of path; beyond, pages meet theirs in a join.
@@ -36,15 +38,44 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)} if raw else {}
 
 
-def is_noise(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element is chrome: by its tag, or its class, id or role says so, or it is hidden."""
+#: What stands above a block: nothing but text, chrome, or (from SOFT on) a container with a noise word, by number.
+CLEAN, HARD, SOFT = 0, 1, 2
+
+
+def is_chrome(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether an element is chrome by its tag or its role, or hidden."""
     if tag in CHROME:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    named = " ".join(attrs.get(k, "") for k in ("class", "id"))
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""))
-    return bool(hidden or attrs.get("role", "").lower() in NOISY_ROLES or (named.strip() and NOISE.search(named)))
+    return bool(hidden or attrs.get("role", "").lower() in NOISY_ROLES)
+
+
+def noise_name(tag: str, attrs: dict[str, str]) -> str:
+    """The class and id of an element if a word of them is noise, else nothing."""
+    if not attrs or tag in ("html", "body", "article", "main"):
+        return ""
+    named = " ".join(attrs.get(k, "") for k in ("class", "id")).strip()
+    return named if named and NOISE.search(named) else ""
+
+
+def is_prose(text: str, weight: float) -> bool:
+    """Mostly no links, and long or ending as a sentence does."""
+    return 2 * weight >= len(text) and (len(text) >= 80 or (len(text) >= 25 and text[-1] in ".!?…"))
+
+
+def settle_noise(found: list[tuple[int, str, float, int]], readers: set[int]) -> list[tuple[int, str, float, bool]]:
+    """found with noise decided: a container with a noise word is noise, unless the page has no clean prose without it and
+    it holds most of what such containers hold; what readers wrote stays noise."""
+    weights: dict[int, float] = defaultdict(float)
+    for _, _, weight, above in found:
+        weights[above] += weight
+    kept = CLEAN
+    if not any(above == CLEAN and is_prose(text, weight) for _, text, weight, above in found):
+        mass = [(w, -k) for k, w in weights.items() if k >= SOFT and k not in readers and w > weights.get(CLEAN, 0.0)]
+        kept = -max(mass)[1] if mass else CLEAN
+    return [(path, text, weight, above not in (CLEAN, kept)) for path, text, weight, above in found]
 
 
 def generalise(tag: str, attrs: dict[str, str]) -> str:
@@ -119,7 +150,7 @@ class Blocks:
 
     def __init__(self):
         self.parents, self.steps, self.known = [-1], ["page"], {}
-        self.found: list[tuple[int, str, float, bool]] = []  # path, text, weight without links, noise
+        self.found: list[tuple[int, str, float, int]] = []  # path, text, weight without links, noise
 
     def path(self, parent: int, step: str) -> int:
         if (parent, step) not in self.known:
@@ -159,7 +190,9 @@ def blocks(page: str) -> Blocks:
     collapse and blocks are trimmed. Time and memory grow with the page, however deep it is nested.
     """
     out, tags = Blocks(), Tags(page)
-    stack: list[tuple[str, int, bool]] = []  # tag, container path, noise so far
+    stack: list[tuple[str, int, int]] = []  # tag, container path, what stands above
+    readers: set[int] = set()
+    soft = SOFT
     where: dict[str, list[int]] = defaultdict(list)  # places of each open tag in the stack
     firm: list[int] = []  # places of blocks and chrome
     walls: list[int] = []  # places of containers
@@ -172,7 +205,7 @@ def blocks(page: str) -> Blocks:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                out.found.append((stack[-1][1] if stack else 0, text, max(0.0, len(text) - LINK_WEIGHT * linked), bool(stack and stack[-1][2])))
+                out.found.append((stack[-1][1] if stack else 0, text, max(0.0, len(text) - LINK_WEIGHT * linked), stack[-1][2] if stack else CLEAN))
             buffer.clear()
         linked = 0
 
@@ -230,20 +263,28 @@ def blocks(page: str) -> Blocks:
         if tag in VOID:
             continue
         attrs = _attributes(raw)
-        above = stack[-1] if stack else ("", 0, False)
+        above = stack[-1] if stack else ("", 0, CLEAN)
         path = out.path(above[1], generalise(tag, attrs)) if tag in CONTAINER or tag == "html" else above[1]
         where[tag].append(len(stack))
         if solid:
             firm.append(len(stack))
         if tag in CONTAINER:
             walls.append(len(stack))
-        stack.append((tag, path, above[2] or is_noise(tag, attrs)))
+        state, named = above[2], noise_name(tag, attrs)
+        if is_chrome(tag, attrs) or (named and state != CLEAN):  # noise within noise is never article
+            state = HARD
+        elif named:
+            state, soft = soft, soft + 1
+            if READERS.search(named):
+                readers.add(state)
+        stack.append((tag, path, state))
         in_link += tag == "a"
     if at < len(page):
         tail = page.rfind(">", at)
         cut = re.compile("<[a-zA-Z/!]").search(page, max(at, tail + 1))  # a tag that the page's end cuts off
         buffer.append(entities.unescape(page[at : cut.start()] if cut else page[at:]))
     flush()
+    out.found = settle_noise(out.found, readers)
     return out
 
 
@@ -283,7 +324,7 @@ def best_path(page: Blocks, own: dict[int, float]) -> int | None:
     for path, text, weight, noise in page.found:
         if not noise and weight > 0:
             any_text.add(joins[path])
-            if 2 * weight >= len(text) and (len(text) >= 80 or (len(text) >= 25 and text[-1] in ".!?…")):
+            if is_prose(text, weight):
                 prose.add(joins[path])
     up, passed = page.parents[best], False
     while up >= 0:
