@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 
@@ -92,7 +93,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     window) is hit; spans are the merged hits as code-point offsets in the original text, items the sorted ids (as
     strings) of the items whose windows occur. One automaton is sent to the workers; where the benchmark has over
     max_windows windows or MAX_BYTES of them (both counted first) it is cut by hash into slices that keep to them, and
-    each text passes all their automata in turn. Null texts have no words, very long ones are scanned whole, items
+    all texts are scanned once for each slice, so a worker holds one automaton at a time; the hits alone are
+    written and merged. Null texts have no words, very long ones are scanned whole, items
     without words match nothing, repeated items count once, a null item id is ignored, repeated rows repeat their result
     and an empty benchmark hits nothing.
     """
@@ -114,59 +116,86 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     index = settle(items.mapInArrow(cut, "item string, win binary").distinct(), "windows")
     size, weight = index.agg(F.count("*"), F.sum(F.octet_length("win"))).first()
     slices = max(1, -(-size // max_windows), -(-(weight or 0) // MAX_BYTES))
-    state = "at array<struct<first:int,last:int>>, items array<string>"
-    marked = rows.select(F.col(id_col), "_text", F.array().cast("array<struct<first:int,last:int>>").alias("at"), F.array().cast("array<string>").alias("items"))
-    for k in range(slices):
-        part = index.where(F.pmod(F.xxhash64("win"), F.lit(slices)) == k) if slices > 1 else index
+
+    def shipped(part: DataFrame):
         table: dict[tuple[bytes, ...], list[str]] = {}
         for r in part.toLocalIterator():  # about max_windows rows, counted above
             table.setdefault(tuple(bytes(r.win).split(b" ")), []).append(r.item)
-        shipped, name = spark.sparkContext.broadcast(table), uuid.uuid4().hex
+        return spark.sparkContext.broadcast(table), uuid.uuid4().hex
 
-        def scan(batches, shipped=shipped, name=name):
-            if name not in _SCANNERS:
-                _SCANNERS.clear()
-                _SCANNERS[name] = WindowScanner(shipped.value)  # once for each worker
-            for b in batches:
-                ranges, hit = [], []
-                for text, before, known in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                    found, items = _SCANNERS[name].scan(split_words(text))
-                    ranges.append([*before, *({"first": a, "last": z} for a, z in found)])
-                    hit.append([*known, *items])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ranges, _RANGES), pa.array(hit, pa.list_(pa.string()))], [id_col, "_text", "at", "items"])
-
-        def scan_all(batches, shipped=shipped, name=name):
-            if name not in _SCANNERS:
-                _SCANNERS.clear()
-                _SCANNERS[name] = WindowScanner(shipped.value)
+    if slices == 1:
+        windows, name = shipped(index)
+
+        def scan_all(batches):
+            scanner = _scanner(windows, name)
             for b in batches:
                 split = [split_words(text) for text in b.column(1).to_pylist()]
-                got = [_SCANNERS[name].scan(words) for words in split]
-                yield _finished(b.column(0), b.column(1).to_pylist(), [len(w) for w in split], [g[0] for g in got], [g[1] for g in got], id_col)
+                got = [scanner.scan(words) for words in split]
+                spans = [original_spans(t, g[0]) if g[0] else [] for t, g in zip(b.column(1).to_pylist(), got, strict=True)]
+                yield _finished(b.column(0), [len(w) for w in split], [_placed(g[0], s) for g, s in zip(got, spans, strict=True)], [g[1] for g in got], id_col)
+
+        return rows.mapInArrow(scan_all, f"`{id_col}` {kind}, {_OUT}")
+
+    def count(batches):
+        for b in batches:
+            sizes = [len(split_words(text)) for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], ["id", "text", "n_words"])
 
-        if slices == 1:
-            return rows.mapInArrow(scan_all, f"`{id_col}` {kind}, {_OUT}")
-        marked = marked.mapInArrow(scan, f"`{id_col}` {kind}, _text binary, {state}")
+    counted = rows.mapInArrow(count, f"id {kind}, text binary, n_words bigint")
+    numbered = settle(counted.withColumn("place", F.monotonically_increasing_id()), "texts")
+    hits = []
+    for k in range(slices):
+        windows, name = shipped(index.where(F.pmod(F.xxhash64("win"), F.lit(slices)) == k))
+
+        def scan(batches, windows=windows, name=name):
+            scanner = _scanner(windows, name)
+            for b in batches:
+                places, ranges, items = [], [], []
+                for place, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    found, met = scanner.scan(split_words(text))
+                    if found:
+                        places.append(place)
+                        ranges.append(_placed(found, original_spans(text, found)))
+                        items.append(sorted(met))
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(ranges, _RANGES), pa.array(items, pa.list_(pa.string()))], ["place", "at", "items"])
+
+        hits.append(settle(numbered.select("place", "text").mapInArrow(scan, "place bigint, at array<struct<first:int,last:int,start:int,end:int>>, items array<string>"), "hits"))
+        windows.unpersist()
+    found = functools.reduce(DataFrame.union, hits).groupBy("place").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("items")).alias("items"))
 
     def finish(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            ranges = [merge([(x["first"], x["last"]) for x in at]) for at in b.column(2).to_pylist()]
-            yield _finished(b.column(0), texts, [len(split_words(t)) for t in texts], ranges, b.column(3).to_pylist(), id_col)
+            yield _finished(b.column(0), b.column(1).to_pylist(), [at or [] for at in b.column(2).to_pylist()], [i or [] for i in b.column(3).to_pylist()], id_col)
+
+    return numbered.select("id", "n_words", "place").join(found, "place", "left").select("id", "n_words", "at", "items").mapInArrow(finish, f"`{id_col}` {kind}, {_OUT}")
+
+
+def _scanner(windows, name: str) -> WindowScanner:
+    """The automaton of broadcast windows, made once for each worker and held until another is needed."""
+    if name not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[name] = WindowScanner(windows.value)
+    return _SCANNERS[name]
+
 
-    return marked.mapInArrow(finish, f"`{id_col}` {kind}, {_OUT}")
+def _placed(ranges: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Hit word ranges with their code-point spans."""
+    return [{"first": a, "last": z, "start": s, "end": e} for (a, z), (s, e) in zip(ranges, spans, strict=True)]
 
 
 _NAMES = ("n_words", "n_hit", "n_items", "items", "spans")
-_RANGES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+_RANGES = pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "end")]))
 _ARROW = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 _OUT = "n_words bigint, n_hit bigint, n_items bigint, items array<string>, spans array<struct<start:int,end:int>>"
 
 
-def _finished(ids: pa.Array, texts: list, sizes: list[int], ranges: list, items: list, id_col: str) -> pa.RecordBatch:
-    """The result's columns from the merged hit ranges and the items hit of each text."""
+def _finished(ids: pa.Array, sizes: list[int], ranges: list, items: list, id_col: str) -> pa.RecordBatch:
+    """The result's columns from the hit ranges of each text, with their spans, and the items hit."""
     out = []
-    for text, n, hits, hit in zip(texts, sizes, ranges, items, strict=True):
-        spans = original_spans(text, hits) if hits else []
-        out.append((n, sum(z - a + 1 for a, z in hits), len(set(hit)), sorted(set(hit)), [{"start": s, "end": e} for s, e in spans]))
+    for n, at, hit in zip(sizes, ranges, items, strict=True):
+        hits = merge([(r["first"], r["last"]) for r in at])
+        starts, ends = {}, {}  # of several ranges that begin or end at a word, the code point is the same
+        for r in at:
+            starts[r["first"]], ends[r["last"]] = r["start"], r["end"]
+        out.append((n, sum(z - a + 1 for a, z in hits), len(set(hit)), sorted(set(hit)), [{"start": starts[a], "end": ends[z]} for a, z in hits]))
     return pa.RecordBatch.from_arrays([ids, *(pa.array([o[i] for o in out], t) for i, t in enumerate(_ARROW))], [id_col, *_NAMES])

@@ -21,8 +21,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "api")
-#: The first alternative takes a per cent sign encoded many times over in one step, so that long chains stay cheap.
-ESCAPE = re.compile(r"(?P<deep>%(?:25)+(?=[0-9A-Fa-f]{2}))|(?P<url>(?:%[0-9A-Fa-f]{2})+)|(?P<utf16>(?:\\u[0-9A-Fa-f]{4})+)|\\U(?P<wide>[0-9A-Fa-f]{8})|\\u\{(?P<braced>[0-9A-Fa-f]{1,6})\}|(?P<bytes>(?:\\x[0-9A-Fa-f]{2})+)|(?P<entity>&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|amp|lt|gt|apos|equals|colon);)")
+#: The first three alternatives take a sign that opens escapes and is itself encoded many times over (%2525.., \\u005cu005c..,
+#: &amp;amp;..) in one step, so that long chains stay cheap. Of a per cent sign the last layer but one is still seen.
+ESCAPE = re.compile(r"(?P<deep>%(?:25)+(?=25[0-9A-Fa-f]{2}))|(?P<slash>\\(?:u005[cC]|x5[cC]|u\{0{0,4}5[cC]\}|U0000005[cC])+(?=[uUx]))|(?P<and>&(?:amp;|#0{0,5}38;|#[xX]0{0,4}26;)+(?=#|amp;|quot;|lt;|gt;|apos;|equals;|colon;))|(?P<url>(?:%[0-9A-Fa-f]{2})+)|(?P<utf16>(?:\\u[0-9A-Fa-f]{4})+)|\\U(?P<wide>[0-9A-Fa-f]{8})|\\u\{(?P<braced>[0-9A-Fa-f]{1,6})\}|(?P<bytes>(?:\\x[0-9A-Fa-f]{2})+)|(?P<entity>&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|amp|lt|gt|apos|equals|colon);)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX_BLOB = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
 #: Base64 or hex wrapped in lines (line ends as such or written as \\n); only the last line may be short.
@@ -31,6 +32,7 @@ WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}" + LINE_END + r")+[A-Za-z0-9+/_-]
 WRAP = re.compile(LINE_END)
 #: A decompressed layer up to this size is one text; a larger one is read as a stream of overlapping pieces of PIECE.
 MAX_LAYER, PIECE, PIECE_OVERLAP, MAX_CHAIN = 16 << 20, 4 << 20, 4096, 100
+ASCII_TEXT = bytes([9, 10, 13, *range(32, 127)])
 CONTROLS = [chr(i) for i in range(32) if chr(i) not in "\t\n\r"]
 #: No secret and no further layer is shorter than this, so shorter readable stretches need no scan.
 LEAST_STRETCH = 12
@@ -50,8 +52,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _unescaped(m: re.Match) -> str:
     kind, found = m.lastgroup, m[m.lastgroup]
-    if kind == "deep":
-        return "%"
+    if kind in ("deep", "slash", "and"):
+        return m[0][0]
     if kind == "url":
         return bytes.fromhex(found.replace("%", "")).decode("utf-8", "replace")
     if kind == "utf16":
@@ -154,38 +156,61 @@ def unpacked(head: bytes, chunks):
     return _until_damaged(found)
 
 
-def readable(data: bytes) -> str | None:
-    """data as text if it is UTF-8 with hardly a control character."""
-    try:
-        return readable_text(data.decode("utf-8"))
-    except UnicodeDecodeError:
+def wide(data: bytes) -> str | None:
+    """The codec of data if it looks like UTF-16: by its mark, or as most places of one parity in its head are zero."""
+    head = data[:256]
+    if head[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
+        return "utf-16"
+    half = len(head) // 2
+    if half < LEAST_STRETCH // 2 or 0 not in head:
         return None
+    even, odd = head[: 2 * half : 2].count(0), head[1 : 2 * half : 2].count(0)
+    return "utf-16-le" if odd * 2 > half and even * 8 < half else "utf-16-be" if even * 2 > half and odd * 8 < half else None
+
+
+def readable(data: bytes) -> str | None:
+    """data as text (UTF-8, a single-byte encoding or UTF-16) if hardly a character is a control or no character at all."""
+    return readable_text(data.decode(wide(data) or "utf-8", "replace"))
 
 
 def readable_text(text: str) -> str | None:
+    """text unless over a twentieth of it are controls or over a fifth were not readable; bytes beyond ASCII of a
+    single-byte encoding are among these, and no secret holds one."""
     odd = sum(map(text.count, CONTROLS))
-    return text if text and odd * 20 <= len(text) else None
+    return text if text and odd * 20 <= len(text) and text.count("\ufffd") * 5 <= len(text) else None
+
+
+def raw_deflate(data: bytes) -> bool:
+    """Whether data is one whole deflate stream without a header, of readable text or of data compressed with one (judged by
+    its first 64 KiB). Two such streams directly inside each other are not looked for."""
+    if not data or data[0] & 6 == 6:
+        return False
+    stream, most = zlib.decompressobj(-15), 1 << 16
+    try:
+        out = stream.decompress(data, most)
+    except zlib.error:
+        return False
+    whole = stream.eof and not stream.unused_data
+    return len(out) >= LEAST_STRETCH and (whole or len(out) == most) and (readable(out) is not None or unpacked(out[:6], iter(())) is not None)
 
 
 def text_pieces(chunks, cut: list[int]):
     """Texts of about PIECE characters that together cover a large layer. They overlap and part at blanks, so what lies
     at a border is whole in one of them; a longer run without blanks, or wrapped lines at a border, are counted in cut."""
-    decoder, hold, fresh = codecs.getincrementaldecoder("utf-8")(), "", 0
-    try:
-        for chunk in chunks:
-            new = decoder.decode(chunk)
-            hold, fresh = hold + new, fresh + len(new)
-            if len(hold) < PIECE:
-                continue
-            at = hold.rfind(" ", len(hold) // 2)
-            if at < 0:
-                at = hold.rfind("\n", len(hold) // 2)
-                cut[0] += at < 0 or re.search(r"[A-Za-z0-9+/_-]{16}\s*\Z", hold[max(0, at - 32) : at]) is not None
-            at = len(hold) if at < 0 else at
-            yield hold[:at]
-            hold, fresh = hold[max(0, at - PIECE_OVERLAP) :], len(hold) - at
-    except UnicodeDecodeError:
-        pass
+    decoder, hold, fresh = None, "", 0
+    for chunk in chunks:
+        decoder = decoder or codecs.getincrementaldecoder(wide(chunk) or "utf-8")("replace")
+        new = decoder.decode(chunk)
+        hold, fresh = hold + new, fresh + len(new)
+        if len(hold) < PIECE:
+            continue
+        at = hold.rfind(" ", len(hold) // 2)
+        if at < 0:
+            at = hold.rfind("\n", len(hold) // 2)
+            cut[0] += at < 0 or re.search(r"[A-Za-z0-9+/_-]{16}\s*\Z", hold[max(0, at - 32) : at]) is not None
+        at = len(hold) if at < 0 else at
+        yield hold[:at]
+        hold, fresh = hold[max(0, at - PIECE_OVERLAP) :], len(hold) - at
     if fresh:
         yield hold
 
@@ -197,6 +222,8 @@ def opened(data: bytes, cut: list[int]):
     while True:
         digest = hashlib.sha1(data).digest()
         inner = unpacked(data[:6], iter([data])) if digest not in met else None
+        if inner is None and digest not in met and raw_deflate(data):
+            inner = _until_damaged(_inflate(iter([data]), lambda: zlib.decompressobj(-15)))
         met.add(digest)
         if inner is None:
             break
@@ -231,20 +258,27 @@ def opened(data: bytes, cut: list[int]):
 
 def stretches(data: bytes, starts: list[int]):
     """(first byte, end byte, bytes) of what may hold a layer: data from each of the sorted starts on, if compressed,
-    and each longest readable stretch that begins at one of them."""
+    and each longest readable stretch that begins at one of them (all that follows, if it is UTF-16 or, but for a tenth
+    at most, ASCII). Deflate without a header shows no mark, so it is looked for at the first byte alone."""
     view, done = memoryview(data), 0
     for at in starts:
         if len(data) - at < LEAST_STRETCH:
             break
-        if unpacked(data[at : at + 6], iter(())) is not None:
+        if unpacked(data[at : at + 6], iter(())) is not None or (at == 0 and raw_deflate(data)):
             yield at, len(data), data[at:]
         if at < done:
             continue
+        if wide(data[at : at + 256]):
+            done = len(data)
+            yield at, done, data[at:]
+            continue
         try:
             codecs.utf_8_decode(view[at:], "strict", True)
             done = len(data)
         except UnicodeDecodeError as e:
             done = at + e.start
+            if len(data[at:].translate(None, ASCII_TEXT)) * 10 <= len(data) - at:
+                done = len(data)
         if done - at >= LEAST_STRETCH:
             yield at, done, data[at:done]
 
@@ -340,7 +374,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, base, spans, cut_layers) for each row, and with redact also `redacted`: the text with every span masked.
 
     base and spans are arrays of (kind, start, end) in code points, end exclusive; spans holds the base spans and those
-    found in decoded layers, mapped to the original text. Null text counts as empty and has no spans; repeated rows
+    found in decoded layers (UTF-8, single-byte or UTF-16), mapped to the original text. A sign that opens escapes and is
+    encoded many times over is decoded at once, so of the layers between only the last is scanned. A layer over MAX_LAYER
+    bytes is read in overlapping pieces; cut_layers counts the runs that a border of these may have parted. Null text counts as empty and has no spans; repeated rows
     repeat their result; an empty table gives none.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -99,6 +100,49 @@ def test_secret_layers_to_the_fixpoint(wrap):
     assert all(text.index(wrapped) <= a < b <= text.index(wrapped) + len(wrapped) for a, b, _ in extra)
 
 
+@pytest.mark.parametrize("wrap", ["gzip_latin1", "latin1", "utf16le", "utf16be", "utf16_mark", "gzip_utf16", "raw_deflate", "raw_gzip", "large_latin1", "amp", "amp_number", "slash", "percent"])
+def test_secret_layers_of_other_encodings_and_long_chains(wrap):
+    import base64
+    import gzip
+
+    inner = "le mot caché est ici: password=Tr0ub4dor-and-3 voilà "
+    b64 = lambda x: base64.b64encode(x).decode()
+
+    def raw(x):
+        c = zlib.compressobj(wbits=-15)
+        return c.compress(x) + c.flush()
+
+    wrapped = {
+        "gzip_latin1": lambda: b64(gzip.compress(inner.encode("latin-1"))), "latin1": lambda: b64(inner.encode("latin-1")), "utf16le": lambda: b64(inner.encode("utf-16-le")), "utf16be": lambda: b64(inner.encode("utf-16-be")),
+        "utf16_mark": lambda: b64(inner.encode("utf-16")), "gzip_utf16": lambda: b64(gzip.compress(inner.encode("utf-16-le"))), "raw_deflate": lambda: b64(raw(inner.encode())), "raw_gzip": lambda: b64(raw(gzip.compress(inner.encode()))),
+        "large_latin1": lambda: b64(gzip.compress(("des mots caché " * (3 << 19) + inner).encode("latin-1"))), "amp": lambda: "password&" + "amp;" * 5000 + "equals;Tr0ub4dor-and-3", "amp_number": lambda: "password&" + "#38;" * 5000 + "#61;Tr0ub4dor-and-3",
+        "slash": lambda: "password\\" + "u005c" * 4000 + "u003dTr0ub4dor-and-3", "percent": lambda: "password%" + "25" * 10000 + "3DTr0ub4dor-and-3",
+    }[wrap]()
+    text = f"é before {wrapped} after"
+    started = time.monotonic()
+    base, spans, cut = secret_scan.scan(text)
+    took = time.monotonic() - started
+    extra = [s for s in spans if s not in base and s[2] == 0]
+    assert extra and cut == 0
+    assert all(text.index(wrapped) <= a < b <= text.index(wrapped) + len(wrapped) for a, b, _ in extra)
+    assert wrap.startswith("large") or took < 0.5
+
+
+def test_secret_middle_layer_of_a_percent_chain():
+    text = "x %2525" + "ab" * 11 + " y"  # %25abab..: a hex run of 24 in the middle layer alone
+    assert (5, 29, 2) in secret_scan.scan(text)[1] or (3, 29, 2) in secret_scan.scan(text)[1]
+
+
+def test_secret_random_bytes_open_nothing():
+    import base64
+
+    random = np.random.default_rng(5)
+    for n in (40, 300, 5000):
+        for _ in range(200):
+            text = base64.b64encode(random.bytes(n)).decode()
+            assert secret_scan.scan(text)[0] == secret_scan.scan(text)[1]
+
+
 def test_secret_clean_text_and_mask():
     assert secret_scan.scan("Plain prose with %20 an escape and internationalization words")[1] == []
     assert secret_scan.mask("a token=abcdefgh b", secret_scan.scan("a token=abcdefgh b")[1]) == "a [SECRET] b"
