@@ -117,6 +117,15 @@ def windows_over(lengths: np.ndarray, overlap: int = OVERLAP) -> Windows:
     return Windows(np.minimum(at, (ends[own] - 1)[:, None]), scored)
 
 
+class Heads(NamedTuple):
+    """What each row of the tables brings to attention."""
+
+    own: np.ndarray  # rows x (3 * DIM + 1): query (scaled), key, value and a one
+    prior: np.ndarray  # rows x CLASSES, with the bias
+    places: np.ndarray  # CONTEXT x (3 * DIM + 1): what its place adds
+    safe: bool  # no score can reach the ceiling, so none is held below it
+
+
 class Attention:
     """One causal head over the features of rows; what it finds is added to the classes' prior.
 
@@ -129,32 +138,39 @@ class Attention:
         shapes = {"mix": (FEATURES, 3 * DIM), "ep": (CONTEXT, 3 * DIM), "wo": (DIM, CLASSES), "bias": (CLASSES,)}
         self.w = weights or {k: (rng.standard_normal(s) * (0.5 if k == "mix" else 0.0)).astype(np.float32) for k, s in shapes.items()}
 
-    def heads(self, tables: Counts) -> np.ndarray:
-        """Query (scaled), key and value of each row, then its prior with the bias."""
-        own = tables.features @ self.w["mix"]
+    def heads(self, tables: Counts) -> Heads:
+        """What stands before attention, and whether any score that comes out of it could overflow when raised."""
+        own = np.ones((len(tables.prior), 3 * DIM + 1), self.w["mix"].dtype)
+        own[:, : 3 * DIM] = tables.features @ self.w["mix"]
         own[:, :DIM] *= own.dtype.type(DIM**-0.5)
-        return np.concatenate([own, tables.prior + self.w["bias"]], 1)
-
-    def forward(self, rows: np.ndarray, heads: np.ndarray, start: int = 0):
+        places = np.zeros((CONTEXT, 3 * DIM + 1), own.dtype)
+        places[:, : 3 * DIM] = self.w["ep"]
+        prior = tables.prior + self.w["bias"]
+        most = np.abs(own).max(0) + np.abs(places).max(0)
+        safe = most[:DIM] @ most[DIM : 2 * DIM] < _CEILING and prior.max() + (most[2 * DIM : 3 * DIM] @ np.abs(self.w["wo"])).max() < _CEILING
+        return Heads(own, prior, places, bool(safe))
+
+    def forward(self, rows: np.ndarray, heads: Heads, start: int = 0):
         """(class scores, queries, keys, values and ones, visible attention, its sums, what it gathers) at the places from
         start on; those before are context alone."""
-        h = heads.take(rows, 0)
-        h[..., : 3 * DIM] += self.w["ep"]
-        q, k = h[:, start:, :DIM], h[..., DIM : 2 * DIM]
-        v = np.concatenate([h[..., 2 * DIM : 3 * DIM], np.ones((*rows.shape, 1), h.dtype)], -1)
+        h = heads.own.take(rows, 0)
+        h += heads.places
+        q, k, v = h[:, start:, :DIM], h[..., DIM : 2 * DIM], h[..., 2 * DIM :]
         s = q @ k.transpose(0, 2, 1)
-        np.minimum(s, _CEILING, out=s)
+        if not heads.safe:
+            np.minimum(s, _CEILING, out=s)
         np.exp(s, out=s)
         s *= _VISIBLE[start:]
         y = s @ v
         total = y[..., DIM:]
         y = y[..., :DIM] / total
         z = y.reshape(-1, DIM) @ self.w["wo"]
-        z += h[:, start:, 3 * DIM :].reshape(-1, CLASSES)
-        np.minimum(z, _CEILING, out=z)
+        z += heads.prior.take(rows[:, start:].ravel(), 0)
+        if not heads.safe:
+            np.minimum(z, _CEILING, out=z)
         return z, q, k, v, s, total, y
 
-    def class_logs(self, rows: np.ndarray, target: np.ndarray, heads: np.ndarray, start: int = 0) -> np.ndarray:
+    def class_logs(self, rows: np.ndarray, target: np.ndarray, heads: Heads, start: int = 0) -> np.ndarray:
         """Log-probability of each target class at the places from start on."""
         z = self.forward(rows, heads, start)[0]
         at = z[np.arange(len(z)), target.ravel()]
@@ -173,9 +189,10 @@ class Attention:
         loss = float((np.log(sums) - at) @ share)
         z *= (share / sums)[:, None]
         z[hot] -= share
-        g = {"bias": z.sum(0), "wo": y.reshape(-1, DIM).T @ z}
-        dy = (z @ self.w["wo"].T).reshape(y.shape) / total
-        lead = np.concatenate([dy, -(dy * y) @ np.ones((DIM, 1), kind)], -1)
+        g = {"bias": np.ones(len(z), kind) @ z, "wo": y.reshape(-1, DIM).T @ z}
+        lead = np.empty(v.shape, kind)
+        dy = np.divide((z @ self.w["wo"].T).reshape(y.shape), total, out=lead[..., :DIM])
+        np.negative(np.einsum("bcd,bcd->bc", dy, y), out=lead[..., DIM])
         dh = np.empty((*rows.shape, 3 * DIM), kind)
         dh[..., 2 * DIM :] = s.transpose(0, 2, 1) @ dy
         s *= lead @ v.transpose(0, 2, 1)
@@ -202,7 +219,7 @@ class Attention:
                 self.w[k] = self.w[k] - (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-6)).astype(self.w[k].dtype)
 
 
-def token_logs(model: Attention, tables: Counts, heads: np.ndarray, flat: np.ndarray, lengths: np.ndarray, size: int = 128) -> np.ndarray:
+def token_logs(model: Attention, tables: Counts, heads: Heads, flat: np.ndarray, lengths: np.ndarray, size: int = 128) -> np.ndarray:
     """log10 probability of every id but the first of each sequence (laid end to end in flat), in their order."""
     rows, inside = tables.row_of.take(flat), tables.inside.ravel()
     at, scored = windows_over(lengths)
