@@ -44,34 +44,38 @@ class Subwords:
         self.leads = np.zeros(self.size, bool)  # ids that begin with a blank
         self.leads[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.edge = np.uint16(self.end).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Put words into the cache. ASCII words are encoded together: in their text each begins with the only blank of it,
-        and so does its first id; others are encoded one by one."""
-        if len(self.cache) + len(words) > MAX_CACHE:
-            self.cache.clear()
-        plain = [w for w in words if w.isascii()]
+    def learn(self, words: list[bytes]) -> None:
+        """Put words into the cache. They are encoded together: in their text each begins with the only blank of it, and so
+        does its first id. Those with a blank of Unicode inside, which the pattern may join to their neighbours, go one by one."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [i for i, t in enumerate(texts) if words[i].isascii() or t.split() == [t]]
+        alone = set(range(len(words))).difference(plain)
         for lo in range(0, len(plain), 5000):
             some = plain[lo : lo + 5000]
-            ids = np.array(self.encoding.encode_ordinary(" " + b" ".join(some).decode()), np.uint16)
+            ids = np.array(self.encoding.encode_ordinary(" " + " ".join([texts[i] for i in some])), np.uint16)
             starts = np.flatnonzero(self.leads[ids])
             if len(starts) != len(some):
-                words = words | set(some)  # a vocabulary that joins or parts words at blanks
-                plain = plain[:lo]
+                alone.update(plain[lo:])  # a vocabulary that joins or parts words at blanks
                 break
             data, cuts = ids.tobytes(), [*(2 * starts).tolist(), 2 * len(ids)]
-            for w, x, y in zip(some, cuts, cuts[1:], strict=False):
-                self.cache[w] = data[x:y]
-        for w in words.difference(plain):
-            self.cache[w] = np.array(self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")), np.uint16).tobytes()
+            for i, x, y in zip(some, cuts, cuts[1:], strict=False):
+                self.cache[words[i]] = data[x:y]
+        for i in alone:
+            self.cache[words[i]] = np.array(self.encoding.encode_ordinary(" " + texts[i]), np.uint16).tobytes()
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of different words end to end, how many each has)."""
-        met = set(words)
-        missing = met.difference(self.cache)
-        if len(self.cache) + len(missing) > MAX_CACHE:
-            missing = met  # the cache is about to be emptied
+        """(ids of different words end to end, how many each has). The cache has two halves of MAX_CACHE / 2 words: when one is
+        full it becomes the older one, from which words that are met again move on."""
+        missing = [w for w in words if w not in self.cache]
+        if len(self.cache) + len(missing) > MAX_CACHE // 2:
+            self.cache, self.older, missing = {}, self.cache, words
+        if self.older:
+            held = {w: x for w, x in zip(missing, map(self.older.get, missing), strict=True) if x is not None}
+            self.cache.update(held)
+            missing = [w for w in missing if w not in held]
         self.learn(missing)
         found = [self.cache[w] for w in words]
         return np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int32, len(found)) // 2
