@@ -361,15 +361,16 @@ def base_rows(rows: DataFrame, common: dict[bytes, int]) -> DataFrame:
     words_sent = rows.sparkSession.sparkContext.broadcast(common)
 
     def measure(batches):
-        known = {w: math.log10(c + 1) for w, c in words_sent.value.items()}
-        end = known.pop(b"")
-        end_known = bool(words_sent.value[b""])
+        end_known, end = bool(words_sent.value[b""]), math.log10(words_sent.value[b""] + 1)
+        known = pa.array(words_sent.value.keys(), pa.large_binary())
+        all_logs = np.log10(np.fromiter(words_sent.value.values(), np.float64, len(known)) + 1)
         for b in batches:
             texts = b.column(3).to_pylist()
             for lo, hi in slices(texts):
                 n = hi - lo
                 words = words_of(texts[lo:hi])
-                logs = np.array([known.get(w, -1.0) for w in words.known.to_pylist()])
+                at = pc.fill_null(pc.index_in(words.known, value_set=known), -1).to_numpy()
+                logs = np.where(at < 0, -1.0, all_logs[at])
                 per = logs[words.codes] if len(logs) else np.zeros(0)
                 common = per >= 0
                 own, tokens = np.bincount(words.text[common], minlength=n) + end_known, np.bincount(words.text, minlength=n) + 1
