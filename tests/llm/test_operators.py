@@ -542,6 +542,40 @@ def test_lm_words_are_encoded_together_as_alone():
         at += n
 
 
+def test_lm_cache_turns_over_without_changing_ids(monkeypatch):
+    """Words fall out of a cache of ten, move from its older half and come back; the ids are those of each word alone."""
+    from quillmill.llm import lm_score
+
+    monkeypatch.setattr(lm_score, "MAX_CACHE", 10)
+    worker = lm_score.Subwords(*lm_score.default_subwords())
+    words = ["sous", "naïve", "mot", "的", "كتاب", "a\u2003b", "x\u00a0", "été", "mot2", "\u0301z", "un", "deux"]
+    rng = random.Random(4)
+    for _ in range(40):
+        some = rng.sample(words, rng.randint(1, 6))
+        ids, lengths = worker.of([w.encode() for w in some])
+        want = [worker.encoding.encode_ordinary(" " + w) for w in some]
+        assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        assert len(worker.cache) + len(worker.older) <= 12
+
+
+def test_lm_large_weights_do_not_overflow():
+    """Scores that could overflow are held below the ceiling; small ones come out the same whether the bound is met or not."""
+    from quillmill.llm import lm_model as lm
+
+    rng = np.random.default_rng(2)
+    counts = rng.integers(1, 50, 40)
+    tables = lm.count_tables(counts, rng.integers(0, 9, (40, 40)))
+    flat, lengths = rng.integers(0, 40, 90), np.array([60, 30])
+    model = lm.Attention()
+    heads = model.heads(tables)
+    assert heads.safe
+    assert np.allclose(lm.token_logs(model, tables, heads, flat, lengths), lm.token_logs(model, tables, heads._replace(safe=False), flat, lengths))
+    large = lm.Attention({k: 400 * (x + 1) for k, x in model.w.items()})
+    assert not large.heads(tables).safe
+    with np.errstate(over="raise", invalid="raise"):
+        assert np.isfinite(lm.token_logs(large, tables, large.heads(tables), flat, lengths)).all()
+
+
 def test_lm_remembers_other_documents(spark):
     """Against the definition: (c + P) / (C + 1) for each chunk, from plain counts over the other training documents."""
     from quillmill.llm import lm_score
