@@ -6,11 +6,15 @@ source may drop a hamza or confuse a final letter; what is written out always co
 
 from __future__ import annotations
 
+import unicodedata
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from .gates import is_refusal, turns
 
@@ -105,31 +109,59 @@ NOT_WORD = "(?U)[^\\w\u0600-\u06ff]"
 QUIZ = "struct<questions: array<struct<question: string, options: array<string>, answer: int, explanation: string>>>"
 
 
-@F.pandas_udf(StringType())  # a type, not its name: workers import this module without a session
-def _nfkc(texts):
-    return texts.str.normalize("NFKC")
+#: A run of what composition may change, with the character before it, which may take it up; ASCII never joins what is before.
+COMPOSED = r"[\x00-\x7F]?[^\x00-\x7F]+"
+
+
+def beyond_ascii(members: str) -> str:
+    """A pattern of one character of a class beyond ASCII. Java tries a class's members one by one, so a single test of the
+    character comes first, which nearly all characters of Latin texts end at."""
+    return rf"[^\x00-\x7F](?<=[{members}])"
+
+
+@F.arrow_udf(ArrayType(StringType()))  # a type, not its name: workers import this module without a session
+def _nfkc(pieces: pa.Array) -> pa.Array:
+    done, values = [], pieces.flatten()
+    for at in range(0, len(values), 1024):  # Python's own strings of a slice at a time
+        done.append(pa.array([unicodedata.normalize("NFKC", v) for v in values.slice(at, 1024).to_pylist()], pa.string()))
+    sizes = [0, *pc.fill_null(pc.list_value_length(pieces), 0).to_pylist()]
+    offsets = pa.array(np.cumsum(sizes), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.concat_arrays(done) if done else pa.array([], pa.string()), mask=pieces.is_null())
 
 
 def normalize_arabic(text: Column) -> Column:
     """Compatibility forms composed (NFKC), tatweel, vowel marks and direction marks dropped: safe to store. Null is empty.
-    Texts of ASCII alone never reach Python."""
+    Only the pieces beyond ASCII reach Python, each with the character before it."""
     text = F.coalesce(text, F.lit(""))
-    return F.regexp_replace(F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text), f"[{INVISIBLE}]", "")
+    pieces = _nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_extract_all(text, F.lit(COMPOSED), F.lit(0))))
+    composed = F.array_join(F.zip_with(F.split(text, COMPOSED), pieces, lambda gap, piece: F.concat(gap, F.coalesce(piece, F.lit("")))), "")
+    return F.regexp_replace(F.coalesce(composed, text), beyond_ascii(INVISIBLE), "")
 
 
 def folded(text: Column) -> Column:
     """Letters and digits that comparisons take as equal made equal; marks dropped. Never to be stored or shown."""
-    plain = F.regexp_replace(text, f"[{INVISIBLE}]", "")
+    return _letters(F.regexp_replace(text, beyond_ascii(INVISIBLE), ""))
+
+
+def _letters(plain: Column) -> Column:
     return F.translate(plain, "".join(FOLDED) + DIGITS, "".join(FOLDED.values()) + "0123456789" * 2)
 
 
 def fold_arabic(text: Column) -> Column:
-    return folded(normalize_arabic(text))
+    return _letters(normalize_arabic(text))
+
+
+def searched(s: Shape) -> str:
+    """The pattern of a shape behind a test of its first letter, in either case (a long s counts as s): word boundaries and
+    spellings cost many times more and are then tried at few places."""
+    first = s.head[0]
+    letters = "\u0621-\u06ff" if first > "\u00ff" else first.upper() + first.lower() + ("\u017f" if first in "Ss" else "")
+    return f"(?=[{letters}])" + ("(?iU)" if s.pattern.startswith("(?i)") else "(?U)") + s.pattern.removeprefix("(?i)")
 
 
 def _entries(text: Column, i: int, s: Shape) -> Column:
     before, after = s.canonical.split("{n}")
-    numbers = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(("(?iU)" if s.pattern.startswith("(?i)") else "(?U)") + s.pattern.removeprefix("(?i)")), F.lit(1))
+    numbers = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(searched(s)), F.lit(1))
 
     def entry(n):
         gloss = F.lit(None).cast("string") if s.gloss is None else F.concat(F.lit(s.gloss.split("{n}")[0]), n)

@@ -314,3 +314,52 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     assert count and read("chunks").where("vector IS NULL").count() == 0 and read("chunks").where("source_id IN ('c', 'd')").count() == 0
     ingest_batch(spark.createDataFrame(files[3:], schema), 1, str(tmp_path / "table"))  # the batch comes again
     assert read("chunks").count() == count and read("files").count() == 5
+
+
+def test_edit_distance_of_long_texts():
+    """Exact on random strings by every way it is found, and long texts do not take a step for every pair of places."""
+    import random
+    import time
+
+    from quillmill.operators.evaluation import _bit_edits, _numbered, edit_distance
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(3)
+    for t in range(300):
+        letters = ("ab", "aé漢😀", "abcdefgh")[t % 3]
+        a = [rng.choice(letters) for _ in range(rng.randrange(150))]
+        b = [c for c in a if rng.random() < 0.9] if t % 2 else [rng.choice(letters) for _ in range(rng.randrange(60))]
+        want = plain(a, b)
+        assert edit_distance(a, b) == edit_distance("".join(a), "".join(b)) == want
+        if a and b:
+            assert _bit_edits(*_numbered(a, b)) == want
+    long = "".join(rng.choice("abcdefgh ") for _ in range(120_000))
+    began = time.monotonic()
+    assert 0 < edit_distance(long, "".join(c for i, c in enumerate(long) if i % 500)) <= 240
+    assert edit_distance("ab" * 20_000, "ba" * 20_000) == 2
+    assert time.monotonic() - began < 15
+
+
+def test_composition_by_pieces(spark):
+    """The pieces that reach Python give the composition of the whole text, wherever marks and compatibility forms stand."""
+    import random
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from quillmill.functions.references import INVISIBLE, normalize_arabic
+
+    rng = random.Random(7)
+    letters = [*"aé<= ئا\n", "e\u0301", "\u0627\u0653", "\ufefb", "ﬁ", "\u0338", "\u0651\u064e", "\u1112\u1161\u11ab", "😀", "²", "\u00a0", "\u0323", "が", "か\u3099"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(300)] + ["", None, "plain", "\u0301"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    drop = dict.fromkeys([*range(0x64B, 0x656), *range(0x200B, 0x2010), 0x640, 0x670, 0x61C])
+    got = {r.id: r.t for r in rows.select("id", normalize_arabic(F.col("text")).alias("t")).collect()}
+    assert INVISIBLE and [got[i] for i in range(len(texts))] == [unicodedata.normalize("NFKC", t or "").translate(drop) for t in texts]
