@@ -190,14 +190,20 @@ def mine_terms(docs: DataFrame, terms: int = 14, acronyms: int = 6) -> DataFrame
 
 def script_spans(docs: DataFrame, first: str = r"[\x{0600}-\x{06FF}]", second: str = "[A-Za-z]", names: tuple[str, str] = ("ar", "fr"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, span_no, lang, text): runs of words of one script; a word of neither joins the run before it (the first
-    words join the run that follows; a text with neither is one run of the second script)."""
+    words join the run that follows; a text with neither is one run of the second script). A letter for each word stands for
+    its script, and a pattern over the letters finds the runs, so each row is cut by itself and nothing is shuffled."""
+    bind = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  value is computed once
+    kind = lambda w: F.when(w.rlike(first), "a").when(w.rlike(second), "b").otherwise("-")
     words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    rows = docs.select(id_col, F.posexplode(words).alias("i", "w"))
-    rows = rows.withColumn("c", F.when(F.col("w").rlike(first), names[0]).when(F.col("w").rlike(second), names[1]))
-    order = Window.partitionBy(id_col).orderBy("i")
-    known = F.coalesce(F.last("c", True).over(order), F.first("c", True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.lit(names[1]))
-    rows = rows.withColumn("lang", known)
-    rows = rows.withColumn("new", F.coalesce(F.lag("lang").over(order) != F.col("lang"), F.lit(False)).cast("int"))
-    rows = rows.withColumn("span_no", F.sum("new").over(order))
-    gathered = rows.groupBy(id_col, "span_no", "lang").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("ws"))
-    return gathered.select(id_col, "span_no", "lang", F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias("text"))
+
+    def spans(words):
+        runs = F.regexp_extract_all(F.array_join(F.transform(words, kind), ""), F.lit("^-+$|(?:^-+)?(?:a[a-]*|b[b-]*)"), F.lit(0))
+        each = lambda r, said: F.struct(F.when(F.contains(r, F.lit("a")), names[0]).otherwise(names[1]).alias("lang"), said.alias("text"))
+        return bind(runs, lambda runs: F.when(F.size(runs) > 0, F.zip_with(runs, told(words, runs), each)))
+
+    def told(words, runs):  # a line for each run: no word has a line end
+        before = F.flatten(F.transform(runs, lambda r: F.concat(F.array(F.lit("\n")), F.array_repeat(F.lit(" "), F.length(r) - 1))))
+        return F.split(F.substr(F.array_join(F.zip_with(before, words, lambda b, w: F.concat(b, w)), ""), F.lit(2)), "\n")
+
+    each = docs.select(id_col, F.posexplode(bind(words, spans)).alias("span_no", "s"))
+    return each.select(id_col, F.col("span_no").cast("long").alias("span_no"), "s.lang", "s.text")
