@@ -134,3 +134,57 @@ def test_stages_on_clashing_columns_and_empty_tables(spark, tmp_path):
         assert got.columns == rows.columns and [r[f"{n}"] for r in got.collect() for n in names] == [f"{n}!" for n in names]
         assert stage(spark, rows.limit(0), str(tmp_path)).count() == 0
     assert cp.STAGES[-1][1](spark, rows, str(tmp_path)).count() == 1 and cp.STAGES[-1][1](spark, rows.limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_copies_below_the_limit_meet_seldom(spark, monkeypatch):
+    """Texts of one group that are all a little too different are not joined pair by pair, and what is similar enough is still found."""
+    from quillmill.llm import near_copies as nc
+
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for j in (rng.randrange(70), rng.randrange(75, 150)):  # ten shingles of 146 each: about 0.76 for two of them
+            words[j] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows.append((200, rows[7][1] + " more"))
+    counts = []
+
+    def settle(df, label="scratch", plain=nc.settle):
+        out = plain(df, label)
+        counts.extend([out.count()] if label == "candidates" else [])
+        return out
+
+    monkeypatch.setattr(nc, "settle", settle)
+    found = {r.doc_id: r.component_id for r in nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = slow_copies(dict(rows))
+    assert found == want and want[200] != 200
+    assert sum(counts) < 6000  # of 20,100 pairs; those that share an edited place or nearly so are similar enough
+
+
+def test_near_copies_bounds_pass_similar_pairs(spark):
+    """Pairs of the similarity share a rare shingle, their places there and their parities pass, whatever the order of shingles."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quillmill.llm import near_copies as nc
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(300):
+        size = int(rng.integers(1, 120))
+        a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        b = np.concatenate([a[: size - int(rng.integers(0, 1 + size // 8))], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + size // 9)), dtype=np.uint64)])
+        rows += [(2 * k + i, nc.packed(np.unique(x))) for i, x in enumerate((a, b))]
+    sets = {i: set(nc.unpacked(x).tolist()) for i, x in rows}
+    alike = [i for i in range(0, 600, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    frame = spark.createDataFrame(rows, "node long, shingles binary")
+    keys = nc.rare_shingles(frame, 0.8).cache()
+    other = keys.select("key", (F.col("node") - 1).alias("node"), F.col("at").alias("to"))
+    met = {r.node for r in keys.where("node % 2 = 0").join(other, ["key", "node"]).where(nc.reaching("at", "to", 0.8)).select("node").distinct().collect()}
+    assert len(alike) > 80 and met.issuperset(alike)
+    odd = dict(rows)
+    for i in alike:
+        apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(nc.parities(odd[i]), nc.parities(odd[i + 1]), strict=True))
+        assert apart <= len(sets[i] ^ sets[i + 1])
