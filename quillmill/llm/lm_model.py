@@ -123,7 +123,7 @@ class Heads(NamedTuple):
     own: np.ndarray  # rows x (3 * DIM + 1): query (scaled), key, value and a one
     prior: np.ndarray  # rows x CLASSES, with the bias
     places: np.ndarray  # CONTEXT x (3 * DIM + 1): what its place adds
-    safe: bool  # no score can reach the ceiling, so none is held below it
+    safe: bool  # no score can reach the ceiling either way, so none is shifted
 
 
 class Attention:
@@ -146,7 +146,7 @@ class Attention:
         places = np.zeros((CONTEXT, 3 * DIM + 1), own.dtype)
         places[:, : 3 * DIM] = self.w["ep"]
         prior = tables.prior + self.w["bias"]
-        most = np.abs(own).max(0) + np.abs(places).max(0)
+        most = np.maximum(own.max(0), -own.min(0)) + np.abs(places).max(0)
         safe = most[:DIM] @ most[DIM : 2 * DIM] < _CEILING and prior.max() + (most[2 * DIM : 3 * DIM] @ np.abs(self.w["wo"])).max() < _CEILING
         return Heads(own, prior, places, bool(safe))
 
@@ -157,8 +157,9 @@ class Attention:
         h += heads.places
         q, k, v = h[:, start:, :DIM], h[..., DIM : 2 * DIM], h[..., 2 * DIM :]
         s = q @ k.transpose(0, 2, 1)
-        if not heads.safe:
-            np.minimum(s, _CEILING, out=s)
+        if not heads.safe:  # the largest visible score of a place becomes 0: none overflows and not all vanish
+            s -= np.where(_VISIBLE[start:] > 0, s, -np.inf).max(-1, keepdims=True)
+            np.minimum(s, 0, out=s)
         np.exp(s, out=s)
         s *= _VISIBLE[start:]
         y = s @ v
@@ -167,7 +168,7 @@ class Attention:
         z = y.reshape(-1, DIM) @ self.w["wo"]
         z += heads.prior.take(rows[:, start:].ravel(), 0)
         if not heads.safe:
-            np.minimum(z, _CEILING, out=z)
+            z -= z.max(1, keepdims=True)
         return z, q, k, v, s, total, y
 
     def class_logs(self, rows: np.ndarray, target: np.ndarray, heads: Heads, start: int = 0) -> np.ndarray:

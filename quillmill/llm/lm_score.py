@@ -144,11 +144,11 @@ def is_held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % HELD_OUT[0] == HELD_OUT[1]
 
 
-def _batches(ids: list[bytes]):
-    """(first row, ids end to end, lengths) of runs of rows with about PIECE ids: memory is bounded but for one long text."""
+def _batches(ids: list[bytes], piece: int = PIECE):
+    """(first row, ids end to end, lengths) of runs of rows with about `piece` ids: memory is bounded but for one long text."""
     lo, size = 0, 0
     for i, x in enumerate(ids):
-        if size and size + len(x) // 2 > PIECE:
+        if size and size + len(x) // 2 > piece:
             yield lo, np.frombuffer(b"".join(ids[lo:i]), np.uint16).astype(np.int32), np.array([len(x) // 2 for x in ids[lo:i]])
             lo, size = i, 0
         size += len(x) // 2
@@ -203,11 +203,11 @@ def pair_counts(training: DataFrame, row_of: np.ndarray) -> np.ndarray:
     def count(batches):
         total = np.zeros(TOP * TOP, np.int64)
         for b in batches:
-            for _, flat, lengths in _batches(b.column(0).to_pylist()):
-                rows = sent.value[flat].astype(np.int64)
+            for _, flat, lengths in _batches(b.column(0).to_pylist(), 4 * PIECE):  # each run costs a pass over the whole table
+                rows = sent.value[flat]
                 inner = np.ones(len(rows), bool)
                 inner[np.cumsum(lengths) - lengths] = False
-                total += np.bincount((rows[:-1] * TOP + rows[1:])[inner[1:]], minlength=TOP * TOP)
+                total += np.bincount((rows[:-1] * np.int32(TOP) + rows[1:])[inner[1:]], minlength=TOP * TOP)
         total = total.reshape(TOP, TOP)
         some = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([total[i].tobytes() for i in some], pa.binary())], ["row", "pairs"])

@@ -576,6 +576,24 @@ def test_lm_large_weights_do_not_overflow():
         assert np.isfinite(lm.token_logs(large, tables, large.heads(tables), flat, lengths)).all()
 
 
+def test_lm_no_visible_score_vanishes():
+    """Where all visible scores are far below zero, or all class scores, the weights still sum to more than nothing."""
+    from quillmill.llm import lm_model as lm
+
+    rng = np.random.default_rng(4)
+    tables = lm.count_tables(rng.integers(1, 50, 40), rng.integers(0, 9, (40, 40)))
+    flat, lengths = rng.integers(0, 40, 90), np.array([60, 30])
+    weights = {k: x * 0 for k, x in lm.Attention().w.items()}
+    weights["ep"] = weights["ep"] + np.repeat(np.float32([40, -40, 1]), lm.DIM)  # each query against each key
+    weights["bias"] = weights["bias"] - np.float32(500)
+    low, plain = lm.Attention(weights), lm.Attention({k: x * 0 for k, x in weights.items()})
+    assert not low.heads(tables).safe
+    with np.errstate(all="raise", under="ignore"):
+        got = lm.token_logs(low, tables, low.heads(tables), flat, lengths)
+    # equal scores and an equal bias weigh nothing
+    assert np.allclose(got, lm.token_logs(plain, tables, plain.heads(tables), flat, lengths), atol=1e-4)
+
+
 def test_lm_remembers_other_documents(spark):
     """Against the definition: (c + P) / (C + 1) for each chunk, from plain counts over the other training documents."""
     from quillmill.llm import lm_score
