@@ -109,8 +109,12 @@ NOT_WORD = "(?U)[^\\w\u0600-\u06ff]"
 QUIZ = "struct<questions: array<struct<question: string, options: array<string>, answer: int, explanation: string>>>"
 
 
-#: A run of what composition may change, with the character before it, which may take it up; ASCII never joins what is before.
-COMPOSED = r"[\x00-\x7F]?[^\x00-\x7F]+"
+#: Frequent characters beyond ASCII (Arabic and Latin letters, digits, quotes) that composition leaves alone and that never
+#: join what is before, as no ASCII does.
+STABLE = "\u0621-\u064a\u0660-\u066d\u0671-\u0674\u0679-\u06d5\u060c\u061b\u061f\u00c0-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u00ab\u00b0\u00bb\u2013\u2014\u2018-\u201e\u20ac"
+#: One character of the rest, and a run of them with the character before it, which may take it up.
+_CHANGING = r"[\x{80}-\x{10FFFF}&&[^" + STABLE + "]]"
+COMPOSED = f"(?s).?{_CHANGING}+"
 
 
 def beyond_ascii(members: str) -> str:
@@ -131,9 +135,9 @@ def _nfkc(pieces: pa.Array) -> pa.Array:
 
 def normalize_arabic(text: Column) -> Column:
     """Compatibility forms composed (NFKC), tatweel, vowel marks and direction marks dropped: safe to store. Null is empty.
-    Only the pieces beyond ASCII reach Python, each with the character before it."""
+    Only the runs that composition may change reach Python, each with the character before it."""
     text = F.coalesce(text, F.lit(""))
-    pieces = _nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_extract_all(text, F.lit(COMPOSED), F.lit(0))))
+    pieces = _nfkc(F.when(text.rlike(_CHANGING), F.regexp_extract_all(text, F.lit(COMPOSED), F.lit(0))))
     composed = F.array_join(F.zip_with(F.split(text, COMPOSED), pieces, lambda gap, piece: F.concat(gap, F.coalesce(piece, F.lit("")))), "")
     return F.regexp_replace(F.coalesce(composed, text), beyond_ascii(INVISIBLE), "")
 

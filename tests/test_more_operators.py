@@ -412,3 +412,24 @@ def test_shapes_behind_their_first_letter_find_the_same(spark):
         own = ("(?iU)" if s.pattern.startswith("(?i)") else "(?U)") + s.pattern.removeprefix("(?i)")
         same = F.regexp_extract_all("t", F.lit(X.searched(s)), F.lit(1)) == F.regexp_extract_all("t", F.lit(own), F.lit(1))
         assert rows.where(~same).count() == 0, s.head
+
+
+def test_stable_letters_stay_out_of_python(spark):
+    """What composition leaves alone is neither sent to Python nor cut at; what follows it may still join it."""
+    import re
+    import unicodedata
+
+    from quillmill.functions import references as X
+
+    stable = [chr(c) for c in range(0x80, 0x10000) if re.match(f"[{X.STABLE}]", chr(c))]
+    assert all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in stable)
+    joining = {x for c in range(0x10000) for x in unicodedata.normalize("NFD", chr(c))[1:]}
+    assert not joining & set(stable)
+    texts = ["".join(stable), "L'été — « المادة ٣ ؟ »", "", "اٴ", "آب", "ẹ́" + "".join(stable) + "́", "ﻻا" * 9, "😀".join(stable[:50])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    sent = F.when(F.col("t").rlike(X._CHANGING), F.regexp_extract_all("t", F.lit(X.COMPOSED), F.lit(0)))
+    got = {r.id: r for r in rows.select("id", sent.alias("sent"), X.normalize_arabic(F.col("t")).alias("n")).collect()}
+    assert [got[i].sent for i in range(3)] == [None] * 3
+    assert got[4].sent == ["آ"] and got[5].sent == ["ẹ́", stable[-1] + "́"]
+    marks = dict.fromkeys([*range(0x64B, 0x656), *range(0x200B, 0x2010), 0x640, 0x670, 0x61C])
+    assert [got[i].n for i in range(len(texts))] == [unicodedata.normalize("NFKC", t).translate(marks) for t in texts]
