@@ -155,17 +155,38 @@ def fold_arabic(text: Column) -> Column:
     return _letters(normalize_arabic(text))
 
 
-def searched(s: Shape) -> str:
-    """The pattern of a shape behind a test of its first letter, in either case (a long s counts as s): word boundaries and
-    spellings cost many times more and are then tried at few places."""
+def _first(s: Shape) -> str:
+    """A class of a shape's first letter in either case (a long s counts as s)."""
     first = s.head[0]
-    letters = "\u0621-\u06ff" if first > "\u00ff" else first.upper() + first.lower() + ("\u017f" if first in "Ss" else "")
-    return f"(?=[{letters}])" + ("(?iU)" if s.pattern.startswith("(?i)") else "(?U)") + s.pattern.removeprefix("(?i)")
+    return "[" + ("\u0621-\u06ff" if first > "\u00ff" else first.upper() + first.lower() + ("\u017f" if first in "Ss" else "")) + "]"
 
 
-def _entries(text: Column, i: int, s: Shape) -> Column:
+def searched(s: Shape) -> str:
+    """The pattern of a shape behind a test of its first letter: word boundaries and spellings cost many times more and are
+    then tried at few places."""
+    return f"(?={_first(s)})" + ("(?iU)" if s.pattern.startswith("(?i)") else "(?U)") + s.pattern.removeprefix("(?i)")
+
+
+def _any_shape() -> str:
+    """A pattern, empty but for its group, of a place where some shape stands. No head begins like another and none can stand
+    within a match of any shape, so one scan finds what a scan for each shape would. Behind tests of the first letter and of
+    the first two, which few places pass."""
+    arabic, others, begun = [], [], spelled("ال")
+    for s in SHAPES:
+        own = s.pattern.removeprefix("(?i)").replace("(\\d", "(?:\\d").replace("([", "(?:[")
+        if own.startswith(begun):
+            arabic.append(own.removeprefix(begun))
+        else:
+            others.append(f"(?i:{own})" if s.pattern.startswith("(?i)") else own)
+    latin = sorted({(_first(s), s.head[1]) for s in SHAPES if s.head[0] < "\u00ff"})
+    firsts = "".join(sorted({f[1:-1] for f, _ in latin})) + "\u0621-\u06ff"
+    both = "|".join(f"{f}[{x.upper()}{x.lower()}{'Ee' if x == 'é' else ''}]" for f, x in latin)
+    return rf"(?U)(?=[{firsts}])(?={both}|[\u0621-\u06ff])(?=({begun}(?:{'|'.join(arabic)})|{'|'.join(others)}))"
+
+
+def _entries(found: Column, i: int, s: Shape) -> Column:
     before, after = s.canonical.split("{n}")
-    numbers = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(searched(s)), F.lit(1))
+    numbers = F.regexp_extract_all(found, F.lit(searched(s)), F.lit(1))
 
     def entry(n):
         gloss = F.lit(None).cast("string") if s.gloss is None else F.concat(F.lit(s.gloss.split("{n}")[0]), n)
@@ -174,9 +195,15 @@ def _entries(text: Column, i: int, s: Shape) -> Column:
     return F.transform(numbers, entry)
 
 
+#: Between the references found: in no shape, and neither a letter nor a digit.
+_BETWEEN = "|"
+
+
 def citations_of(text: Column) -> Column:
-    """array<struct<shape, head, key, canonical, gloss>> of all references in text, by shape and then by place."""
-    return F.concat(*[_entries(text, i, s) for i, s in enumerate(SHAPES)])
+    """array<struct<shape, head, key, canonical, gloss>> of all references in text, by shape and then by place. One scan
+    finds all of them; which shape each has is looked up in what was found alone."""
+    found = F.array_join(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_any_shape()), F.lit(1)), _BETWEEN)
+    return F.transform(F.array(found), lambda f: F.concat(*[_entries(f, i, s) for i, s in enumerate(SHAPES)]))[0]
 
 
 def answers_of(messages: Column, component: Column | None = None) -> Column:

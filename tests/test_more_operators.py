@@ -462,3 +462,20 @@ def test_dropped_items_need_no_table_of_edits(monkeypatch):
     assert all(V.edit_distance(a, b) == V.edit_distance(b, a) == abs(len(a) - len(b)) for a, b in pairs)
     long = "de la " * 20_000
     assert V.edit_distance(long, long.replace("la ", "")) == 60_000
+
+
+def test_citations_come_from_one_scan(spark):
+    """One scan for all shapes finds what a scan for each finds, in the same order, also where references touch, nest in words or stand behind other heads."""
+    from quillmill.functions import references as X
+
+    rng = random.Random(10)
+    heads = ["Section", "ſection", "SECTıON", "secTİon", "loi n°", "emploi n", "LOI No", "Loi", "ISO", "MISO", "iso", "article", "Article", "l'article", "chapter", "CHAPITRE", "annexe", "ANNEX", "décret", "DÉCRET n°", "Decret", "EN", "SECTIEN", "P.", "p.", "xp.", "Paragraph", "paragraphe"]
+    heads += [s.head for s in X.ARABIC_SHAPES] + ["ٱلمادّه", "الفَصل", "القانون رقم", "القانون رَقم", "المرسوم رقم", "القرار رقم", "وصفحه", "صـفحة", "الي", "|", "é"]
+    pick = lambda *x: rng.choice(x)
+    texts = ["".join(rng.choice(heads) + pick(" ", " ", " ", "", "\n", " ", " n ") + pick("12", "٣", "4-1", "27.05", "450011", "16", "-", ".", "", "x", "5a", "5.") + pick(" ", "", ";", "|", "\n") for _ in range(12)) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(-1, None), (-2, "")], "id long, t string")
+    each = F.concat(*[X._entries(F.coalesce("t", F.lit("")), i, s) for i, s in enumerate(X.SHAPES)])
+    got = rows.select("id", X.citations_of(F.col("t")).alias("one"), each.alias("each")).collect()
+    assert all(r.one == r.each for r in got) and {c.shape for r in got for c in r.one} == set(range(len(X.SHAPES)))
+    calls = X.citations_of(F.col("whole"))._jc.toString().count("coalesce(whole")
+    assert calls == 1
