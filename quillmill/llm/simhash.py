@@ -73,26 +73,27 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE, max_bucket: int = MAX_BU
     Fingerprints that share a variant are joined and verified: equal segments meet once, under the whole segment,
     and segments that differ in one bit meet once, under that bit. Keys with more than max_bucket fingerprints would
     emit too many pairs; all their members go through an exact other way instead: every mask of `distance` bits of
-    the whole fingerprint is a key, and each member is tied to the smallest member of each of its keys.
+    the whole fingerprint is a key, and each member is tied to the smallest member of each of its keys. All joins are told
+    to merge: Spark sizes exploded index rows as the fingerprints they come from and would broadcast millions.
     """
     if not 1 <= distance <= 3:
         raise ValueError("distance must be 1, 2 or 3")
     rows = variants(fps, distance)
     keys = rows.groupBy("slot", "value").agg(F.count("*").alias("size"), F.min("side").alias("lo"), F.max("side").alias("hi"))
     keys = keys.where("size > 1 AND (lo < 0 OR lo <> hi)").select("slot", "value", "size")
-    members = settle(rows.join(keys, ["slot", "value"]), "variants")
+    members = settle(rows.join(keys.hint("merge"), ["slot", "value"]), "variants")
     small = members.where(F.col("size") <= max_bucket)
     a, b = small.alias("a"), small.where("side <> 0").alias("b")
     same = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.value") == F.col("b.value"))
     meet = ((F.col("a.side") == 0) & (F.col("b.side") == 1)) | ((F.col("a.side") == -1) & (F.col("b.side") == -1) & (F.col("a.fp") < F.col("b.fp")))
     close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
-    edges = a.where("side < 1").join(b, same & meet & close).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
+    edges = a.where("side < 1").join(b.hint("merge"), same & meet & close).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
     hot = members.where(F.col("size") > max_bucket).select("fp").distinct()
     if not hot.isEmpty():
         masks = F.array(*[F.lit(np.uint64(sum(1 << i for i in c)).astype(np.int64).item()) for c in combinations(range(64), distance)])
         wild = hot.select("fp", F.posexplode(masks).alias("m", "mask")).select("fp", "m", F.expr("fp & ~mask").alias("rest"))
         hubs = wild.groupBy("m", "rest").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        edges = edges.union(wild.join(hubs, ["m", "rest"]).where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")))
+        edges = edges.union(wild.join(hubs.hint("merge"), ["m", "rest"]).where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")))
     return edges.distinct()
 
 

@@ -322,6 +322,22 @@ def test_simhash_links_lose_no_link(spark, distance, bucket):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, have.values()))
 
 
+def test_simhash_broadcasts_no_exploded_rows(spark, monkeypatch):
+    """Index rows and masks are many for each fingerprint, which Spark's estimate leaves out, so no join may broadcast them."""
+    plans = []
+
+    def settle(df, label="scratch", plain=simhash.settle):
+        plans.append(df._jdf.queryExecution().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(simhash, "settle", settle)
+    edges = simhash.links(spark.createDataFrame([(i,) for i in range(40)], "fp long"), 2, 8)
+    plans.append(edges._jdf.queryExecution().toString())
+    assert len(plans) == 2 and "posexplode" in plans[1]
+    assert not any("BroadcastExchange" in p for p in plans) and all("SortMergeJoin" in p for p in plans)
+    assert edges.count() > 0
+
+
 def test_sentencepiece(spark, docs_dir):
     import public_tokenizers
     import sentencepiece
