@@ -216,7 +216,7 @@ def _vectors(spark, sf):
 
 @query("i2_near_pairs", f"SELECT i, j, round(s, 9) AS similarity FROM ({_PAIRS}) WHERE s >= {_NEAR}")
 def i2_pairs(spark, sf):
-    return N.near_pairs(_vectors(spark, sf), _NEAR).select("i", "j", F.round("similarity", 9).alias("similarity"))
+    return N.near_pairs(_vectors(spark, sf), _NEAR, every=True).select("i", "j", F.round("similarity", 9).alias("similarity"))
 
 
 @query("i2_near_dedup")
@@ -226,7 +226,7 @@ def i2(spark, sf):
 
 @query("i5_leakage_pairs", f"SELECT if(i % 10 = 0, j, i) AS train, if(i % 10 = 0, i, j) AS eval, round(s, 9) AS similarity FROM ({_PAIRS}) WHERE s >= {_NEAR} AND (i % 10 = 0) <> (j % 10 = 0)")
 def i5(spark, sf):
-    return N.leakage_pairs(_vectors(spark, sf), _NEAR).select("train", "eval", F.round("similarity", 9).alias("similarity"))
+    return N.leakage_pairs(_vectors(spark, sf), _NEAR, every=True).select("train", "eval", F.round("similarity", 9).alias("similarity"))
 
 
 @query("c6_embedded")

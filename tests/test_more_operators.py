@@ -140,6 +140,31 @@ def test_near_pairs_of_many_copies(spark):
     assert {(r.train, r.eval, r.train_copies, r.eval_copies) for r in N.leakage_pairs(split, 0.95).collect()} == {(0, 1, 501, 500), (2004, 1, 1, 500)}
 
 
+def test_near_pairs_queries_keep_every_copy(spark, tmp_path, monkeypatch):
+    """Copies, scaled copies and repeated ids are paired as in SQL, in blocks too; so are vectors without a direction, null ones are not."""
+    from quillmill.operators import near_rows as N
+    from quillmill.plans import catalogue
+
+    from .harness import compare
+
+    monkeypatch.setattr(N, "COPIES_A_BLOCK", 4)
+    rng = np.random.default_rng(11)
+    base = [[float(x) for x in v] for v in rng.integers(-3, 4, (6, 5))]
+    near = [[x + 0.5 for x in base[0]], [7.0, 18.0, 5.0, 1.0, 1.0], [1.0, 0.0, 0.0, 0.0, 0.0]]  # the last two are 7 / 20 apart
+    vectors = [base[0]] * 23 + [[2 * x for x in base[0]]] * 3 + [base[i % 6] for i in range(12)] + near
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(3, base[1]), (3, base[0]), (90, None), (91, [0.0] * 5), (92, [0.0] * 5), (93, [float("nan"), 1.0, 1.0, 1.0, 1.0]), (None, base[0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
+    frame.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    (part,) = (tmp_path / "rows").glob("*.parquet")
+    (tmp_path / "sf").mkdir()
+    (tmp_path / "sf" / "embeddings.parquet").write_bytes(part.read_bytes())
+    for name in ("i2_near_pairs", "i5_leakage_pairs"):
+        assert compare(spark, str(tmp_path / "sf"), catalogue.queries()[name], catalogue.oracle_sql()[name]) > 100
+    pair = spark.createDataFrame([(0, [1.0, 1.0, 0.0]), (1, [1.0, 0.0, 1.0])], "ord long, vector array<double>")
+    assert [tuple(r) for r in N.near_pairs(pair, 0.5, every=True).select("i", "j").collect()] == [(0, 1)]
+    assert N.near_pairs(pair.limit(0), 0.5, every=True).count() == 0
+
+
 def test_merge_shards(spark, tmp_path):
     from quillmill.operators.near_rows import merge_shards
 
