@@ -188,3 +188,19 @@ def test_near_copies_bounds_pass_similar_pairs(spark):
     for i in alike:
         apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(nc.parities(odd[i]), nc.parities(odd[i + 1]), strict=True))
         assert apart <= len(sets[i] ^ sets[i + 1])
+
+
+def test_near_copies_with_far_fingerprints_are_joined(spark, tmp_path):
+    """Four of five shingles in common, so 0.8 similarity, but fingerprints further apart than nearly all such pairs have them."""
+    import corpus_pipeline as cp
+
+    from quillmill.llm import near_copies as nc
+
+    a = "one of the 1625 texts that are alike"
+    b, other = a + " w547", "two words that stand in none of these texts"
+    prints = [nc.block_fingerprints(nc.shingle_hashes(t.encode())) for t in (a, b)]
+    assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(*prints, strict=True)) > nc.bits_apart(0.8)
+    rows = spark.createDataFrame([(1, a), (2, b), (3, other)], "doc_id long, text string")
+    want = slow_copies({1: a, 2: b, 3: other})
+    assert {r.doc_id: r.component_id for r in nc.near_copies(rows).collect()} == want == {1: 1, 2: 1, 3: 3}
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, rows, str(tmp_path)).collect()) == [1, 3]
